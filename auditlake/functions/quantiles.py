@@ -1,9 +1,11 @@
-"""Exact quantiles per group without holding a group in one task.
+"""Exact quantiles per group, on two paths with the same result.
 
-``median`` and ``percentile`` keep every distinct value of a group in one buffer.  Here a
-mergeable sketch first brackets the wanted ranks; only the few values inside the bracket are then
-ranked exactly, everything below it is just counted.  All steps are map-side combined, so one group
-may hold any share of the rows.
+A frame of at most ``DIRECT_ROWS`` rows, which is checked by counting it, is sorted per group in one
+aggregation.  Beyond that a group must not sit in one buffer: a mergeable sketch first brackets the
+wanted ranks, only the few values inside the bracket are ranked, and everything below it is just
+counted.  Those steps are map-side combined, so one group may hold any share of the rows.
+
+All functions read their input more than once: pass materialized frames.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DIRECT_ROWS = 500_000
 _STEPS = 100
 _ACCURACY = 10_000  # rank error of the sketch, 1/10000, is far inside one grid step
 
@@ -66,24 +69,54 @@ def _probabilities(probs: dict[str, float]) -> Column:
     return F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs.values()))]))
 
 
+def fits_directly(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether all rows together are few enough for one buffer."""
+    return df.count() <= (DIRECT_ROWS if limit is None else limit)
+
+
+def sorted_quantile(p: float, array: str = "_sorted", size: str = "_size") -> Column:
+    """Interpolated quantile of a sorted array, counting ``size - size(array)`` unstored zeros."""
+    position = f"({p}D * ({size} - 1))"
+    zeros = f"({size} - size({array}))"
+
+    def at(cover: str) -> str:
+        rank = f"cast({cover}({position}) + 1 - {zeros} as int)"
+        return f"if({rank} <= 0, 0D, element_at({array}, {rank}))"
+
+    low, high = at("floor"), at("ceil")
+    return F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
     size: str | None = None,
+    direct_rows: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group, one column per name in ``probs``.
 
     ``size`` names a column with the full group size where zero values are not stored as rows (all
-    stored values must then be positive).  ``df`` is read twice: pass a materialized frame.
+    stored values must then be positive).
     """
     kept = [*keys, F.col(value).cast("double").alias("_value")]
     base = df.where(F.col(value).isNotNull()).select(*kept, *([F.col(size).alias("_full")] if size else []))
-    grid = F.array(*[F.lit(i / _STEPS) for i in range(_STEPS + 1)])
+    if fits_directly(base, direct_rows):
+        grouped = base.groupBy(*keys).agg(
+            F.sort_array(F.collect_list("_value")).alias("_sorted"),
+            (F.max("_full") if size else F.count("_value")).alias("_size"),
+        )
+        wanted = [sorted_quantile(p).alias(name) for name, p in probs.items()]
+        return grouped.select(*keys, *wanted, F.col("_size").alias("group_size"))
+    return _bracketed_quantiles(base, keys, probs, size is not None)
+
+
+def _bracketed_quantiles(base: DataFrame, keys: Sequence[str], probs: dict[str, float], sparse: bool) -> DataFrame:
+    grid = F.expr("array(" + ", ".join(f"{i / _STEPS}D" for i in range(_STEPS + 1)) + ")")
     sketch = base.groupBy(*keys).agg(
         F.count("_value").alias("_stored"),
-        (F.max("_full") if size else F.count("_value")).alias("_size"),
+        (F.max("_full") if sparse else F.count("_value")).alias("_size"),
         F.percentile_approx("_value", grid, _ACCURACY).alias("_grid"),
     )
 
@@ -113,6 +146,25 @@ def group_quantiles(
     return _wide(_walk(cells, keys), keys, probs)
 
 
+def robust_stats(df: DataFrame, keys: Sequence[str], value: str, direct_rows: int | None = None) -> DataFrame:
+    """Median, MAD (median distance from it), mean, sample deviation and size of every group."""
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    moments = [F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("deviation")]
+    if fits_directly(base, direct_rows):
+        grouped = base.groupBy(*keys).agg(
+            F.sort_array(F.collect_list("_value")).alias("_sorted"), F.count("_value").alias("_size"), *moments
+        ).withColumn("median", sorted_quantile(0.5))
+        gaps = F.expr("sort_array(transform(_sorted, v -> abs(v - median)))")
+        return grouped.withColumn("_gaps", gaps).select(
+            *keys, "median", sorted_quantile(0.5, "_gaps").alias("mad"), "mean", "deviation",
+            F.col("_size").alias("group_size"),
+        )
+    medians = group_quantiles(base, keys, "_value", {"median": 0.5}, direct_rows=direct_rows)
+    gaps = base.join(medians, list(keys)).select(*keys, F.abs(F.col("_value") - F.col("median")).alias("_gap"))
+    mads = group_quantiles(gaps, keys, "_gap", {"mad": 0.5}, direct_rows=direct_rows).drop("group_size")
+    return medians.join(mads, list(keys)).join(base.groupBy(*keys).agg(*moments), list(keys))
+
+
 def counted_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, count: str, probs: dict[str, float]
 ) -> DataFrame:
@@ -129,6 +181,9 @@ def counted_quantiles(
     return _wide(_walk(cells.join(targets, list(keys)), keys), keys, probs)
 
 
-def global_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles of a whole column: one row."""
-    return group_quantiles(df.select(F.lit(1).alias("_all"), value), ["_all"], value, probs).drop("_all")
+def global_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], direct_rows: int | None = None
+) -> DataFrame:
+    """Exact quantiles of a whole column: one row, none if there are no values."""
+    whole = df.select(F.lit(1).alias("_all"), value)
+    return group_quantiles(whole, ["_all"], value, probs, direct_rows=direct_rows).drop("_all")

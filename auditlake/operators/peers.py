@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import at_least, rounded
-from auditlake.functions.quantiles import group_quantiles
+from auditlake.functions.quantiles import group_quantiles, robust_stats
 from auditlake.operators import rollups
 from auditlake.params import PEER_METRICS, Params
+from auditlake.session import materialize
 
 _MAD_SCALE = 0.6745
 
@@ -59,48 +60,40 @@ def _long(metrics: DataFrame) -> DataFrame:
 
 def peer_group_stats(metrics: DataFrame) -> DataFrame:
     """Median, MAD, mean and deviation per (level, peer_group, metric)."""
-    keys = ["level", "peer_group", "metric"]
-    long = _long(metrics).where(F.col("x").isNotNull())
-    medians = group_quantiles(long, keys, "x", {"median": 0.5})
-    gaps = long.join(medians, keys).select(*keys, F.abs(F.col("x") - F.col("median")).alias("gap"))
-    mads = group_quantiles(gaps, keys, "gap", {"mad": 0.5}).drop("group_size")
-    moments = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
-    return medians.join(mads, keys).join(moments, keys)
-
-
-def _wide_stats(stats: DataFrame, level: str, key: str) -> DataFrame:
-    picks = [
-        F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{level}_{s}_{m}")
-        for m in PEER_METRICS
-        for s in ("median", "mad", "mean", "deviation")
-    ]
-    size = F.max("group_size").alias(f"{level}_size")
-    return stats.where(F.col("level") == level).groupBy(F.col("peer_group").alias(key)).agg(*picks, size)
+    return robust_stats(_long(metrics), ["level", "peer_group", "metric"], "x")
 
 
-def _z(level: str, metric: str) -> Column:
-    def stat(name: str) -> Column:
-        return F.col(f"{level}_{name}_{metric}")
+def _by_group(stats: DataFrame, level: str, key: str) -> DataFrame:
+    """One row per peer group with its statistics as a map from metric to struct."""
+    entry = F.struct("metric", F.struct("median", "mad", "mean", "deviation"))
+    return stats.where(F.col("level") == level).groupBy(F.col("peer_group").alias(key)).agg(
+        F.map_from_entries(F.collect_list(entry)).alias(f"{level}_stats"), F.max("group_size").alias(f"{level}_size")
+    )
 
-    x = F.col(metric)
-    plain = F.coalesce(F.try_divide(x - stat("mean"), stat("deviation")), F.lit(0.0))
-    robust = F.lit(_MAD_SCALE) * (x - stat("median")) / stat("mad")
-    return F.when(stat("mad") == 0, plain).otherwise(robust)
+
+def _z(level: str, metric: str) -> Column:
+    s = f"{level}_stats['{metric}']"
+    return F.expr(
+        f"if({s}.mad = 0, coalesce(try_divide({metric} - {s}.mean, {s}.deviation), 0D), "
+        f"{_MAD_SCALE}D * ({metric} - {s}.median) / {s}.mad)"
+    )
 
 
 def cohort_z_scores(metrics: DataFrame, params: Params) -> DataFrame:
     """Metrics with ``z_*`` columns; small cohorts fall back to their whole specialty."""
-    stats = peer_group_stats(metrics)
-    wide = metrics.join(_wide_stats(stats, "cohort", "cohort_key"), "cohort_key").join(
-        _wide_stats(stats, "specialty", "specialty"), "specialty"
+    stats = materialize(peer_group_stats(metrics))
+    wide = metrics.join(_by_group(stats, "cohort", "cohort_key"), "cohort_key").join(
+        _by_group(stats, "specialty", "specialty"), "specialty"
     )
     small = F.col("cohort_size") < params.min_cohort
-    zs = {f"z_{m}": F.when(small, _z("specialty", m)).otherwise(_z("cohort", m)) for m in PEER_METRICS}
-    keep = [
-        *metrics.columns, "cohort_size", "cohort_fallback", *zs,
-        *[f"cohort_median_{m}" for m in PEER_METRICS], *[f"specialty_median_{m}" for m in PEER_METRICS],
+    zs = [
+        F.when(small, _z("specialty", m)).otherwise(_z("cohort", m)).alias(f"z_{m}") for m in PEER_METRICS
+    ]
+    medians = [
+        F.expr(f"{level}_stats['{m}'].median").alias(f"{level}_median_{m}")
+        for level in ("cohort", "specialty") for m in PEER_METRICS
     ]
-    return wide.withColumn("cohort_fallback", small).withColumns(zs).select(*keep)
+    return wide.select(*metrics.columns, "cohort_size", small.alias("cohort_fallback"), *zs, *medians)
 
 
 def peer_flags(scored: DataFrame, params: Params) -> DataFrame:

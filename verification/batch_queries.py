@@ -290,3 +290,249 @@ def w7_temporal_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register("w7_temporal_flags", f"WITH {q.BASE}, {q.TEMPORAL_CTES} SELECT * FROM temporal WHERE temporal_flag")
 def w7_temporal_flags(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.temporal_flags(temporal.temporal_scores(_months(spark, sf), PARAMS))
+
+
+# ---------------------------------------------------------------- evidence
+
+_P = PARAMS
+_EM, _TOP = q.codes(_P.office_codes), q.codes(_P.office_top_codes)
+_FIND = "provider_id, specialty, scheme, evidence, estimated_extra_revenue, support_claims"
+
+
+def _find(source: str, scheme: str, text: str, extra: str, support: str) -> str:
+    return (
+        f"SELECT provider_id, specialty, '{scheme}' AS scheme, {text} AS evidence, "
+        f"{rnd(f'greatest({extra}, 0.0)', 2)} AS estimated_extra_revenue, CAST({support} AS BIGINT) AS support_claims {source}"
+    )
+
+
+_DOLLARS = "CAST(sum(c) AS DOUBLE) / 100.0"
+E_SQL = {
+    "e1": f"""{q.CLAIMS}, per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n, {_DOLLARS} / count(*) AS price,
+  CAST(count(*) FILTER (fee_code IN {_TOP}) AS DOUBLE) / count(*) AS share FROM claims WHERE fee_code IN {_EM} GROUP BY provider_id),
+med AS (SELECT *, median(share) OVER (PARTITION BY specialty) AS bs, median(price) OVER (PARTITION BY specialty) AS bp FROM per)
+""" + _find(f"FROM med WHERE n >= 25 AND share >= greatest({_P.upcode_share}, bs + {_P.upcode_delta})", evidence.UPCODING,
+            f"'Top-tier E/M codes on ' || {q.pct('share')} || ' of ' || n || ' office visits vs ' || specialty || ' cohort median ' || {q.pct('bs')} || '; avg E/M $' || {q.whole('price')} || ' vs cohort $' || {q.whole('bp')}",
+            "n * greatest(0.0, price - bp)", "n"),
+    "e2": f"""{q.CLAIMS}, per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n,
+  CAST(count(*) FILTER (fee_code = 'Brand#12') AS DOUBLE) / count(*) AS share FROM claims WHERE fee_code IN {q.codes(_P.therapy_codes)} GROUP BY provider_id),
+med AS (SELECT *, median(share) OVER (PARTITION BY specialty) AS bs FROM per)
+""" + _find(f"FROM med WHERE n >= 25 AND share >= greatest({_P.therapy_share}, bs + {_P.therapy_delta})", evidence.THERAPY_TIME,
+            f"'Billed 60-min psychotherapy (Brand#12) on ' || {q.pct('share')} || ' of ' || n || ' sessions vs cohort median ' || {q.pct('bs')}",
+            "n * share * 40.0", "n"),
+    "e3": f"{q.RULES_ALL}\n" + _find(
+        "FROM bundle_events JOIN names USING (provider_id) GROUP BY provider_id, specialty", evidence.UNBUNDLING,
+        "count(*) || ' patient-dates billed Brand#1+Brand#2 separately instead of bundle Brand#3 (Combined service)'",
+        "CAST(sum(CAST(round(total * 100) AS BIGINT)) AS DOUBLE) / 100.0 - count(*) * 60000.0", "count(*)"),
+    "e4": f"""{q.RULES_ALL}, ev AS (SELECT {', '.join(_P.evidence_duplicate_keys)}, count(*) AS n, list(c ORDER BY claim_id, c)[1] AS fc
+  FROM claims GROUP BY {', '.join(_P.evidence_duplicate_keys)} HAVING count(*) > 1)
+""" + _find("FROM ev JOIN names USING (provider_id) GROUP BY provider_id, specialty", evidence.DUPLICATES,
+            "count(*) || ' claim(s) resubmitted with identical patient, code, date and units (paid more than once)'",
+            "CAST(sum((n - 1) * fc) AS DOUBLE) / 100.0", "count(*)"),
+    "e5": f"""{q.BASE}, bad AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY minutes DESC, service_date) AS k FROM days WHERE minutes > 1440),
+per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n, {_DOLLARS} AS billed,
+  max(minutes) FILTER (k = 1) AS wm, max(bad.n) FILTER (k = 1) AS wn, max(service_date) FILTER (k = 1) AS wd FROM bad GROUP BY provider_id)
+""" + _find("FROM per", evidence.IMPOSSIBLE_DAY,
+            f"n || ' day(s) over 1440 service-minutes; worst: ' || {q.grouped('wm')} || ' min across ' || wn || ' claims on ' || wd", "billed", "n"),
+    "e6": f"""{q.BASE}, per AS (SELECT provider_id, min(specialty) AS specialty, sum(n) AS n, count(*) AS d, {_DOLLARS} / sum(n) AS price,
+  CAST(sum(n) AS DOUBLE) / count(*) AS cpd FROM days GROUP BY provider_id),
+med AS (SELECT *, median(cpd) OVER (PARTITION BY specialty) AS base FROM per)
+""" + _find(f"FROM med WHERE cpd >= {_P.volume_multiple} * base AND cpd >= {_P.volume_floor}", evidence.VOLUME,
+            f"{q.fixed('cpd', 1)} || ' claims/active-day vs ' || specialty || ' cohort median ' || {q.fixed('base', 1)} || ' (~' || {q.grouped('floor((cpd - base) * d)')} || ' excess claims)'",
+            "(cpd - base) * d * price", "n"),
+    "e7": f"""{q.CLAIMS}, per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n, {_DOLLARS} AS billed FROM claims
+  WHERE fee_code IN {q.codes(_P.imaging_codes)} AND specialty <> 'ASIA' GROUP BY provider_id HAVING count(*) >= 10)
+""" + _find("FROM per", evidence.SELF_REFERRAL,
+            f"'Billed ' || n || ' high-value MRI/CT studies ($' || {q.grouped('billed')} || ') under the ' || specialty || ' specialty — imaging normally read by ASIA'", "billed", "n"),
+    "e8": f"""{q.CLAIMS}, per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n, {_DOLLARS} AS billed FROM claims
+  WHERE modifier = '25' AND fee_code IN {_EM} GROUP BY provider_id HAVING count(*) >= 15)
+""" + _find("FROM per", evidence.MODIFIER,
+            f"n || ' office visits billed with modifier 25 (separately-payable E/M) stacked onto same-day procedures ($' || {q.grouped('billed')} || ')'", "billed", "n"),
+    "e9": f"""{q.CLAIMS}, sub AS (SELECT *, greatest(median(CAST(units AS DOUBLE)) OVER (PARTITION BY fee_code), 1.0) AS base FROM claims WHERE fee_code IN {q.codes(_P.unit_codes)}),
+code AS (SELECT provider_id, fee_code, min(specialty) AS specialty, max(base) AS base, count(*) AS n, avg(CAST(units AS DOUBLE)) AS au,
+  sum(greatest(units - base, 0.0)) AS over_units, sum(c / 100.0 / greatest(units, 1)) / count(*) AS unit_price FROM sub GROUP BY provider_id, fee_code),
+per AS (SELECT provider_id, min(specialty) AS specialty, sum(n) AS n, sum(over_units * unit_price) AS extra,
+  string_agg(fee_code || '(avg ' || {q.fixed('au', 1)} || 'u vs ' || {q.whole('base')} || ')', ', ' ORDER BY fee_code || '(avg ' || {q.fixed('au', 1)} || 'u vs ' || {q.whole('base')} || ')') AS listed
+  FROM code WHERE au >= {_P.unit_multiple} * base AND n >= 10 GROUP BY provider_id HAVING sum(n) >= 10)
+""" + _find("FROM per", evidence.UNITS, "'Inflated units on dose-based codes: ' || listed", "extra", "n"),
+    "e10": f"""{q.CLAIMS}, em AS (SELECT *, 2 * (service_date - (SELECT min(service_date) FROM claims WHERE fee_code IN {_EM})) >
+    (SELECT max(service_date) - min(service_date) FROM claims WHERE fee_code IN {_EM}) AS late FROM claims WHERE fee_code IN {_EM}),
+per AS (SELECT provider_id, min(specialty) AS specialty, count(*) FILTER (NOT late) AS ne, count(*) FILTER (late) AS nl,
+  CAST(count(*) FILTER (NOT late AND fee_code IN {_TOP}) AS DOUBLE) / count(*) FILTER (NOT late) AS se,
+  CAST(count(*) FILTER (late AND fee_code IN {_TOP}) AS DOUBLE) / count(*) FILTER (late) AS sl,
+  CAST(sum(c) FILTER (NOT late) AS DOUBLE) / (count(*) FILTER (NOT late) * 100.0) AS ae,
+  CAST(sum(c) FILTER (late) AS DOUBLE) / (count(*) FILTER (late) * 100.0) AS al FROM em GROUP BY provider_id)
+""" + _find(f"FROM per WHERE ne >= 20 AND nl >= 20 AND sl - se >= {_P.escalation_rise} AND sl >= {_P.escalation_late}", evidence.ESCALATION,
+            f"'Top-tier E/M share climbed from ' || {q.pct('se')} || ' (early) to ' || {q.pct('sl')} || ' (late); avg visit $' || {q.whole('ae')} || ' → $' || {q.whole('al')}",
+            "nl * greatest(0.0, al - ae)", "ne + nl"),
+    "e11": f"""{q.CLAIMS}, per AS (SELECT provider_id, min(specialty) AS specialty, count(*) AS n, {_DOLLARS} AS billed FROM claims
+  WHERE isodow(service_date) >= 6 GROUP BY provider_id HAVING count(*) >= 20)
+""" + _find("FROM per", evidence.WEEKEND,
+            f"n || ' claims ($' || {q.grouped('billed')} || ') billed on weekends — unusual for an outpatient ' || specialty || ' practice'", "billed", "n"),
+}
+FINDINGS = "findings AS (" + "\nUNION ALL ".join(f"SELECT * FROM (WITH {s})" for s in E_SQL.values()) + ")"
+
+for _id, _name in zip(E_SQL, evidence.DETECTORS, strict=True):
+    def _detector(spark: SparkSession, sf: str, _name: str = _name) -> DataFrame:
+        return evidence.DETECTORS[_name](_inputs(spark, sf), PARAMS)
+
+    register(f"{_id}_{_name}", f"WITH {E_SQL[_id]}")(_detector)
+
+
+def _findings(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.findings(_inputs(spark, sf), PARAMS)
+
+
+@register("e12_findings", f"WITH {FINDINGS} SELECT * FROM findings")
+def e12_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _findings(spark, sf)
+
+
+_CENTS = "CAST(sum(CAST(round(estimated_extra_revenue * 100) AS BIGINT)) AS DOUBLE) / 100.0"
+
+
+@register("a18_provider_evidence", f"""WITH {FINDINGS}
+SELECT provider_id, specialty, {_CENTS} AS total_extra, count(DISTINCT scheme) AS n_schemes,
+  string_agg(DISTINCT scheme, ', ' ORDER BY scheme) AS schemes FROM findings GROUP BY provider_id, specialty""")
+def a18_provider_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.provider_evidence(_findings(spark, sf))
+
+
+@register("a19_scheme_summary", f"""WITH {FINDINGS}
+SELECT scheme, count(DISTINCT provider_id) AS providers, {_CENTS} AS total FROM findings GROUP BY scheme""")
+def a19_scheme_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.scheme_summary(_findings(spark, sf))
+
+
+@register("o5_top_per_scheme", f"""WITH {FINDINGS}
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY estimated_extra_revenue DESC, provider_id) AS place FROM findings)
+WHERE place <= 6""")
+def o5_top_per_scheme(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.top_per_scheme(_findings(spark, sf))
+
+
+@register("o7_truth_check", f"""WITH {FINDINGS}, planted AS (SELECT s_suppkey AS provider_id FROM supplier WHERE s_acctbal < 1000)
+SELECT coalesce(f.provider_id, p.provider_id) AS provider_id,
+  CASE WHEN f.provider_id IS NULL THEN 'missed' WHEN p.provider_id IS NULL THEN 'not_planted' ELSE 'hit' END AS status
+FROM (SELECT DISTINCT provider_id FROM findings WHERE scheme = '{evidence.UPCODING}') f FULL JOIN planted p ON f.provider_id = p.provider_id""")
+def o7_truth_check(spark: SparkSession, sf: str) -> DataFrame:
+    planted = tables.truth(spark, sf).where(F.col("label") == 1)
+    return evidence.truth_check(evidence.upcoding(_inputs(spark, sf), PARAMS), planted)
+
+
+# ---------------------------------------------------------------- statutory recovery
+
+_TAXONOMY = "taxonomy(scheme, concern, circumstances, basis, consult) AS (VALUES " + ", ".join(
+    f"('{s}', '{c}', [{', '.join(repr(x) for x in h)}], '{b}', {str(n).upper()})" for s, c, h, b, n in statutory.TAXONOMY
+) + ")"
+RECOVERY = f"""{q.BASE}, {FINDINGS}, {_TAXONOMY},
+exposure AS (
+  SELECT provider_id, min(specialty) AS specialty, {_CENTS} AS exposure, count(*) AS n_concerns,
+    string_agg(scheme, '; ' ORDER BY scheme) AS concerns,
+    array_to_string(list_sort(list_distinct(flatten(list(circumstances)))), '; ') AS hia_circumstances,
+    bool_or(consult) AS needs_medical_consult, bool_or(basis = 'documentary') AS has_documentary
+  FROM findings JOIN taxonomy USING (scheme) GROUP BY provider_id),
+ratios AS (
+  SELECT *, least(1.0, exposure / total_billed) AS inflation_ratio FROM exposure
+  JOIN (SELECT provider_id, {_DOLLARS} AS total_billed FROM claims GROUP BY provider_id) USING (provider_id)),
+asked AS (SELECT CAST(max(service_date) + INTERVAL 1 DAY AS DATE) AS d FROM claims),
+spine AS (
+  SELECT provider_id, unnest(generate_series(min(service_month), max(service_month), INTERVAL 1 MONTH))::DATE AS month
+  FROM claims, asked WHERE service_date BETWEEN CAST(d - INTERVAL 5 YEAR AS DATE) AND d GROUP BY provider_id),
+monthly AS (
+  SELECT provider_id, service_month AS month, {_DOLLARS} AS billed FROM claims, asked
+  WHERE service_date BETWEEN CAST(d - INTERVAL 5 YEAR AS DATE) AND d GROUP BY provider_id, service_month),
+filled AS (
+  SELECT provider_id, month, coalesce(billed, 0.0) * inflation_ratio AS suspect
+  FROM spine LEFT JOIN monthly USING (provider_id, month) JOIN ratios USING (provider_id)),
+rolled AS (
+  SELECT *, sum(suspect) OVER w AS r, row_number() OVER (PARTITION BY provider_id ORDER BY month) AS k,
+    count(*) OVER (PARTITION BY provider_id) AS size, sum(suspect) OVER (PARTITION BY provider_id) AS total,
+    min(month) OVER (PARTITION BY provider_id) AS first_month, max(month) OVER (PARTITION BY provider_id) AS last_month
+  FROM filled WINDOW w AS (PARTITION BY provider_id ORDER BY month ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY {rnd('r', 6)} DESC, month) AS b FROM rolled WHERE k >= least(24, size)) WHERE b = 1),
+windows AS (
+  SELECT provider_id, {rnd('CASE WHEN size <= 24 THEN total ELSE r END', 2)} AS recoverable,
+    CASE WHEN size <= 24 THEN first_month ELSE CAST(month - INTERVAL 23 MONTH AS DATE) END AS window_start,
+    CASE WHEN size <= 24 THEN last_month ELSE month END AS window_end, CAST(least(size, 24) AS INTEGER) AS months_in_window,
+    {rnd('greatest(0.0, CASE WHEN size <= 24 THEN 0.0 ELSE total - r END)', 2)} AS outside_window
+  FROM best)"""
+
+
+def _recovery(spark: SparkSession, sf: str) -> DataFrame:
+    inputs = _inputs(spark, sf)
+    found = materialize(evidence.findings(inputs, PARAMS))
+    return statutory.statutory_recovery(found, inputs.days, PARAMS, statutory.request_date(inputs.days))
+
+
+@register("t1_classified_findings", f"""WITH {FINDINGS}, {_TAXONOMY}
+SELECT provider_id, scheme, concern, array_to_string(circumstances, ',') AS circumstances, basis AS evidence_basis,
+  consult AS needs_medical_consult FROM findings JOIN taxonomy USING (scheme)""")
+def t1_classified_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return statutory.classify(_findings(spark, sf)).select(
+        "provider_id", "scheme", "concern", F.array_join("circumstances", ",").alias("circumstances"), "evidence_basis",
+        "needs_medical_consult",
+    )
+
+
+@register("t2_inflation_ratios", f"""WITH {RECOVERY}
+SELECT provider_id, specialty, exposure, n_concerns, concerns, hia_circumstances, needs_medical_consult, has_documentary,
+  total_billed, inflation_ratio FROM ratios""")
+def t2_inflation_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    inputs = _inputs(spark, sf)
+    return statutory.inflation_ratios(statutory.provider_exposure(evidence.findings(inputs, PARAMS)), inputs.days).select(
+        "provider_id", "specialty", "exposure", "n_concerns", "concerns", "hia_circumstances", "needs_medical_consult",
+        "has_documentary", "total_billed", "inflation_ratio",
+    )
+
+
+@register("w8_best_windows", f"WITH {RECOVERY} SELECT * FROM windows")
+def w8_best_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _recovery(spark, sf).select(
+        "provider_id", "recoverable", "window_start", "window_end", "months_in_window", "outside_window"
+    )
+
+
+def _meta(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(
+        F.lit("board_schedule").alias("source"), F.lit("7").alias("version"), F.lit("2000-01-01").alias("effective_date"),
+        F.lit(True).alias("authoritative"),
+    )
+
+
+def _pathway_sql(part: int) -> str:
+    def text(documentary: bool, high: bool) -> str:
+        return "'" + statutory.PATHWAYS[documentary, high][part] + "'"
+
+    high = f"recoverable >= {PARAMS.high_value}"
+    return (
+        f"CASE WHEN has_documentary AND {high} THEN {text(True, True)} WHEN has_documentary THEN {text(True, False)} "
+        f"WHEN {high} THEN {text(False, True)} ELSE {text(False, False)} END"
+    )
+
+
+SUMMARY_SQL = f"""SELECT provider_id, specialty, n_concerns, concerns, {rnd('exposure', 2)} AS estimated_exposure,
+  recoverable AS statutory_recoverable, window_start AS recovery_window_start, window_end AS recovery_window_end,
+  outside_window AS barred_by_statute, hia_circumstances, needs_medical_consult, {_pathway_sql(0)} AS recommended_next_step,
+  {_pathway_sql(1)} AS potential_outcome, 'INDICATIVE' AS figure_status, 'board_schedule v7 effective 2000-01-01' AS fee_schedule,
+  TRUE AS fee_schedule_authoritative, FALSE AS recovery_defensible FROM ratios JOIN windows USING (provider_id)"""
+
+
+@register("t5_recovery_summary", f"WITH {RECOVERY} {SUMMARY_SQL}")
+def t5_recovery_summary(spark: SparkSession, sf: str) -> DataFrame:
+    stamp = statutory.provenance(_meta(spark), validated=False)
+    return statutory.recovery_summary(_recovery(spark, sf), stamp, PARAMS)
+
+
+@register("o2_top_cases", f"WITH {RECOVERY}, summary AS ({SUMMARY_SQL}) SELECT * FROM summary ORDER BY statutory_recoverable DESC, provider_id LIMIT 25")
+def o2_top_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return statutory.top_cases(t5_recovery_summary(spark, sf), 25)
+
+
+@register("a27_portfolio", f"""WITH {RECOVERY}, summary AS ({SUMMARY_SQL})
+SELECT count(*) AS n_providers, CAST(sum(CAST(round(estimated_exposure * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS exposure,
+  CAST(sum(CAST(round(statutory_recoverable * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS recoverable,
+  CAST(sum(CAST(round(barred_by_statute * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS barred FROM summary""")
+def a27_portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    return statutory.portfolio(t5_recovery_summary(spark, sf))
