@@ -26,15 +26,6 @@ def money_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(cents(c)), F.lit(0)) / 100.0
 
 
-def money_avg(c: Column | str) -> Column:
-    return F.try_divide(F.sum(cents(c)), F.count(col(c)) * 100.0)
-
-
-def share_of(condition: Column) -> Column:
-    """Share of rows of a group that satisfy ``condition``."""
-    return F.count_if(condition) / F.count(F.lit(1))
-
-
 def at_least(c: Column | str, floor: float) -> Column:
     return F.greatest(col(c), F.lit(floor))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import (
-    at_least, cents, dollars, fixed, grouped, money_avg, money_sum, percent, rounded, share_of, whole,
+    at_least, cents, dollars, fixed, grouped, money_sum, percent, rounded, whole,
 )
 from auditlake.functions.quantiles import counted_quantiles, group_quantiles
 from auditlake.operators import rollups
@@ -37,10 +37,11 @@ WEEKEND = "Weekend / closed-office billing"
 
 @dataclass(frozen=True)
 class Inputs:
-    """Claims plus the daily rollup, both shared by all detectors."""
+    """Claims plus the daily and the code rollup; detectors read claims only for what those lack."""
 
     claims: DataFrame
     days: DataFrame
+    codes: DataFrame
 
     @property
     def specialties(self) -> DataFrame:
@@ -69,12 +70,12 @@ def _with_specialty_medians(per: DataFrame, **medians: str) -> DataFrame:
 
 
 def upcoding(inputs: Inputs, params: Params) -> DataFrame:
-    visits = inputs.claims.where(F.col("fee_code").isin(*params.office_codes))
+    visits = inputs.codes.where(F.col("fee_code").isin(*params.office_codes))
     per = visits.groupBy("provider_id").agg(
         F.min("specialty").alias("specialty"),
-        F.count(F.lit(1)).alias("n"),
-        money_avg("amount_billed").alias("price"),
-        share_of(F.col("fee_code").isin(*params.office_top_codes)).alias("share"),
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum(cents("billed")), F.sum("n_amounts") * 100.0).alias("price"),
+        _share(F.col("fee_code").isin(*params.office_top_codes)).alias("share"),
     )
     per = _with_specialty_medians(per, base_share="share", base_price="price")
     hits = per.where(
@@ -91,11 +92,11 @@ def upcoding(inputs: Inputs, params: Params) -> DataFrame:
 
 
 def therapy_time(inputs: Inputs, params: Params) -> DataFrame:
-    sessions = inputs.claims.where(F.col("fee_code").isin(*params.therapy_codes))
+    sessions = inputs.codes.where(F.col("fee_code").isin(*params.therapy_codes))
     per = sessions.groupBy("provider_id").agg(
         F.min("specialty").alias("specialty"),
-        F.count(F.lit(1)).alias("n"),
-        share_of(F.col("fee_code") == params.therapy_long_code).alias("share"),
+        F.sum("n").alias("n"),
+        _share(F.col("fee_code") == params.therapy_long_code).alias("share"),
     )
     per = _with_specialty_medians(per, base_share="share")
     hits = per.where(
@@ -185,6 +186,11 @@ def volume(inputs: Inputs, params: Params) -> DataFrame:
     return _finding(hits, VOLUME, text, excess * F.col("price"), F.col("n"))
 
 
+def _share(condition: Column) -> Column:
+    """Share of claims of a provider's codes that satisfy ``condition``."""
+    return F.sum(F.when(condition, F.col("n")).otherwise(0)) / F.sum("n")
+
+
 def _counted(claims: DataFrame, at_least_n: int) -> DataFrame:
     return claims.groupBy("provider_id").agg(
         F.min("specialty").alias("specialty"),
@@ -194,10 +200,12 @@ def _counted(claims: DataFrame, at_least_n: int) -> DataFrame:
 
 
 def self_referral(inputs: Inputs, params: Params) -> DataFrame:
-    images = inputs.claims.where(
+    images = inputs.codes.where(
         F.col("fee_code").isin(*params.imaging_codes) & (F.col("specialty") != params.imaging_specialty)
     )
-    per = _counted(images, params.min_imaging)
+    per = images.groupBy("provider_id").agg(
+        F.min("specialty").alias("specialty"), F.sum("n").alias("n"), money_sum("billed").alias("billed")
+    ).where(F.col("n") >= params.min_imaging)
     text = _text(
         "Billed ", whole("n"), " high-value MRI/CT studies (", dollars("billed", 0), ") under the ",
         F.col("specialty"), " specialty — imaging normally read by ", params.imaging_specialty,

@@ -122,13 +122,14 @@ def nearest_neighbours(
                 visits, f"provider_id {id_type}, x array<double>, to_cell int, to_part int"
             )
         )
-        lanes = asked.groupBy("to_cell", "to_part").agg(
+        lanes = materialize(asked.groupBy("to_cell", "to_part").agg(
             F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("lanes")
-        )
+        ))
         lane = F.pmod(F.xxhash64("provider_id", F.lit(seed + 2)), F.col("lanes")).cast("int")
         queries = asked.join(lanes, ["to_cell", "to_part"]).withColumn("lane", lane).drop("lanes")
         targets = (
-            rows.join(lanes, (rows["cell"] == lanes["to_cell"]) & (rows["part"] == lanes["to_part"]))
+            rows.withColumnsRenamed({"cell": "to_cell", "part": "to_part"})
+            .join(lanes, ["to_cell", "to_part"])
             .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
             .select("provider_id", "x", "to_cell", "to_part", "lane")
         )

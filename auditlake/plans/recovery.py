@@ -25,7 +25,8 @@ def run(
     """Mine all schemes, then turn them into recoverable amounts with their provenance."""
     valid = quality.validate_claims(claims)
     days = materialize(rollups.provider_day(valid))
-    found = materialize(evidence.findings(evidence.Inputs(valid, days), params))
+    codes = materialize(rollups.provider_code(valid))
+    found = materialize(evidence.findings(evidence.Inputs(valid, days, codes), params))
     recovery = statutory.statutory_recovery(found, days, params, statutory.request_date(days, requested))
     summary = statutory.recovery_summary(recovery, statutory.provenance(meta, validated), params)
     return RecoveryRun(found, materialize(summary))

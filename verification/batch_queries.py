@@ -29,7 +29,9 @@ def _shared(spark: SparkSession, sf: str) -> risk.Shared:
 
 def _inputs(spark: SparkSession, sf: str) -> evidence.Inputs:
     claims = quality.validate_claims(tables.claims(spark, sf))
-    return evidence.Inputs(claims, materialize(rollups.provider_day(claims)))
+    return evidence.Inputs(
+        claims, materialize(rollups.provider_day(claims)), materialize(rollups.provider_code(claims))
+    )
 
 
 # ---------------------------------------------------------------- scans and validation
