@@ -14,7 +14,7 @@ from auditlake.session import materialize, shared_dir
 from auditlake.sources import readers, sinks
 from verification import ctes as q
 from verification import tables
-from verification.catalog import register
+from verification.catalog import once, register
 from verification.ctes import rnd
 from verification.tables import PARAMS
 
@@ -23,10 +23,12 @@ def _days(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.provider_day(tables.claims(spark, sf))
 
 
+@once
 def _shared(spark: SparkSession, sf: str) -> risk.Shared:
     return risk.share(tables.claims(spark, sf))
 
 
+@once
 def _inputs(spark: SparkSession, sf: str) -> evidence.Inputs:
     claims = quality.validate_claims(tables.claims(spark, sf))
     return evidence.Inputs(
@@ -381,13 +383,14 @@ for _id, _name in zip(E_SQL, evidence.DETECTORS, strict=True):
     register(f"{_id}_{_name}", f"WITH {E_SQL[_id]}")(_detector)
 
 
+@once
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.findings(_inputs(spark, sf), PARAMS)
+    return materialize(evidence.findings(_inputs(spark, sf), PARAMS))
 
 
 @register("e12_findings", f"WITH {FINDINGS} SELECT * FROM findings")
 def e12_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(spark, sf)
+    return evidence.findings(_inputs(spark, sf), PARAMS)
 
 
 _CENTS = "CAST(sum(CAST(round(estimated_extra_revenue * 100) AS BIGINT)) AS DOUBLE) / 100.0"
@@ -464,8 +467,7 @@ windows AS (
 
 def _recovery(spark: SparkSession, sf: str) -> DataFrame:
     inputs = _inputs(spark, sf)
-    found = materialize(evidence.findings(inputs, PARAMS))
-    return statutory.statutory_recovery(found, inputs.days, PARAMS, statutory.request_date(inputs.days))
+    return statutory.statutory_recovery(_findings(spark, sf), inputs.days, PARAMS, statutory.request_date(inputs.days))
 
 
 @register("t1_classified_findings", f"""WITH {FINDINGS}, {_TAXONOMY}
@@ -483,7 +485,7 @@ SELECT provider_id, specialty, exposure, n_concerns, concerns, hia_circumstances
   total_billed, inflation_ratio FROM ratios""")
 def t2_inflation_ratios(spark: SparkSession, sf: str) -> DataFrame:
     inputs = _inputs(spark, sf)
-    return statutory.inflation_ratios(statutory.provider_exposure(evidence.findings(inputs, PARAMS)), inputs.days).select(
+    return statutory.inflation_ratios(statutory.provider_exposure(_findings(spark, sf)), inputs.days).select(
         "provider_id", "specialty", "exposure", "n_concerns", "concerns", "hia_circumstances", "needs_medical_consult",
         "has_documentary", "total_billed", "inflation_ratio",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,20 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def once(build: Query) -> Query:
+    """Keep a stage's result per session and data folder, as a deployed run keeps its stage tables."""
+    kept: dict[tuple[str, str], object] = {}
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = build(spark, sf_dir)
+        return kept[key]
+
+    return get
+
+
 def _load() -> None:
     from verification import batch_queries, ledger_queries, model_queries, score_queries  # noqa: F401
 

@@ -14,7 +14,8 @@ from auditlake.plans import risk
 from auditlake.session import materialize
 from verification import ctes as q
 from verification import tables
-from verification.catalog import register
+from verification.batch_queries import _shared
+from verification.catalog import once, register
 from verification.ctes import rnd
 from verification.tables import PARAMS
 
@@ -43,10 +44,11 @@ scales AS (SELECT feature, quantile_cont(x, 0.5) AS centre,
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    claims = tables.claims(spark, sf)
-    return features.feature_matrix(claims, rollups.provider_day(claims), rollups.provider_code(claims), PARAMS)
+    shared = _shared(spark, sf)
+    return features.feature_matrix(shared.claims, shared.days, shared.codes, PARAMS)
 
 
+@once
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(features.scaled_vectors(materialize(_matrix(spark, sf)), _NAMES))
 
@@ -148,13 +150,13 @@ def m7_consensus(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m7_anomaly_scores")
 def m7_anomaly_scores(spark: SparkSession, sf: str) -> DataFrame:
-    shared = risk.share(tables.claims(spark, sf))
+    shared = _shared(spark, sf)
     return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, PARAMS)
 
 
 @register("m8_funnel_candidates", f"""WITH {q.SCORES_ALL} SELECT provider_id FROM fused WHERE rules_score + peer_score >= {PARAMS.funnel_points}""")
 def m8_funnel_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    shared = risk.share(tables.claims(spark, sf))
+    shared = _shared(spark, sf)
     found = peers.peer_flags(risk.scored_metrics(shared, PARAMS), PARAMS)
     return ensemble.funnel_candidates(
         scoring.rules_component(risk.all_rule_flags(shared, PARAMS), PARAMS), scoring.peer_component(found, PARAMS), PARAMS
@@ -163,7 +165,7 @@ def m8_funnel_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m8_funnel_scores")
 def m8_funnel_scores(spark: SparkSession, sf: str) -> DataFrame:
-    shared = risk.share(tables.claims(spark, sf))
+    shared = _shared(spark, sf)
     found = peers.peer_flags(risk.scored_metrics(shared, PARAMS), PARAMS)
     candidates = materialize(scoring.peer_component(found, PARAMS).select("provider_id"))
     return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, PARAMS, candidates)
@@ -182,12 +184,13 @@ def w10_latest_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.latest_dispositions(feedback.checked_dispositions(tables.dispositions(spark, sf)))
 
 
+@once
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    shared = risk.share(tables.claims(spark, sf))
+    shared = _shared(spark, sf)
     metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, PARAMS))
     drift = codemix.drift_scores(shared.codes, metrics, PARAMS)
     changes = temporal.temporal_scores(rollups.provider_month(shared.days), PARAMS)
-    return feedback.provider_features(metrics, drift, None, changes)
+    return materialize(feedback.provider_features(metrics, drift, None, changes))
 
 
 _F10 = ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in feedback.FEATURES if c != "ml_score") + ", 0.0::DOUBLE AS ml_score"

@@ -12,11 +12,12 @@ from auditlake.session import materialize
 from verification import ctes as q
 from verification import tables
 from verification.batch_queries import RECOVERY, SUMMARY_SQL, t5_recovery_summary
-from verification.catalog import register
+from verification.catalog import once, register
 from verification.ctes import rnd
 from verification.tables import PARAMS
 
 
+@once
 def _run(spark: SparkSession, sf: str) -> risk.RiskRun:
     """All layers that SQL can follow; the ensemble and the classifier are checked on their own."""
     return risk.run(tables.claims(spark, sf), PARAMS, with_ml=False)
