@@ -94,15 +94,16 @@ def group_quantiles(
     probs: dict[str, float],
     size: str | None = None,
     direct_rows: int | None = None,
+    direct: bool | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group, one column per name in ``probs``.
 
     ``size`` names a column with the full group size where zero values are not stored as rows (all
-    stored values must then be positive).
+    stored values must then be positive).  ``direct`` passes on a size check already made.
     """
     kept = [*keys, F.col(value).cast("double").alias("_value")]
     base = df.where(F.col(value).isNotNull()).select(*kept, *([F.col(size).alias("_full")] if size else []))
-    if fits_directly(base, direct_rows):
+    if fits_directly(base, direct_rows) if direct is None else direct:
         grouped = base.groupBy(*keys).agg(
             F.sort_array(F.collect_list("_value")).alias("_sorted"),
             (F.max("_full") if size else F.count("_value")).alias("_size"),

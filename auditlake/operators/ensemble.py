@@ -99,14 +99,13 @@ def anomaly_scores(
     claims: DataFrame,
     days: DataFrame,
     codes: DataFrame,
+    people: DataFrame,
     params: Params,
     candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Ensemble scores with provider attributes; in funnel mode all other providers score zero."""
-    matrix = materialize(feats.feature_matrix(claims, days, codes, params, candidates))
-    everyone = days.groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"), F.min("specialty").alias("specialty")
-    )
+    matrix = materialize(feats.feature_matrix(claims, days, codes, people, params, candidates))
+    everyone = people.drop("clinic_id")
     share = params.contamination
     if candidates is not None:
         share = candidates.select("provider_id").distinct().count() / max(everyone.count(), 1)

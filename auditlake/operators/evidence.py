@@ -37,15 +37,19 @@ WEEKEND = "Weekend / closed-office billing"
 
 @dataclass(frozen=True)
 class Inputs:
-    """Claims plus the daily and the code rollup; detectors read claims only for what those lack."""
+    """Claims, the daily and the code rollup and the provider attributes.
+
+    Detectors read claims only for what the rollups lack.
+    """
 
     claims: DataFrame
     days: DataFrame
     codes: DataFrame
+    people: DataFrame
 
-    @property
-    def specialties(self) -> DataFrame:
-        return self.days.groupBy("provider_id").agg(F.min("specialty").alias("specialty"))
+    def named(self, per_provider: DataFrame) -> DataFrame:
+        """Add the specialty to a provider-grain frame."""
+        return per_provider.join(self.people.select("provider_id", "specialty"), "provider_id")
 
 
 def _finding(df: DataFrame, scheme: str, evidence: Column, extra: Column, support: Column) -> DataFrame:
@@ -72,12 +76,11 @@ def _with_specialty_medians(per: DataFrame, **medians: str) -> DataFrame:
 def upcoding(inputs: Inputs, params: Params) -> DataFrame:
     visits = inputs.codes.where(F.col("fee_code").isin(*params.office_codes))
     per = visits.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
         F.sum("n").alias("n"),
         F.try_divide(F.sum(cents("billed")), F.sum("n_amounts") * 100.0).alias("price"),
         _share(F.col("fee_code").isin(*params.office_top_codes)).alias("share"),
     )
-    per = _with_specialty_medians(per, base_share="share", base_price="price")
+    per = _with_specialty_medians(inputs.named(per), base_share="share", base_price="price")
     hits = per.where(
         (F.col("n") >= params.min_visits)
         & (F.col("share") >= at_least(F.col("base_share") + params.upcode_delta, params.upcode_share))
@@ -94,11 +97,10 @@ def upcoding(inputs: Inputs, params: Params) -> DataFrame:
 def therapy_time(inputs: Inputs, params: Params) -> DataFrame:
     sessions = inputs.codes.where(F.col("fee_code").isin(*params.therapy_codes))
     per = sessions.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
         F.sum("n").alias("n"),
         _share(F.col("fee_code") == params.therapy_long_code).alias("share"),
     )
-    per = _with_specialty_medians(per, base_share="share")
+    per = _with_specialty_medians(inputs.named(per), base_share="share")
     hits = per.where(
         (F.col("n") >= params.min_visits)
         & (F.col("share") >= at_least(F.col("base_share") + params.therapy_delta, params.therapy_share))
@@ -122,18 +124,17 @@ def unbundling(inputs: Inputs, params: Params) -> DataFrame:
             " separately instead of bundle ", f"{rule.bundle_code} ({rule.bundle_desc})",
         )
         extra = F.col("total") - F.col("n") * F.lit(rule.bundle_amt)
-        found.append(_finding(per.join(inputs.specialties, "provider_id"), UNBUNDLING, text, extra, F.col("n")))
+        found.append(_finding(inputs.named(per), UNBUNDLING, text, extra, F.col("n")))
     return reduce(DataFrame.unionByName, found)
 
 
 def duplicates(inputs: Inputs, params: Params) -> DataFrame:
     events = rollups.duplicate_events(inputs.claims, params.evidence_duplicate_keys)
-    per = (
+    per = inputs.named(
         events.withColumn("extra", (F.col("n") - 1) * F.col("unit_billed"))
         .groupBy("provider_id")
         .agg(F.count(F.lit(1)).alias("events"), money_sum("extra").alias("extra"))
         .where(F.col("events") >= params.min_duplicate_events)
-        .join(inputs.specialties, "provider_id")
     )
     text = _text(
         whole("events"),
@@ -149,7 +150,6 @@ def worst_days(days: DataFrame, params: Params) -> DataFrame:
         F.struct(F.col("minutes"), -F.unix_date("service_date")),
     )
     return days.where(F.col("minutes") > params.max_day_minutes).groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
         F.count(F.lit(1)).alias("n_days"),
         (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("billed"),
         worst.alias("worst"),
@@ -157,7 +157,7 @@ def worst_days(days: DataFrame, params: Params) -> DataFrame:
 
 
 def impossible_day(inputs: Inputs, params: Params) -> DataFrame:
-    per = worst_days(inputs.days, params)
+    per = inputs.named(worst_days(inputs.days, params))
     text = _text(
         whole("n_days"), f" day(s) over {params.max_day_minutes:.0f} service-minutes; worst: ",
         grouped("worst.minutes"), " min across ", whole("worst.n_claims"), " claims on ",
@@ -168,12 +168,11 @@ def impossible_day(inputs: Inputs, params: Params) -> DataFrame:
 
 def volume(inputs: Inputs, params: Params) -> DataFrame:
     per = inputs.days.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
         F.sum("n_rows").alias("n"),
         F.count(F.lit(1)).alias("days"),
         F.try_divide(F.sum("billed_cents"), F.sum("n_amounts") * 100.0).alias("price"),
     ).withColumn("per_day", F.col("n") / F.col("days"))
-    per = _with_specialty_medians(per, base="per_day")
+    per = _with_specialty_medians(inputs.named(per), base="per_day")
     hits = per.where(
         (F.col("per_day") >= F.lit(params.volume_multiple) * F.col("base"))
         & (F.col("per_day") >= params.volume_floor)
@@ -191,21 +190,11 @@ def _share(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("n")).otherwise(0)) / F.sum("n")
 
 
-def _counted(claims: DataFrame, at_least_n: int) -> DataFrame:
-    return claims.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
-        F.count(F.lit(1)).alias("n"),
-        money_sum("amount_billed").alias("billed"),
-    ).where(F.col("n") >= at_least_n)
-
-
 def self_referral(inputs: Inputs, params: Params) -> DataFrame:
-    images = inputs.codes.where(
-        F.col("fee_code").isin(*params.imaging_codes) & (F.col("specialty") != params.imaging_specialty)
-    )
-    per = images.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"), F.sum("n").alias("n"), money_sum("billed").alias("billed")
+    images = inputs.codes.where(F.col("fee_code").isin(*params.imaging_codes)).groupBy("provider_id").agg(
+        F.sum("n").alias("n"), money_sum("billed").alias("billed")
     ).where(F.col("n") >= params.min_imaging)
+    per = inputs.named(images).where(F.col("specialty") != params.imaging_specialty)
     text = _text(
         "Billed ", whole("n"), " high-value MRI/CT studies (", dollars("billed", 0), ") under the ",
         F.col("specialty"), " specialty — imaging normally read by ", params.imaging_specialty,
@@ -217,7 +206,11 @@ def modifier_abuse(inputs: Inputs, params: Params) -> DataFrame:
     stacked = inputs.claims.where(
         (F.col("modifier") == params.modifier) & F.col("fee_code").isin(*params.office_codes)
     )
-    per = _counted(stacked, params.min_modifier)
+    per = inputs.named(
+        stacked.groupBy("provider_id")
+        .agg(F.count(F.lit(1)).alias("n"), money_sum("amount_billed").alias("billed"))
+        .where(F.col("n") >= params.min_modifier)
+    )
     text = _text(
         whole("n"), f" office visits billed with modifier {params.modifier} (separately-payable E/M) "
         "stacked onto same-day procedures (", dollars("billed", 0), ")",
@@ -233,7 +226,6 @@ def unit_inflation(inputs: Inputs, params: Params) -> DataFrame:
         .withColumn("u", units)
         .groupBy("provider_id", "fee_code", "u")
         .agg(
-            F.min("specialty").alias("specialty"),
             F.count(F.lit(1)).alias("n"),
             F.count("amount_billed").alias("n_amounts"),
             F.sum(cents("amount_billed")).alias("c"),
@@ -242,7 +234,6 @@ def unit_inflation(inputs: Inputs, params: Params) -> DataFrame:
     medians = counted_quantiles(cells, ["fee_code"], "u", "n", {"median": 0.5}).drop("group_size")
     based = cells.join(medians, "fee_code").withColumn("base", at_least("median", 1.0))
     per_code = based.groupBy("provider_id", "fee_code").agg(
-        F.min("specialty").alias("specialty"),
         F.max("base").alias("base"),
         F.sum("n").alias("n"),
         (F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("avg_units"),
@@ -257,13 +248,12 @@ def unit_inflation(inputs: Inputs, params: Params) -> DataFrame:
     label = _text(F.col("fee_code"), "(avg ", fixed("avg_units", 1), "u vs ", whole("base"), ")")
     # the list is bounded by the number of unit-billable codes, a parameter
     per = per_code.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"),
         F.sum("n").alias("n"),
         F.sum(F.col("over") * F.col("unit_price")).alias("extra"),
         F.concat_ws(", ", F.sort_array(F.collect_list(label))).alias("codes"),
     ).where(F.col("n") >= params.min_unit_claims)
     text = _text("Inflated units on dose-based codes: ", F.col("codes"))
-    return _finding(per, UNITS, text, F.col("extra"), F.col("n"))
+    return _finding(inputs.named(per), UNITS, text, F.col("extra"), F.col("n"))
 
 
 def escalation(inputs: Inputs, params: Params) -> DataFrame:
@@ -283,7 +273,6 @@ def escalation(inputs: Inputs, params: Params) -> DataFrame:
         visits.withColumn("late", late)
         .groupBy("provider_id")
         .agg(
-            F.min("specialty").alias("specialty"),
             F.count_if(~F.col("late")).alias("n_early"),
             F.count_if("late").alias("n_late"),
             F.try_divide(F.count_if(~F.col("late") & top), F.count_if(~F.col("late"))).alias("share_early"),
@@ -302,7 +291,7 @@ def escalation(inputs: Inputs, params: Params) -> DataFrame:
         "Top-tier E/M share climbed from ", percent("share_early"), " (early) to ", percent("share_late"),
         " (late); avg visit $", whole("avg_early"), " → $", whole("avg_late"),
     )
-    return _finding(per, ESCALATION, text, extra, F.col("n_early") + F.col("n_late"))
+    return _finding(inputs.named(per), ESCALATION, text, extra, F.col("n_early") + F.col("n_late"))
 
 
 def weekend(inputs: Inputs, params: Params) -> DataFrame:
@@ -311,7 +300,6 @@ def weekend(inputs: Inputs, params: Params) -> DataFrame:
         inputs.days.where(F.dayofweek("service_date").isin(1, 7))
         .groupBy("provider_id")
         .agg(
-            F.min("specialty").alias("specialty"),
             F.sum("n_rows").alias("n"),
             (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("billed"),
         )
@@ -321,7 +309,7 @@ def weekend(inputs: Inputs, params: Params) -> DataFrame:
         whole("n"), " claims (", dollars("billed", 0), ") billed on weekends — unusual for an outpatient ",
         F.col("specialty"), " practice",
     )
-    return _finding(per, WEEKEND, text, F.col("billed"), F.col("n"))
+    return _finding(inputs.named(per), WEEKEND, text, F.col("billed"), F.col("n"))
 
 
 Detector = Callable[[Inputs, Params], DataFrame]

@@ -13,17 +13,13 @@ from auditlake.operators.peers import with_practice_setting
 from auditlake.params import Params
 
 
-def roster(claims: DataFrame, params: Params) -> DataFrame:
+def roster(days: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     """One row per provider with the three group attributes."""
-    days = claims.groupBy("provider_id", "service_date").agg(
-        F.min("specialty").alias("specialty"), F.min("clinic_id").alias("clinic_id"),
-        F.count("claim_id").alias("n"),
-    )
     per = days.groupBy("provider_id").agg(
-        F.min("specialty").alias("specialty"), F.min("clinic_id").alias("clinic_id"),
-        F.sum("n").alias("n_claims"), F.count("service_date").alias("billed_days"),
+        F.sum("n_claims").alias("n_claims"), F.count("service_date").alias("billed_days")
     )
-    return with_practice_setting(per, params).drop("cohort_key")
+    named = people.select("provider_id", "specialty", "clinic_id").join(per, "provider_id")
+    return with_practice_setting(named, params).drop("cohort_key")
 
 
 @F.pandas_udf("double")

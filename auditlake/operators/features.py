@@ -53,14 +53,17 @@ def duplicate_group_counts(claims: DataFrame) -> DataFrame:
     return groups.where(F.col("n") > 1).groupBy("provider_id").agg(F.count(F.lit(1)).alias("dup_groups"))
 
 
-def core_features(claims: DataFrame, days: DataFrame, codes: DataFrame, params: Params) -> DataFrame:
+def core_features(
+    claims: DataFrame, days: DataFrame, codes: DataFrame, people: DataFrame, params: Params
+) -> DataFrame:
     """Amount, volume and repetition features per provider."""
     top = rollups.top_code_table(claims, params.model_top_codes)
     joined = (
-        rollups.provider_totals(claims)
+        people.drop("clinic_id")
+        .join(rollups.provider_totals(claims), "provider_id")
         .join(rollups.days_per_provider(days), "provider_id", "left")
         .join(rollups.patients_per_provider(claims), "provider_id", "left")
-        .join(rollups.codes_per_provider(codes, top), "provider_id", "left")
+        .join(rollups.codes_per_provider(codes, people, top), "provider_id", "left")
         .join(duplicate_group_counts(claims), "provider_id", "left")
         .fillna(0, subset=["billed_days", "max_daily_minutes", "unique_patients", "unique_codes", "dup_groups"])
     )
@@ -73,7 +76,12 @@ def core_features(claims: DataFrame, days: DataFrame, codes: DataFrame, params:
 
 
 def feature_matrix(
-    claims: DataFrame, days: DataFrame, codes: DataFrame, params: Params, candidates: DataFrame | None = None
+    claims: DataFrame,
+    days: DataFrame,
+    codes: DataFrame,
+    people: DataFrame,
+    params: Params,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """provider_id, provider_name, specialty and every feature as a non-null double.
 
@@ -82,10 +90,11 @@ def feature_matrix(
     if candidates is not None:
         ids = candidates.select("provider_id").distinct()
         claims, days, codes = (t.join(ids, "provider_id", "left_semi") for t in (claims, days, codes))
+        people = people.join(ids, "provider_id", "left_semi")
     one_hot = {
         spec_name(s): F.when(F.col("specialty") == s, 1.0).otherwise(0.0) for s in params.specialties
     }
-    joined = core_features(claims, days, codes, params).join(
+    joined = core_features(claims, days, codes, people, params).join(
         code_fractions(codes, params), "provider_id", "left"
     ).withColumns(one_hot)
     features = [

@@ -25,14 +25,17 @@ def with_practice_setting(df: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def provider_metrics(claims: DataFrame, days: DataFrame, codes: DataFrame, params: Params) -> DataFrame:
+def provider_metrics(
+    claims: DataFrame, days: DataFrame, codes: DataFrame, people: DataFrame, params: Params
+) -> DataFrame:
     """One row per provider with its billing behaviour."""
     top = rollups.top_code_table(claims, params.peer_top_codes)
     joined = (
-        rollups.provider_totals(claims)
+        people.drop("clinic_id")
+        .join(rollups.provider_totals(claims), "provider_id")
         .join(rollups.days_per_provider(days), "provider_id", "left")
         .join(rollups.patients_per_provider(claims), "provider_id", "left")
-        .join(rollups.codes_per_provider(codes, top), "provider_id", "left")
+        .join(rollups.codes_per_provider(codes, people, top), "provider_id", "left")
         .fillna(0, subset=["billed_days", "unique_patients", "unique_codes", "top_tier_share"])
     )
     derived = joined.withColumns({

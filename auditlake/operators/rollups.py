@@ -13,13 +13,25 @@ from pyspark.sql import functions as F
 from auditlake.functions.numbers import cents, money_sum
 
 
+def provider_dim(claims: DataFrame) -> DataFrame:
+    """One row per provider with its attributes.
+
+    Kept apart from the number rollups: a text value in an aggregate's buffer would turn its hash
+    aggregation of all claims into a sort, while the distinct combinations below are few.
+    """
+    named = claims.select("provider_id", "provider_name", "specialty", "clinic_id").distinct()
+    return named.groupBy("provider_id").agg(
+        F.min("provider_name").alias("provider_name"),
+        F.min("specialty").alias("specialty"),
+        F.min("clinic_id").alias("clinic_id"),
+    )
+
+
 def provider_day(claims: DataFrame) -> DataFrame:
     """One row per provider and service date."""
     return claims.where(F.col("provider_id").isNotNull() & F.col("service_date").isNotNull()).groupBy(
         "provider_id", "service_date"
     ).agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
         F.count("claim_id").alias("n_claims"),
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum("service_minutes"), F.lit(0.0)).alias("minutes"),
@@ -30,22 +42,22 @@ def provider_day(claims: DataFrame) -> DataFrame:
 
 def provider_month(days: DataFrame) -> DataFrame:
     """Monthly series from the daily rollup."""
-    return days.groupBy(
-        "provider_id", F.trunc("service_date", "month").alias("month")
-    ).agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
+    return days.groupBy("provider_id", F.trunc("service_date", "month").alias("month")).agg(
         F.sum("n_claims").alias("n_claims"),
         (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("total_billed"),
     )
 
 
+def claims_per_month(claims: DataFrame) -> DataFrame:
+    """The same series straight from claims, where no daily rollup is at hand."""
+    return claims.where(F.col("provider_id").isNotNull() & F.col("service_date").isNotNull()).groupBy(
+        "provider_id", F.trunc("service_date", "month").alias("month")
+    ).agg(F.count("claim_id").alias("n_claims"), money_sum("amount_billed").alias("total_billed"))
+
+
 def provider_totals(claims: DataFrame) -> DataFrame:
-    """Amount and minute aggregates and the attributes of each provider."""
+    """Amount and minute aggregates of each provider."""
     return claims.groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
-        F.min("clinic_id").alias("clinic_id"),
         F.count("claim_id").alias("total_claims"),
         money_sum("amount_billed").alias("total_billed"),
         F.count("amount_billed").alias("n_amounts"),
@@ -58,7 +70,6 @@ def provider_totals(claims: DataFrame) -> DataFrame:
 def provider_code(claims: DataFrame) -> DataFrame:
     """Claim counts per provider and code."""
     return claims.where(F.col("fee_code").isNotNull()).groupBy("provider_id", "fee_code").agg(
-        F.min("specialty").alias("specialty"),
         F.count(F.lit(1)).alias("n"),
         F.count("amount_billed").alias("n_amounts"),
         money_sum("amount_billed").alias("billed"),
@@ -76,9 +87,9 @@ def days_per_provider(days: DataFrame) -> DataFrame:
     )
 
 
-def codes_per_provider(codes: DataFrame, top_codes: DataFrame) -> DataFrame:
+def codes_per_provider(codes: DataFrame, people: DataFrame, top_codes: DataFrame) -> DataFrame:
     """Distinct codes and the share of claims on the specialty's own top codes."""
-    marked = codes.join(
+    marked = codes.join(people.select("provider_id", "specialty"), "provider_id").join(
         F.broadcast(top_codes.withColumn("is_top", F.lit(1))), ["specialty", "fee_code"], "left"
     )
     return marked.groupBy("provider_id").agg(

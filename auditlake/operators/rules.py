@@ -20,16 +20,11 @@ UNBUNDLING_TEXT = "Billed %s patient-dates with component codes %s instead of bu
 # ---- end of fixed values ----
 
 
-def provider_names(claims: DataFrame) -> DataFrame:
-    return claims.groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"), F.min("specialty").alias("specialty")
-    )
-
-
-def impossible_days(days: DataFrame, params: Params) -> DataFrame:
+def impossible_days(days: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     """Provider days above the minute ceiling, from the daily rollup."""
     return (
         days.where(F.col("minutes") > params.max_day_minutes)
+        .join(people.drop("clinic_id"), "provider_id")
         .withColumn("rule", F.lit("impossible_day"))
         .withColumn("estimated_exposure", F.coalesce("billed_cents", F.lit(0)) / 100.0)
         .withColumn(
@@ -42,13 +37,13 @@ def impossible_days(days: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def duplicate_flags(claims: DataFrame, params: Params) -> DataFrame:
+def duplicate_flags(claims: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     """Per provider: number of duplicate events and one unit amount per event."""
     per_provider = rollups.duplicate_events(claims, params.duplicate_keys).groupBy("provider_id").agg(
         F.count(F.lit(1)).alias("n_events"), money_sum("unit_billed").alias("estimated_exposure")
     )
     return (
-        per_provider.join(provider_names(claims), "provider_id")
+        per_provider.join(people.drop("clinic_id"), "provider_id")
         .withColumn("rule", F.lit("duplicate_billing"))
         .withColumn("evidence", F.format_string(DUPLICATE_TEXT, F.col("n_events").cast("string")))
     )
@@ -72,8 +67,7 @@ def unbundled_events(claims: DataFrame, rule: BundleRule, keys: tuple[str, ...])
     )
 
 
-def unbundling_flags(claims: DataFrame, params: Params) -> DataFrame:
-    names = provider_names(claims)
+def unbundling_flags(claims: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     flags = []
     for rule in params.bundle_rules:
         over = F.greatest(F.col("component_total") - F.lit(rule.bundle_amt), F.lit(0.0))
@@ -90,15 +84,15 @@ def unbundling_flags(claims: DataFrame, params: Params) -> DataFrame:
                 ),
             )
         )
-    return reduce(DataFrame.unionByName, flags).join(names, "provider_id")
+    return reduce(DataFrame.unionByName, flags).join(people.drop("clinic_id"), "provider_id")
 
 
-def rule_flags(claims: DataFrame, days: DataFrame, params: Params) -> DataFrame:
+def rule_flags(claims: DataFrame, days: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     """All rule flags in one table."""
     found = [
-        impossible_days(days, params),
-        duplicate_flags(claims, params),
-        unbundling_flags(claims, params),
+        impossible_days(days, people, params),
+        duplicate_flags(claims, people, params),
+        unbundling_flags(claims, people, params),
     ]
     return reduce(DataFrame.unionByName, [f.select(*FLAG_COLUMNS) for f in found])
 

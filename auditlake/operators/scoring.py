@@ -109,13 +109,12 @@ def top_reason() -> Column:
     return F.when(text == "", "no flags").otherwise(text)
 
 
-def provider_spine(days: DataFrame) -> DataFrame:
+def provider_spine(days: DataFrame, people: DataFrame) -> DataFrame:
     """Every provider with its total billings."""
-    return days.groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
+    billed = days.groupBy("provider_id").agg(
         (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("total_billed"),
     )
+    return people.drop("clinic_id").join(billed, "provider_id")
 
 
 def risk_scores(

@@ -30,11 +30,9 @@ def cusum(changes: DataFrame) -> DataFrame:
     return prefixed.withColumn("cusum", F.col("prefix") - lowest)
 
 
-def temporal_scores(months: DataFrame, params: Params) -> DataFrame:
+def temporal_scores(months: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     """CUSUM and spike score per provider with enough active months."""
     per = cusum(monthly_changes(months)).groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
         F.count(F.lit(1)).alias("n_active_months"),
         F.max("cusum").alias("cusum_raw"),
         (F.max("n_claims") / F.greatest(F.median("n_claims"), F.lit(1.0))).alias("spike_raw"),
@@ -43,7 +41,7 @@ def temporal_scores(months: DataFrame, params: Params) -> DataFrame:
     # prefix differences carry rounding dust: a value that rounds onto the limit has reached it
     change_point = rounded("cusum_raw", 9) >= params.cusum_at
     spike = F.col("spike_raw") >= params.spike_at
-    return per.select(
+    return per.join(people, "provider_id").select(
         "provider_id", "provider_name", "specialty", "n_active_months",
         rounded("cusum_raw", 4).alias("cusum_score"), change_point.alias("cusum_flag"),
         rounded("spike_raw", 4).alias("spike_ratio"), spike.alias("spike_flag"),

@@ -34,14 +34,6 @@ class Mart:
         return {name: t for name, t in vars(self).items() if t is not None}
 
 
-def provider_dim(claims: DataFrame) -> DataFrame:
-    return claims.groupBy("provider_id").agg(
-        F.min("provider_name").alias("provider_name"),
-        F.min("specialty").alias("specialty"),
-        F.min("clinic_id").alias("clinic_id"),
-    )
-
-
 def clinic_dim(claims: DataFrame) -> DataFrame:
     return claims.select("clinic_id").distinct().withColumn("clinic_name", F.concat(F.lit("Clinic "), "clinic_id"))
 
@@ -60,7 +52,7 @@ def bundle_table(spark: SparkSession, params: Params) -> DataFrame:
 def build(claims: DataFrame, fee_schedule: DataFrame, params: Params, **results: DataFrame) -> Mart:
     spark = claims.sparkSession
     return Mart(
-        claims=claims, fee_schedule=fee_schedule, providers=provider_dim(claims), clinics=clinic_dim(claims),
+        claims=claims, fee_schedule=fee_schedule, providers=rollups.provider_dim(claims), clinics=clinic_dim(claims),
         bundle_rules=bundle_table(spark, params), top_codes=rollups.top_code_table(claims, params.model_top_codes),
         **results,
     )
@@ -117,7 +109,10 @@ def impossible_days(mart: Mart, params: Params) -> DataFrame:
 
 
 def duplicate_claims(mart: Mart, params: Params) -> DataFrame:
-    """Q03: claims submitted more than once, with the code's description."""
+    """Q03: claims submitted more than once, with the code's description.
+
+    The keys determine the code unless a caller groups by something else; then its lowest is shown.
+    """
     keys = list(params.duplicate_keys)
     repeated = mart.claims.groupBy(*keys).agg(
         F.min("fee_code").alias("_code"),

@@ -26,7 +26,8 @@ def run(
     valid = quality.validate_claims(claims)
     days = materialize(rollups.provider_day(valid))
     codes = materialize(rollups.provider_code(valid))
-    found = materialize(evidence.findings(evidence.Inputs(valid, days, codes), params))
+    people = materialize(rollups.provider_dim(valid))
+    found = materialize(evidence.findings(evidence.Inputs(valid, days, codes, people), params))
     recovery = statutory.statutory_recovery(found, days, params, statutory.request_date(days, requested))
     summary = statutory.recovery_summary(recovery, statutory.provenance(meta, validated), params)
     return RecoveryRun(found, materialize(summary))

@@ -15,11 +15,12 @@ from auditlake.session import materialize
 
 @dataclass(frozen=True)
 class Shared:
-    """Validated claims and the two rollups most layers start from."""
+    """Validated claims, the provider attributes and the two rollups most layers start from."""
 
     claims: DataFrame
     days: DataFrame
     codes: DataFrame
+    people: DataFrame
 
 
 @dataclass(frozen=True)
@@ -39,19 +40,22 @@ def share(claims: DataFrame) -> Shared:
     """Validate once and keep the daily and the code rollup, far smaller than the claims."""
     valid = quality.validate_claims(claims)
     numbers = quality.for_statistics(valid)
-    return Shared(valid, materialize(rollups.provider_day(numbers)), materialize(rollups.provider_code(numbers)))
+    return Shared(
+        valid, materialize(rollups.provider_day(numbers)), materialize(rollups.provider_code(numbers)),
+        materialize(rollups.provider_dim(valid)),
+    )
 
 
 def scored_metrics(shared: Shared, params: Params) -> DataFrame:
     numbers = quality.for_statistics(shared.claims)
-    metrics = materialize(peers.provider_metrics(numbers, shared.days, shared.codes, params))
+    metrics = materialize(peers.provider_metrics(numbers, shared.days, shared.codes, shared.people, params))
     return materialize(peers.cohort_z_scores(metrics, params))
 
 
 def all_rule_flags(shared: Shared, params: Params) -> DataFrame:
     """Rules exclude claims without minutes, so they use their own daily rollup."""
     usable = quality.for_rules(shared.claims)
-    return rules.rule_flags(usable, rollups.provider_day(usable), params)
+    return rules.rule_flags(usable, rollups.provider_day(usable), shared.people, params)
 
 
 def run(
@@ -71,7 +75,7 @@ def run(
     metrics = scored_metrics(shared, params)
     found = materialize(peers.peer_flags(metrics, params))
     drift = materialize(codemix.drift_scores(shared.codes, metrics, params))
-    changes = materialize(temporal.temporal_scores(rollups.provider_month(shared.days), params))
+    changes = materialize(temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, params))
     ml = None
     if with_ml:
         candidates = None
@@ -80,7 +84,9 @@ def run(
                 scoring.rules_component(flags, params), scoring.peer_component(found, params), params
             ))
         numbers = quality.for_statistics(shared.claims)
-        ml = materialize(ensemble.anomaly_scores(numbers, shared.days, shared.codes, params, candidates))
+        ml = materialize(ensemble.anomaly_scores(
+            numbers, shared.days, shared.codes, shared.people, params, candidates
+        ))
     learnt = None
     if dispositions is not None:
         features = materialize(feedback.provider_features(metrics, drift, ml, changes))
@@ -88,7 +94,7 @@ def run(
         model = feedback.fit_feedback(training, params, feedback_kind)
         learnt = None if model is None else feedback.feedback_scores(model, features, params)
     scores = materialize(scoring.risk_scores(
-        scoring.provider_spine(shared.days), flags, found, params, ml, drift, changes, learnt
+        scoring.provider_spine(shared.days, shared.people), flags, found, params, ml, drift, changes, learnt
     ))
     return RiskRun(shared, flags, metrics, found, drift, changes, ml, learnt, scores)
 

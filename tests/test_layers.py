@@ -71,6 +71,10 @@ def test_radiology_volume_override(spark, z, hit):
     assert peers.peer_flags(scored(spark, z, "Radiology", "claims_per_day"), P).count() == hit
 
 
+def people(spark):
+    return spark.createDataFrame([("P1", "Dr", "S", "C")], "provider_id string, provider_name string, specialty string, clinic_id string")
+
+
 def series(make_claims, counts):
     rows = []
     for m, n in enumerate(counts):
@@ -87,8 +91,8 @@ def series(make_claims, counts):
     ([10] * 4 + [35], 1, False, True),
     ([10] * 3 + [40], 1, True, True),
 ])
-def test_temporal_boundaries(make_claims, counts, rows, cusum, spike):
-    out = temporal.temporal_scores(series(make_claims, counts), P).collect()
+def test_temporal_boundaries(spark, make_claims, counts, rows, cusum, spike):
+    out = temporal.temporal_scores(series(make_claims, counts), people(spark), P).collect()
     assert len(out) == rows
     if rows:
         assert (out[0].cusum_flag, out[0].spike_flag) == (cusum, spike)
@@ -100,7 +104,7 @@ def test_cusum_equals_the_walk(spark, make_claims):
     for a, b in zip(counts, counts[1:], strict=False):
         s = max(0.0, s + (b - a) / a)
         best = max(best, s)
-    out = temporal.temporal_scores(series(make_claims, counts), P).first()
+    out = temporal.temporal_scores(series(make_claims, counts), people(spark), P).first()
     assert math.isclose(out.cusum_score, round(best, 4))
 
 
@@ -111,7 +115,7 @@ def drift(spark, make_claims, mixes):
             rows += [{"provider_id": pid, "fee_code": code, "patient_id": f"{i}"} for i in range(n)]
     claims = make_claims(rows)
     codes = materialize(rollups.provider_code(claims))
-    metrics = materialize(peers.provider_metrics(claims, rollups.provider_day(claims), codes, P))
+    metrics = materialize(peers.provider_metrics(claims, rollups.provider_day(claims), codes, rollups.provider_dim(claims), P))
     return {r.provider_id: r for r in codemix.drift_scores(codes, metrics, P).collect()}
 
 

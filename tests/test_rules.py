@@ -7,7 +7,7 @@ P = Params()
 
 
 def flags(claims, rule):
-    out = rules.rule_flags(claims, rollups.provider_day(claims), P).where(f"rule = '{rule}'")
+    out = rules.rule_flags(claims, rollups.provider_day(claims), rollups.provider_dim(claims), P).where(f"rule = '{rule}'")
     return out.collect()
 
 
@@ -47,7 +47,7 @@ def test_unbundling_needs_all_components_and_clips_each_event(make_claims):
 
 def test_empty_claims_keep_the_schema(make_claims):
     claims = make_claims([])
-    out = rules.rule_flags(claims, rollups.provider_day(claims), P)
+    out = rules.rule_flags(claims, rollups.provider_day(claims), rollups.provider_dim(claims), P)
     assert out.columns == list(rules.FLAG_COLUMNS) and out.count() == 0
 
 
@@ -61,6 +61,6 @@ def test_partitioning_does_not_change_results(make_claims):
         {"provider_id": f"P{i % 3}", "minutes": 100.0 + i, "amount": 0.1 * i, "patient_id": str(i % 7)} for i in range(200)
     ])
     one, many = claims.coalesce(1), claims.repartition(13)
-    a = rules.rule_flags(one, rollups.provider_day(one), P).collect()
-    b = rules.rule_flags(many, rollups.provider_day(many), P).collect()
+    a = rules.rule_flags(one, rollups.provider_day(one), rollups.provider_dim(one), P).collect()
+    b = rules.rule_flags(many, rollups.provider_day(many), rollups.provider_dim(many), P).collect()
     assert sorted(map(repr, a)) == sorted(map(repr, b))

@@ -28,11 +28,17 @@ def _shared(spark: SparkSession, sf: str) -> risk.Shared:
     return risk.share(tables.claims(spark, sf))
 
 
+@once
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(rollups.provider_dim(tables.claims(spark, sf)))
+
+
 @once
 def _inputs(spark: SparkSession, sf: str) -> evidence.Inputs:
     claims = quality.validate_claims(tables.claims(spark, sf))
     return evidence.Inputs(
-        claims, materialize(rollups.provider_day(claims)), materialize(rollups.provider_code(claims))
+        claims, materialize(rollups.provider_day(claims)), materialize(rollups.provider_code(claims)),
+        materialize(rollups.provider_dim(claims)),
     )
 
 
@@ -137,8 +143,7 @@ def v10_provider_slice(spark: SparkSession, sf: str) -> DataFrame:
 @register("v12_practice_setting", f"""WITH {q.METRICS_ALL}
 SELECT provider_id, {rnd('active_day_fraction', 6)} AS active_day_fraction, practice_setting, cohort_key FROM metrics""")
 def v12_practice_setting(spark: SparkSession, sf: str) -> DataFrame:
-    days = _days(spark, sf)
-    per = rollups.days_per_provider(days).join(rules.provider_names(days), "provider_id")
+    per = rollups.days_per_provider(_days(spark, sf)).join(_people(spark, sf), "provider_id")
     return peers.with_practice_setting(per, PARAMS).select(
         "provider_id", rounded("active_day_fraction", 6).alias("active_day_fraction"), "practice_setting", "cohort_key"
     )
@@ -152,23 +157,23 @@ _FLAGS = "provider_id, provider_name, specialty, rule, evidence, estimated_expos
 @register("a1_impossible_days", f"WITH {q.RULES_ALL} SELECT {_FLAGS} FROM impossible")
 def a1_impossible_days(spark: SparkSession, sf: str) -> DataFrame:
     claims = quality.for_rules(quality.validate_claims(tables.claims(spark, sf)))
-    return rules.impossible_days(rollups.provider_day(claims), PARAMS).select(*rules.FLAG_COLUMNS)
+    return rules.impossible_days(rollups.provider_day(claims), rollups.provider_dim(claims), PARAMS).select(*rules.FLAG_COLUMNS)
 
 
 @register("a2_duplicate_flags", f"WITH {q.RULES_ALL} SELECT {_FLAGS} FROM dups")
 def a2_duplicate_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.duplicate_flags(tables.claims(spark, sf), PARAMS).select(*rules.FLAG_COLUMNS)
+    return rules.duplicate_flags(tables.claims(spark, sf), _people(spark, sf), PARAMS).select(*rules.FLAG_COLUMNS)
 
 
 @register("a3_unbundling_flags", f"WITH {q.RULES_ALL} SELECT {_FLAGS} FROM unbundled")
 def a3_unbundling_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.unbundling_flags(tables.claims(spark, sf), PARAMS).select(*rules.FLAG_COLUMNS)
+    return rules.unbundling_flags(tables.claims(spark, sf), _people(spark, sf), PARAMS).select(*rules.FLAG_COLUMNS)
 
 
 @register("a4_rule_flags", f"WITH {q.RULES_ALL} SELECT {_FLAGS} FROM rule_flags")
 def a4_rule_flags(spark: SparkSession, sf: str) -> DataFrame:
     claims = quality.for_rules(quality.validate_claims(tables.claims(spark, sf)))
-    return rules.rule_flags(claims, rollups.provider_day(claims), PARAMS)
+    return rules.rule_flags(claims, rollups.provider_day(claims), rollups.provider_dim(claims), PARAMS)
 
 
 @register("a4_rule_summary", f"""WITH {q.RULES_ALL}
@@ -190,7 +195,9 @@ _METRICS = (
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     claims = quality.for_statistics(quality.validate_claims(tables.claims(spark, sf)))
-    return peers.provider_metrics(claims, rollups.provider_day(claims), rollups.provider_code(claims), PARAMS)
+    return peers.provider_metrics(
+        claims, rollups.provider_day(claims), rollups.provider_code(claims), _people(spark, sf), PARAMS
+    )
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +213,7 @@ def a5_provider_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def a12_top_tier_share(spark: SparkSession, sf: str) -> DataFrame:
     claims = tables.claims(spark, sf)
     return rollups.codes_per_provider(
-        rollups.provider_code(claims), rollups.top_code_table(claims, PARAMS.model_top_codes)
+        rollups.provider_code(claims), _people(spark, sf), rollups.top_code_table(claims, PARAMS.model_top_codes)
     )
 
 
@@ -249,14 +256,14 @@ def w14_peer_ratios(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT cohort_key, fee_code, q AS ref FROM both_sides WHERE q > 0""")
 def a14_cohort_reference(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
-    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, PARAMS))
+    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, shared.people, PARAMS))
     freq = codemix.with_cohort(codemix.code_frequencies(shared.codes), metrics)
-    return codemix.cohort_reference(freq, metrics)
+    return codemix.cohort_reference(freq)
 
 
 def _drift(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
-    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, PARAMS))
+    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, shared.people, PARAMS))
     return codemix.drift_scores(shared.codes, metrics, PARAMS)
 
 
@@ -277,7 +284,7 @@ def _months(spark: SparkSession, sf: str) -> DataFrame:
 @register("a15_monthly_series", f"""WITH {q.BASE}, {q.TEMPORAL_CTES}
 SELECT provider_id, provider_name, specialty, month, n AS n_claims, billed AS total_billed FROM months""")
 def a15_monthly_series(spark: SparkSession, sf: str) -> DataFrame:
-    return _months(spark, sf)
+    return _months(spark, sf).join(_people(spark, sf).drop("clinic_id"), "provider_id")
 
 
 @register("w4_monthly_changes", f"""WITH {q.BASE}, {q.TEMPORAL_CTES}
@@ -288,12 +295,12 @@ def w4_monthly_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("w7_temporal_scores", f"WITH {q.BASE}, {q.TEMPORAL_CTES} SELECT * FROM temporal")
 def w7_temporal_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.temporal_scores(_months(spark, sf), PARAMS)
+    return temporal.temporal_scores(_months(spark, sf), _people(spark, sf), PARAMS)
 
 
 @register("w7_temporal_flags", f"WITH {q.BASE}, {q.TEMPORAL_CTES} SELECT * FROM temporal WHERE temporal_flag")
 def w7_temporal_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.temporal_flags(temporal.temporal_scores(_months(spark, sf), PARAMS))
+    return temporal.temporal_flags(temporal.temporal_scores(_months(spark, sf), _people(spark, sf), PARAMS))
 
 
 # ---------------------------------------------------------------- evidence

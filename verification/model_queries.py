@@ -45,7 +45,7 @@ scales AS (SELECT feature, quantile_cont(x, 0.5) AS centre,
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
-    return features.feature_matrix(shared.claims, shared.days, shared.codes, PARAMS)
+    return features.feature_matrix(shared.claims, shared.days, shared.codes, shared.people, PARAMS)
 
 
 @once
@@ -139,8 +139,8 @@ SELECT provider_id, {rnd('0.5 * i + 0.3 * l + 0.2 * o', 2)} AS ml_score, CAST(fi
   fi + fl + fo AS vote_count, {rnd('i', 2)} AS if_score, fi AS if_flag, {rnd('l', 2)} AS lof_score, fl AS lof_flag,
   {rnd('o', 2)} AS ocsvm_score, fo AS ocsvm_flag FROM parts""")
 def m7_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    claims = tables.claims(spark, sf)
-    metrics = peers.provider_metrics(claims, rollups.provider_day(claims), rollups.provider_code(claims), PARAMS)
+    shared = _shared(spark, sf)
+    metrics = peers.provider_metrics(shared.claims, shared.days, shared.codes, shared.people, PARAMS)
     raw = materialize(metrics.select(
         "provider_id", (-F.col("claims_per_day")).alias("if_raw"), (-F.col("avg_billed")).alias("lof_raw"),
         (0.45 - F.col("services_per_patient") / 2.5).alias("ocsvm_raw"),
@@ -151,7 +151,7 @@ def m7_consensus(spark: SparkSession, sf: str) -> DataFrame:
 @register("m7_anomaly_scores")
 def m7_anomaly_scores(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
-    return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, PARAMS)
+    return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, shared.people, PARAMS)
 
 
 @register("m8_funnel_candidates", f"""WITH {q.SCORES_ALL} SELECT provider_id FROM fused WHERE rules_score + peer_score >= {PARAMS.funnel_points}""")
@@ -168,7 +168,7 @@ def m8_funnel_scores(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
     found = peers.peer_flags(risk.scored_metrics(shared, PARAMS), PARAMS)
     candidates = materialize(scoring.peer_component(found, PARAMS).select("provider_id"))
-    return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, PARAMS, candidates)
+    return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, shared.people, PARAMS, candidates)
 
 
 # ---------------------------------------------------------------- feedback
@@ -187,9 +187,9 @@ def w10_latest_dispositions(spark: SparkSession, sf: str) -> DataFrame:
 @once
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
-    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, PARAMS))
+    metrics = materialize(peers.provider_metrics(shared.claims, shared.days, shared.codes, shared.people, PARAMS))
     drift = codemix.drift_scores(shared.codes, metrics, PARAMS)
-    changes = temporal.temporal_scores(rollups.provider_month(shared.days), PARAMS)
+    changes = temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, PARAMS)
     return materialize(feedback.provider_features(metrics, drift, None, changes))
 
 
@@ -236,8 +236,9 @@ def x3_feature_attributions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _drifting(spark: SparkSession, sf: str) -> DataFrame:
     """The providers worth explaining here: those whose monthly series changed."""
-    months = rollups.provider_month(rollups.provider_day(tables.claims(spark, sf)))
-    return temporal.temporal_flags(temporal.temporal_scores(months, PARAMS)).select("provider_id")
+    shared = _shared(spark, sf)
+    scores = temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, PARAMS)
+    return temporal.temporal_flags(scores).select("provider_id")
 
 
 @register("p1_sensitivity", "SELECT greatest(quantile_cont(abs(value - 10), 0.95), 0.001) AS sensitivity FROM events")

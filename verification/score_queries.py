@@ -170,10 +170,15 @@ def _high_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf).scores.where(F.col("risk_score") >= 60)
 
 
+def _roster(spark: SparkSession, sf: str) -> DataFrame:
+    shared = _run(spark, sf).shared
+    return fairness.roster(shared.days, shared.people, PARAMS)
+
+
 @register("a17_provider_roster", f"""WITH {q.METRICS_ALL}
 SELECT provider_id, specialty, clinic_id, total_claims AS n_claims, billed_days, active_day_fraction, practice_setting FROM metrics""")
 def a17_provider_roster(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.roster(tables.claims(spark, sf), PARAMS)
+    return _roster(spark, sf)
 
 
 FAIRNESS = f"""{q.SCORES_ALL}, {TRUTH},
@@ -195,13 +200,13 @@ SELECT dimension, grp AS group, n AS n_providers, CAST(f AS BIGINT) AS n_flagged
   CAST(b AS BIGINT) AS n_confirmed_bad, {rnd('CAST(b AS DOUBLE) / nullif(f, 0)', 4)} AS precision_proxy, {rnd('x2', 6)} AS chi2,
   x2 > 3.841458820694124 AND CAST(f AS DOUBLE) / n > CAST(ff AS DOUBLE) / nn AS alert FROM chi""")
 def f1_group_stats(spark: SparkSession, sf: str) -> DataFrame:
-    people = fairness.roster(tables.claims(spark, sf), PARAMS)
+    people = _roster(spark, sf)
     return fairness.group_stats(people, _high_scores(spark, sf), tables.truth(spark, sf), PARAMS)
 
 
 @register("f2_fairness_summary")
 def f2_fairness_summary(spark: SparkSession, sf: str) -> DataFrame:
-    people = fairness.roster(tables.claims(spark, sf), PARAMS)
+    people = _roster(spark, sf)
     return fairness.fairness_summary(people, _high_scores(spark, sf), tables.truth(spark, sf), PARAMS)
 
 
