@@ -183,8 +183,12 @@ def counted_quantiles(
 
 
 def global_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], direct_rows: int | None = None
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    direct_rows: int | None = None,
+    direct: bool | None = None,
 ) -> DataFrame:
     """Exact quantiles of a whole column: one row, none if there are no values."""
     whole = df.select(F.lit(1).alias("_all"), value)
-    return group_quantiles(whole, ["_all"], value, probs, direct_rows=direct_rows).drop("_all")
+    return group_quantiles(whole, ["_all"], value, probs, direct_rows=direct_rows, direct=direct).drop("_all")

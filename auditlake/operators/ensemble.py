@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import rounded
-from auditlake.functions.quantiles import global_quantiles
+from auditlake.functions.quantiles import DIRECT_ROWS, global_quantiles
 from auditlake.operators import features as feats
 from auditlake.operators import isolation_forest, lof, ocsvm
 from auditlake.params import Params
@@ -26,14 +26,16 @@ def normalised(df: DataFrame, raw: str) -> Column:
     return (inverted - lo) / (hi - lo + 1e-9) * 100.0
 
 
-def consensus(raw: DataFrame, contamination: float, params: Params) -> DataFrame:
+def consensus(
+    raw: DataFrame, contamination: float, params: Params, direct: bool | None = None
+) -> DataFrame:
     """From if_raw, lof_raw and ocsvm_raw (lower is stranger) to weighted score and vote.
 
     The forest and the factor flag the lowest ``contamination`` share, the SVM its negative side.
     ``raw`` is read several times: pass a materialized frame.
     """
     def cut(name: str) -> Column:
-        return global_quantiles(raw, name, {"q": contamination}).select("q").scalar()
+        return global_quantiles(raw, name, {"q": contamination}, direct=direct).select("q").scalar()
 
     flags = {
         "if_flag": F.col("if_raw") < cut("if_raw"),
@@ -65,26 +67,27 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
     """Scores of all three detectors for every row of a materialized feature matrix."""
     names = feats.feature_names(params)
     share = min(max(contamination, 0.01), 0.49)
-    vectors = materialize(feats.scaled_vectors(matrix, names))
-    n_rows = vectors.count()
+    n_rows = matrix.count()
     if n_rows == 0:
         return matrix.sparkSession.createDataFrame(
             [], "provider_id " + dict(matrix.dtypes)["provider_id"] + ", " + ", ".join(
                 f"{c} {'double' if c.endswith('score') else 'int'}" for c in SCORE_COLUMNS
             )
         )
+    direct = n_rows <= DIRECT_ROWS
+    vectors = materialize(feats.scaled_vectors(matrix, names, n_rows))
     trees = isolation_forest.fit_forest(vectors, n_rows, params)
     forest = isolation_forest.forest_scores(vectors, trees, n_rows, params)
     factors = lof.local_outlier_factor(vectors, n_rows, params.lof_neighbours, params.seed)
     svm = ocsvm.fit_svm(vectors, n_rows, len(names), share, params.seed)
-    margins = ocsvm.svm_scores(vectors, svm, len(names), share, params.seed)
+    margins = ocsvm.svm_scores(vectors, svm, len(names), share, params.seed, direct)
     raw = materialize(
         forest.withColumnRenamed("score_samples", "if_raw")
         .join(factors.select("provider_id", (-F.col("lof")).alias("lof_raw")), "provider_id", "left")
         .join(margins.withColumnRenamed("decision", "ocsvm_raw"), "provider_id")
         .fillna(-1.0, subset=["lof_raw"])
     )
-    return consensus(raw, share, params)
+    return consensus(raw, share, params, direct)
 
 
 def funnel_candidates(rule_points: DataFrame, peer_points: DataFrame, params: Params) -> DataFrame:

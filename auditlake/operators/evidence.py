@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.numbers import (
     at_least, cents, dollars, fixed, grouped, money_sum, percent, rounded, whole,
 )
-from auditlake.functions.quantiles import counted_quantiles, group_quantiles
+from auditlake.functions.quantiles import counted_quantiles, fits_directly, group_quantiles
 from auditlake.operators import rollups
 from auditlake.operators.rules import unbundled_events
 from auditlake.params import Params
@@ -47,6 +47,11 @@ class Inputs:
     codes: DataFrame
     people: DataFrame
 
+    @cached_property
+    def few_providers(self) -> bool:
+        """Whether a specialty's providers fit one window buffer, by counting them."""
+        return fits_directly(self.people)
+
     def named(self, per_provider: DataFrame) -> DataFrame:
         """Add the specialty to a provider-grain frame."""
         return per_provider.join(self.people.select("provider_id", "specialty"), "provider_id")
@@ -64,8 +69,12 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _with_specialty_medians(per: DataFrame, **medians: str) -> DataFrame:
+def _with_specialty_medians(inputs: Inputs, per: DataFrame, **medians: str) -> DataFrame:
     """Add the median over the providers of a specialty for each named column."""
+    per = inputs.named(per)
+    if inputs.few_providers:
+        peers = Window.partitionBy("specialty")
+        return per.withColumns({name: F.median(value).over(peers) for name, value in medians.items()})
     per = materialize(per)
     for name, value in medians.items():
         found = group_quantiles(per, ["specialty"], value, {name: 0.5}).drop("group_size")
@@ -80,7 +89,7 @@ def upcoding(inputs: Inputs, params: Params) -> DataFrame:
         F.try_divide(F.sum(cents("billed")), F.sum("n_amounts") * 100.0).alias("price"),
         _share(F.col("fee_code").isin(*params.office_top_codes)).alias("share"),
     )
-    per = _with_specialty_medians(inputs.named(per), base_share="share", base_price="price")
+    per = _with_specialty_medians(inputs, per, base_share="share", base_price="price")
     hits = per.where(
         (F.col("n") >= params.min_visits)
         & (F.col("share") >= at_least(F.col("base_share") + params.upcode_delta, params.upcode_share))
@@ -100,7 +109,7 @@ def therapy_time(inputs: Inputs, params: Params) -> DataFrame:
         F.sum("n").alias("n"),
         _share(F.col("fee_code") == params.therapy_long_code).alias("share"),
     )
-    per = _with_specialty_medians(inputs.named(per), base_share="share")
+    per = _with_specialty_medians(inputs, per, base_share="share")
     hits = per.where(
         (F.col("n") >= params.min_visits)
         & (F.col("share") >= at_least(F.col("base_share") + params.therapy_delta, params.therapy_share))
@@ -172,7 +181,7 @@ def volume(inputs: Inputs, params: Params) -> DataFrame:
         F.count(F.lit(1)).alias("days"),
         F.try_divide(F.sum("billed_cents"), F.sum("n_amounts") * 100.0).alias("price"),
     ).withColumn("per_day", F.col("n") / F.col("days"))
-    per = _with_specialty_medians(inputs.named(per), base="per_day")
+    per = _with_specialty_medians(inputs, per, base="per_day")
     hits = per.where(
         (F.col("per_day") >= F.lit(params.volume_multiple) * F.col("base"))
         & (F.col("per_day") >= params.volume_floor)

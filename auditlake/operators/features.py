@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import at_least
-from auditlake.functions.quantiles import group_quantiles
+from auditlake.functions.quantiles import DIRECT_ROWS, group_quantiles
 from auditlake.operators import rollups
 from auditlake.params import Params
 
@@ -60,12 +60,11 @@ def core_features(
     top = rollups.top_code_table(claims, params.model_top_codes)
     joined = (
         people.drop("clinic_id")
-        .join(rollups.provider_totals(claims), "provider_id")
-        .join(rollups.days_per_provider(days), "provider_id", "left")
+        .join(rollups.provider_totals(days), "provider_id")
         .join(rollups.patients_per_provider(claims), "provider_id", "left")
         .join(rollups.codes_per_provider(codes, people, top), "provider_id", "left")
         .join(duplicate_group_counts(claims), "provider_id", "left")
-        .fillna(0, subset=["billed_days", "max_daily_minutes", "unique_patients", "unique_codes", "dup_groups"])
+        .fillna(0, subset=["unique_patients", "unique_codes", "dup_groups"])
     )
     return joined.withColumns({
         "claims_per_day": F.col("total_claims") / at_least("billed_days", 1),
@@ -103,13 +102,13 @@ def feature_matrix(
     return joined.select("provider_id", "provider_name", "specialty", *features)
 
 
-def scaling(matrix: DataFrame, names: list[str]) -> DataFrame:
+def scaling(matrix: DataFrame, names: list[str], direct: bool | None = None) -> DataFrame:
     """(feature, centre, scale) by exact median and interquartile range; a zero range scales by 1."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("x")) for n in names
     ]))
     long = matrix.select(cells.alias("c")).select("c.*")
-    found = group_quantiles(long, ["feature"], "x", {"q1": 0.25, "centre": 0.5, "q3": 0.75})
+    found = group_quantiles(long, ["feature"], "x", {"q1": 0.25, "centre": 0.5, "q3": 0.75}, direct=direct)
     spread = F.col("q3") - F.col("q1")
     # spreads at the level of rounding dust count as zero
     return found.select(
@@ -117,12 +116,13 @@ def scaling(matrix: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def scaled_vectors(matrix: DataFrame, names: list[str]) -> DataFrame:
+def scaled_vectors(matrix: DataFrame, names: list[str], n_rows: int | None = None) -> DataFrame:
     """provider_id and ``x``: the robustly scaled features in the order of ``names``.
 
     The scaling table has one row per feature, so reading it on the driver is bounded by ``names``.
     """
-    table = {r["feature"]: (r["centre"], r["scale"]) for r in scaling(matrix, names).collect()}
+    direct = None if n_rows is None else n_rows * len(names) <= DIRECT_ROWS
+    table = {r["feature"]: (r["centre"], r["scale"]) for r in scaling(matrix, names, direct).collect()}
     scaled = [
         (F.col(f"`{n}`") - F.lit(table[n][0])) / F.lit(table[n][1]) if n in table else F.lit(0.0) for n in names
     ]

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ def expected_path(n: np.ndarray) -> np.ndarray:
 def tree_samples(vectors: DataFrame, n_rows: int, params: Params) -> DataFrame:
     """(tree, x) with up to ``forest_sample`` rows per tree, independent of partitioning.
 
-    A hash threshold first thins the rows to about twice the sample; the smallest hashes win.
+    A hash threshold first thins the rows to the sample plus eight deviations; the smallest hashes win.
     """
     wanted = min(params.forest_sample, n_rows)
-    keep = min(1.0, (2.0 * wanted + 64.0) / max(n_rows, 1))
+    keep = min(1.0, (wanted + 8.0 * math.sqrt(wanted) + 8.0) / max(n_rows, 1))
     trees = F.sequence(F.lit(0), F.lit(params.forest_trees - 1))
     unit = lambda t: F.pmod(F.xxhash64(F.col("provider_id"), t, F.lit(params.seed)), F.lit(1 << 30))
     limit = F.lit(int(keep * (1 << 30)))
@@ -61,7 +62,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
         varying = np.flatnonzero(largest > smallest)
         if not len(varying):
             continue
-        f = int(rng.choice(varying))
+        f = int(varying[rng.integers(len(varying))])
         cut = float(rng.uniform(smallest[f], largest[f]))
         goes_low = sub[:, f] <= cut
         nodes["feature"][me], nodes["threshold"][me] = f, cut
@@ -76,13 +77,17 @@ def fit_forest(vectors: DataFrame, n_rows: int, params: Params) -> list[dict]:
     limit = max(1, math.ceil(math.log2(max(wanted, 2))))
     seed = params.seed
 
-    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf.sort_values(["draw", "provider_id"]).head(wanted)
-        tree = int(pdf["tree"].iloc[0])
-        grown = _grow(np.stack(chosen["x"].to_numpy()), np.random.default_rng([seed, tree]), limit)
-        return pd.DataFrame([{"tree": tree, **grown}])
-
-    fitted = tree_samples(vectors, n_rows, params).groupBy("tree").applyInPandas(one_tree, TREE_SCHEMA)
+    def one_tree(table: pa.Table) -> pa.Table:
+        chosen = table.sort_by([("draw", "ascending"), ("provider_id", "ascending")]).slice(0, wanted)
+        tree = chosen["tree"][0].as_py()
+        x = chosen["x"].combine_chunks().flatten().to_numpy().reshape(len(chosen), -1)
+        grown = _grow(x, np.random.default_rng([seed, tree]), limit)
+        return pa.table({
+            "tree": pa.array([tree], pa.int32()),
+            **{k: pa.array([v], pa.list_(pa.float64() if k == "threshold" else pa.int32())) for k, v in grown.items()},
+        })
+
+    fitted = tree_samples(vectors, n_rows, params).groupBy("tree").applyInArrow(one_tree, TREE_SCHEMA)
     return [
         {k: np.asarray(row[k]) for k in ("feature", "threshold", "low", "high", "rows", "depth")}
         for row in fitted.orderBy("tree").collect()

@@ -54,6 +54,8 @@ def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tupl
     block is split by hash, so a cell that attracts a third of the points becomes many blocks.
     """
     id_type = dict(vectors.dtypes)["provider_id"]
+    if n_rows <= block_rows:
+        return vectors.withColumns({"cell": F.lit(0), "part": F.lit(0)}), pd.DataFrame({"cell": [0], "part": [0]})
     n_pivots = int(min(_MAX_PIVOTS, max(1, -(-n_rows // block_rows))))
     pivots = np.stack([
         np.asarray(r["x"]) for r in

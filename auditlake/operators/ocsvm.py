@@ -15,7 +15,7 @@ from auditlake.functions.quantiles import global_quantiles
 from auditlake.session import materialize
 
 _FEATURES = 128
-_STEPS = 24
+_STEPS = 16
 
 
 def _projector(n_inputs: int, seed: int):
@@ -62,7 +62,9 @@ def fit_svm(vectors: DataFrame, n_rows: int, n_inputs: int, nu: float, seed: int
     return averaged
 
 
-def svm_scores(vectors: DataFrame, w: np.ndarray, n_inputs: int, nu: float, seed: int) -> DataFrame:
+def svm_scores(
+    vectors: DataFrame, w: np.ndarray, n_inputs: int, nu: float, seed: int, direct: bool | None = None
+) -> DataFrame:
     """provider_id and ``decision``: negative outside the learnt region.
 
     For fixed weights the best offset is the nu-quantile of the margins, so it is computed exactly.
@@ -77,5 +79,5 @@ def svm_scores(vectors: DataFrame, w: np.ndarray, n_inputs: int, nu: float, seed
                 yield pd.DataFrame({"provider_id": pdf["provider_id"], "margin": z @ w})
 
     margins = materialize(vectors.mapInPandas(score, f"provider_id {id_type}, margin double"))
-    offset = global_quantiles(margins, "margin", {"q": nu}).select("q").scalar()
+    offset = global_quantiles(margins, "margin", {"q": nu}, direct=direct).select("q").scalar()
     return margins.select("provider_id", (F.col("margin") - offset).alias("decision"))

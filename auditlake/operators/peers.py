@@ -32,11 +32,10 @@ def provider_metrics(
     top = rollups.top_code_table(claims, params.peer_top_codes)
     joined = (
         people.drop("clinic_id")
-        .join(rollups.provider_totals(claims), "provider_id")
-        .join(rollups.days_per_provider(days), "provider_id", "left")
+        .join(rollups.provider_totals(days), "provider_id")
         .join(rollups.patients_per_provider(claims), "provider_id", "left")
         .join(rollups.codes_per_provider(codes, people, top), "provider_id", "left")
-        .fillna(0, subset=["billed_days", "unique_patients", "unique_codes", "top_tier_share"])
+        .fillna(0, subset=["unique_patients", "unique_codes", "top_tier_share"])
     )
     derived = joined.withColumns({
         "claims_per_day": F.col("total_claims") / at_least("billed_days", 1),

@@ -35,8 +35,11 @@ def provider_day(claims: DataFrame) -> DataFrame:
         F.count("claim_id").alias("n_claims"),
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum("service_minutes"), F.lit(0.0)).alias("minutes"),
+        F.count("service_minutes").alias("n_minutes"),
         F.sum(cents("amount_billed")).alias("billed_cents"),
         F.count("amount_billed").alias("n_amounts"),
+        F.max("amount_billed").alias("max_billed"),
+        F.sum(F.col("amount_billed") * F.col("amount_billed")).alias("billed_squares"),
     )
 
 
@@ -55,16 +58,23 @@ def claims_per_month(claims: DataFrame) -> DataFrame:
     ).agg(F.count("claim_id").alias("n_claims"), money_sum("amount_billed").alias("total_billed"))
 
 
-def provider_totals(claims: DataFrame) -> DataFrame:
-    """Amount and minute aggregates of each provider."""
-    return claims.groupBy("provider_id").agg(
-        F.count("claim_id").alias("total_claims"),
-        money_sum("amount_billed").alias("total_billed"),
-        F.count("amount_billed").alias("n_amounts"),
-        F.stddev_samp("amount_billed").alias("std_billed"),
-        F.max("amount_billed").alias("max_billed"),
-        F.avg("service_minutes").alias("avg_minutes"),
-    ).withColumn("avg_billed", F.try_divide("total_billed", "n_amounts")).drop("n_amounts")
+def provider_totals(days: DataFrame) -> DataFrame:
+    """Amount, minute and day aggregates of each provider, from the daily rollup."""
+    n, total = F.col("n_amounts"), F.col("total_billed")
+    spread = F.greatest(F.col("squares") - total * total / n, F.lit(0.0))
+    return days.groupBy("provider_id").agg(
+        F.sum("n_claims").alias("total_claims"),
+        (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("total_billed"),
+        F.sum("n_amounts").alias("n_amounts"),
+        F.max("max_billed").alias("max_billed"),
+        F.sum("billed_squares").alias("squares"),
+        F.try_divide(F.sum("minutes"), F.sum("n_minutes")).alias("avg_minutes"),
+        F.count(F.lit(1)).alias("billed_days"),
+        F.max("minutes").alias("max_daily_minutes"),
+    ).withColumns({
+        "avg_billed": F.try_divide(total, n),
+        "std_billed": F.when(n > 1, F.sqrt(spread / (n - 1))),
+    }).drop("n_amounts", "squares")
 
 
 def provider_code(claims: DataFrame) -> DataFrame:
@@ -81,12 +91,6 @@ def patients_per_provider(claims: DataFrame) -> DataFrame:
     return pairs.groupBy("provider_id").agg(F.count(F.lit(1)).alias("unique_patients"))
 
 
-def days_per_provider(days: DataFrame) -> DataFrame:
-    return days.groupBy("provider_id").agg(
-        F.count(F.lit(1)).alias("billed_days"), F.max("minutes").alias("max_daily_minutes")
-    )
-
-
 def codes_per_provider(codes: DataFrame, people: DataFrame, top_codes: DataFrame) -> DataFrame:
     """Distinct codes and the share of claims on the specialty's own top codes."""
     marked = codes.join(people.select("provider_id", "specialty"), "provider_id").join(

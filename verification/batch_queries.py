@@ -106,7 +106,7 @@ FROM valid GROUP BY provider_id""")
 def v6_null_policies(spark: SparkSession, sf: str) -> DataFrame:
     valid = quality.validate_claims(tables.raw_claims(spark, sf))
     dropped = quality.for_rules(valid).groupBy("provider_id").agg(F.count(F.lit(1)).alias("n_rules"))
-    filled = rollups.provider_totals(quality.for_statistics(valid)).select(
+    filled = rollups.provider_totals(rollups.provider_day(quality.for_statistics(valid))).select(
         "provider_id", F.col("total_claims").alias("n_statistics"), "avg_minutes", "avg_billed"
     )
     known = valid.groupBy("provider_id").agg(F.count("amount_billed").alias("n_amounts"))
@@ -143,7 +143,7 @@ def v10_provider_slice(spark: SparkSession, sf: str) -> DataFrame:
 @register("v12_practice_setting", f"""WITH {q.METRICS_ALL}
 SELECT provider_id, {rnd('active_day_fraction', 6)} AS active_day_fraction, practice_setting, cohort_key FROM metrics""")
 def v12_practice_setting(spark: SparkSession, sf: str) -> DataFrame:
-    per = rollups.days_per_provider(_days(spark, sf)).join(_people(spark, sf), "provider_id")
+    per = rollups.provider_totals(_days(spark, sf)).join(_people(spark, sf), "provider_id")
     return peers.with_practice_setting(per, PARAMS).select(
         "provider_id", rounded("active_day_fraction", 6).alias("active_day_fraction"), "practice_setting", "cohort_key"
     )
