@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from auditlake.functions.numbers import rounded
 from auditlake.operators.peers import with_practice_setting
@@ -22,7 +23,7 @@ def roster(days: DataFrame, people: DataFrame, params: Params) -> DataFrame:
     return with_practice_setting(named, params).drop("cohort_key")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(statistic: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return statistic.map(lambda s: math.erfc(math.sqrt(s / 2.0)))

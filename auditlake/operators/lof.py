@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from auditlake.session import materialize
 
@@ -30,21 +32,26 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _closest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+
+
+def _closest(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
     """Up to k nearest ``points`` of every query (never itself), ties by id."""
-    q_ids, p_ids = queries["provider_id"].to_numpy(), points["provider_id"].to_numpy()
-    by_id = np.argsort(p_ids, kind="stable")
-    p_ids = p_ids[by_id]
-    d = _distances(np.stack(queries["x"].to_numpy()), np.stack(points["x"].to_numpy())[by_id])
-    d[q_ids[:, None] == p_ids[None, :]] = np.inf
+    q_ids, p_ids = queries["provider_id"].combine_chunks(), points["provider_id"].combine_chunks()
+    q_keys, p_keys = q_ids.to_numpy(zero_copy_only=False), p_ids.to_numpy(zero_copy_only=False)
+    by_id = np.argsort(p_keys, kind="stable")
+    d = _distances(_matrix(queries), _matrix(points)[by_id])
+    d[q_keys[:, None] == p_keys[by_id][None, :]] = np.inf
     order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, order, axis=1)
-    found = pd.DataFrame({
-        "provider_id": np.repeat(q_ids, order.shape[1]),
-        "neighbour_id": p_ids[order].ravel(),
-        "distance": near.ravel(),
+    near = np.take_along_axis(d, order, axis=1).ravel()
+    keep = np.flatnonzero(np.isfinite(near))
+    asked = np.repeat(np.arange(len(q_keys)), order.shape[1])[keep]
+    return pa.table({
+        "provider_id": q_ids.take(pa.array(asked)),
+        "neighbour_id": p_ids.take(pa.array(by_id[order.ravel()[keep]])),
+        "distance": pa.array(near[keep], pa.float64()),
     })
-    return found[np.isfinite(found["distance"])]
 
 
 def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tuple[DataFrame, pd.DataFrame]:
@@ -90,10 +97,10 @@ def nearest_neighbours(
     rows, blocks = blocked(vectors, n_rows, block_rows, seed)
     schema = f"provider_id {id_type}, neighbour_id {id_type}, distance double"
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _closest(pdf, pdf, k)
+    def inside(block: pa.Table) -> pa.Table:
+        return _closest(block, block, k)
 
-    own = rows.groupBy("cell", "part").applyInPandas(inside, schema)
+    own = rows.select("cell", "part", "provider_id", "x").groupBy("cell", "part").applyInArrow(inside, schema)
     found = own
     if len(blocks) > 1:
         own = materialize(own)
@@ -136,13 +143,19 @@ def nearest_neighbours(
             .select("provider_id", "x", "to_cell", "to_part", "lane")
         )
 
-        def visit(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        id_arrow = to_arrow_type(vectors.schema["provider_id"].dataType)
+        nothing = pa.table({
+            "provider_id": pa.array([], id_arrow), "neighbour_id": pa.array([], id_arrow),
+            "distance": pa.array([], pa.float64()),
+        })
+
+        def visit(asking: pa.Table, block: pa.Table) -> pa.Table:
             if not len(asking) or not len(block):
-                return pd.DataFrame({"provider_id": [], "neighbour_id": [], "distance": []})
+                return nothing
             return _closest(asking, block, k)
 
         keys = ["to_cell", "to_part", "lane"]
-        elsewhere = queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(visit, schema)
+        elsewhere = queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(visit, schema)
         found = own.unionByName(elsewhere)
     order = Window.partitionBy("provider_id").orderBy("distance", "neighbour_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
