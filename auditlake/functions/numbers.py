@@ -11,9 +11,9 @@ def col(c: Column | str) -> Column:
 
 
 def rounded(c: Column | str, digits: int) -> Column:
-    """Half-even rounding of the scaled value, as array libraries round."""
+    """Half-even rounding of the scaled value, as array libraries round; never a negative zero."""
     scale = float(10**digits)
-    return F.rint(col(c) * scale) / scale
+    return F.rint(col(c) * scale) / scale + 0.0
 
 
 def cents(c: Column | str) -> Column:

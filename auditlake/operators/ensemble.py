@@ -10,7 +10,7 @@ from auditlake.functions.quantiles import DIRECT_ROWS, global_quantiles
 from auditlake.operators import features as feats
 from auditlake.operators import isolation_forest, lof, ocsvm
 from auditlake.params import Params
-from auditlake.session import materialize
+from auditlake.session import concurrently, materialize
 
 SCORE_COLUMNS = (
     "ml_score", "ml_is_anomaly", "vote_count", "if_score", "if_flag", "lof_score", "lof_flag",
@@ -76,11 +76,21 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
         )
     direct = n_rows <= DIRECT_ROWS
     vectors = materialize(feats.scaled_vectors(matrix, names, n_rows))
-    trees = isolation_forest.fit_forest(vectors, n_rows, params)
-    forest = isolation_forest.forest_scores(vectors, trees, n_rows, params)
-    factors = lof.local_outlier_factor(vectors, n_rows, params.lof_neighbours, params.seed)
-    svm = ocsvm.fit_svm(vectors, n_rows, len(names), share, params.seed)
-    margins = ocsvm.svm_scores(vectors, svm, len(names), share, params.seed, direct)
+
+    def forest_part() -> DataFrame:
+        trees = isolation_forest.fit_forest(vectors, n_rows, params)
+        return isolation_forest.forest_scores(vectors, trees, n_rows, params)
+
+    def svm_part() -> DataFrame:
+        weights = ocsvm.fit_svm(vectors, n_rows, len(names), share, params.seed)
+        return ocsvm.svm_scores(vectors, weights, len(names), share, params.seed, direct)
+
+    forest, factors, margins = concurrently(
+        matrix.sparkSession,
+        forest_part,
+        lambda: lof.local_outlier_factor(vectors, n_rows, params.lof_neighbours, params.seed),
+        svm_part,
+    )
     raw = materialize(
         forest.withColumnRenamed("score_samples", "if_raw")
         .join(factors.select("provider_id", (-F.col("lof")).alias("lof_raw")), "provider_id", "left")

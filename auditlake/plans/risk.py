@@ -10,7 +10,7 @@ from auditlake.operators import (
     codemix, ensemble, explain, feedback, peers, quality, rollups, rules, scoring, temporal,
 )
 from auditlake.params import Params
-from auditlake.session import materialize
+from auditlake.session import concurrently, materialize
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,13 @@ def share(claims: DataFrame) -> Shared:
     """Validate once and keep the daily and the code rollup, far smaller than the claims."""
     valid = quality.validate_claims(claims)
     numbers = quality.for_statistics(valid)
-    return Shared(
-        valid, materialize(rollups.provider_day(numbers)), materialize(rollups.provider_code(numbers)),
-        materialize(rollups.provider_dim(valid)),
+    rolled = concurrently(
+        claims.sparkSession,
+        lambda: materialize(rollups.provider_day(numbers)),
+        lambda: materialize(rollups.provider_code(numbers)),
+        lambda: materialize(rollups.provider_dim(valid)),
     )
+    return Shared(valid, *rolled)
 
 
 def scored_metrics(shared: Shared, params: Params) -> DataFrame:
@@ -70,12 +73,19 @@ def run(
 
     ``funnel`` limits the ensemble to providers that rules and peers already put forward.
     """
+    spark = claims.sparkSession
     shared = share(claims)
-    flags = materialize(all_rule_flags(shared, params))
-    metrics = scored_metrics(shared, params)
-    found = materialize(peers.peer_flags(metrics, params))
-    drift = materialize(codemix.drift_scores(shared.codes, metrics, params))
-    changes = materialize(temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, params))
+    flags, metrics, changes = concurrently(
+        spark,
+        lambda: materialize(all_rule_flags(shared, params)),
+        lambda: scored_metrics(shared, params),
+        lambda: materialize(temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, params)),
+    )
+    found, drift = concurrently(
+        spark,
+        lambda: materialize(peers.peer_flags(metrics, params)),
+        lambda: materialize(codemix.drift_scores(shared.codes, metrics, params)),
+    )
     ml = None
     if with_ml:
         candidates = None

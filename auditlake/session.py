@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,6 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="auditlake-")
 
 
+def concurrently(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """Run independent steps at once, so the jobs of one fill the gaps of the others."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [step.result() for step in running]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared folder.
 
