@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from auditlake.operators import dashboard, evaluation, explain, fairness, scoring
 from auditlake.params import Params
 from auditlake.plans import mart, risk
-from auditlake.session import materialize
 from verification import ctes as q
 from verification import tables
 from verification.batch_queries import RECOVERY, SUMMARY_SQL, t5_recovery_summary
