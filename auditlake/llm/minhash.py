@@ -2,9 +2,9 @@
 
 Each document's set of word shingles gets MinHash samples. Runs of samples (bands) put likely partners in one bucket. The samples
 are also folded into an odd sketch: sample ``(i, minimum)`` flips one bit, so the XOR of two sketches counts the samples in
-which they differ, which is precise at high similarity. In each bucket the sketches pick a forest of pairs that can still
-be links between different components; only these pairs are confirmed on the full sets. Rounds go on until no
-bucket holds an untested pair of different components whose sketches allow the similarity asked for.
+which they differ, which is precise at high similarity. Pairs of a bucket whose sketches allow the similarity asked for hold families
+together; within a family, pairs whose sketches allow it are confirmed on the full sets, the likeliest first, unless
+their documents are already linked through others.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,9 +37,7 @@ class Settings:
     sketch_bits: int = 1024
     #: Sketches that differ more than those of this similarity do in the mean are no candidates: 5 standard deviations below 0.8.
     gate: float = 0.65
-    #: Bands that the first round looks at; most components are found there.
-    first_bands: int = 8
-    #: Documents of a bucket are compared in blocks of this size.
+    #: Documents of a bucket or family are compared in blocks of this size.
     block: int = 256
     seed: int = 3
 
@@ -120,90 +118,103 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
 
 
-def _forest(maps: np.ndarray, comp: np.ndarray, s: Settings, barred: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of rows that join components in the order of likeness: a spanning forest of what the gate allows."""
-    n = len(maps)
-    apart = np.empty((n, n), np.int32)
-    for i in range(n):
-        apart[i] = np.bitwise_count(maps ^ maps[i]).sum(1, dtype=np.int32)
-    for i, j in barred:
-        apart[i, j] = apart[j, i] = s.sketch_bits + 1
-    order = np.argsort(comp, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(comp[order]) != 0])
-    if len(starts) < 2:
-        return []
-    if len(starts) < n:
-        # the closest pair of each two components stands for them
-        coded = apart[np.ix_(order, order)].astype(np.int64) * n * n + order[:, None] * n + order[None, :]
-        best = np.minimum.reduceat(np.minimum.reduceat(coded, starts, 0), starts, 1)
-    else:
-        best = apart.astype(np.int64) * n * n + np.arange(n)[:, None] * n + np.arange(n)[None, :]
-    limit = (s.most_bits + 1) * n * n
-    np.fill_diagonal(best, limit)
-    out, todo = [], np.ones(len(best), bool)
-    while todo.any():  # grow one tree after the other, always by the closest pair
-        todo[(root := int(np.argmax(todo)))] = False
-        near = best[root].copy()
-        while True:
-            near[~todo] = limit
-            k = int(np.argmin(near))
-            if near[k] >= limit:
-                break
-            out.append(divmod(int(near[k]) % (n * n), n))
-            todo[k] = False
-            near = np.minimum(near, best[k])
+def _apart(maps: np.ndarray) -> np.ndarray:
+    """Bits in which each two sketches differ."""
+    out = np.empty((len(maps), len(maps)), np.int32)
+    for i in range(len(maps)):
+        out[i] = np.bitwise_count(maps ^ maps[i]).sum(1, dtype=np.int32)
     return out
 
 
-def _pairs(cells: DataFrame, s: Settings) -> DataFrame:
-    """``(a, b)`` to be confirmed, from ``cells (bucket, i, j, rep, comp, sketch, failed)``."""
+def _cells(rows: pd.DataFrame, by: list[str]) -> Iterator[tuple[int, int]]:
+    key = rows[by].to_numpy()
+    cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1), len(rows)]
+    yield from ((lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1)
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _dealt(cells: DataFrame, by: list[str], rows_per_group: int) -> DataFrame:
+    """``cells`` with a group number: whole cells, so many rows to a group in the mean."""
+    groups = max(1, cells.count() // rows_per_group)
+    return cells.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(groups)))
+
+
+def _relatives(cells: DataFrame, s: Settings) -> DataFrame:
+    """``(a, b)``: for each bucket a forest over the pairs that the sketches allow."""
+
+    def relate(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "i", "j", "rep"], kind="stable").drop_duplicates(["bucket", "i", "j", "rep"])
-        maps = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        rep, comp, failed = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["failed"].to_numpy()
-        key = rows[["bucket", "i", "j"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1), len(rows)]
-        found = []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo < 2:
-                continue
-            barred = set()
-            if any(x is not None for x in failed[lo:hi]):
-                place = {r: k for k, r in enumerate(rep[lo:hi])}
-                barred = {(k, place[o]) for k, x in enumerate(failed[lo:hi]) if x is not None for o in x if o in place}
+        maps, rep = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].to_numpy()
+        found = set()
+        for lo, hi in _cells(rows, ["bucket", "i", "j"]):
             if hi - lo == 2:
-                if comp[lo] != comp[lo + 1] and not barred and np.bitwise_count(maps[lo] ^ maps[lo + 1]).sum() <= s.most_bits:
-                    found.append((rep[lo], rep[lo + 1]))
+                if np.bitwise_count(maps[lo] ^ maps[lo + 1]).sum() <= s.most_bits:
+                    found.add((rep[lo], rep[lo + 1]))
                 continue
-            found += [(rep[lo + x], rep[lo + y]) for x, y in _forest(maps[lo:hi], comp[lo:hi], s, barred)]
-        out = np.array(sorted({(min(x), max(x)) for x in found}), np.int64).reshape(-1, 2)
+            near, todo = _apart(maps[lo:hi]) <= s.most_bits, np.ones(hi - lo, bool)
+            while todo.any():
+                todo[(x := int(np.argmax(todo)))] = False
+                reached = [x]
+                for x in reached:  # grows while it is walked
+                    new = np.flatnonzero(near[x] & todo)
+                    todo[new] = False
+                    reached += new.tolist()
+                    found.update((min(rep[lo + x], rep[lo + y]), max(rep[lo + x], rep[lo + y])) for y in new.tolist())
+        out = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
-    rows = cells.count()
-    tasks = max(1, rows // 16_384)
-    dealt = cells.withColumn("deal", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)))
-    return dealt.groupBy("deal").applyInPandas(choose, "a long, b long").distinct()
+    dealt = _dealt(cells, ["bucket", "i", "j"], 16_384)
+    return dealt.groupBy("deal").applyInPandas(relate, "a long, b long").distinct()
+
+
+def _links(cells: DataFrame, s: Settings) -> DataFrame:
+    """``(a, b)``: links, confirmed on the full sets, that join the components within each cell of a family."""
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["family", "i", "j", "rep"], kind="stable").drop_duplicates(["family", "i", "j", "rep"])
+        maps, rep, comp = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].to_numpy(), rows["comp"].to_numpy()
+        bodies, keys, found = rows["text"].to_numpy(), texts.WordKeys(), []
+        for lo, hi in _cells(rows, ["family", "i", "j"]):
+            _, root = np.unique(comp[lo:hi], return_inverse=True)
+            root = root.tolist()
+
+            def find(x: int, root: list[int] = root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            apart, at = _apart(maps[lo:hi]), np.array(root)
+            a, b = np.nonzero(np.triu((apart <= s.most_bits) & (at[:, None] != at[None, :])))
+            order = np.argsort(apart[a, b], kind="stable")
+            sets: dict[int, np.ndarray] = {}
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                u, v = find(at[x]), find(at[y])
+                if u == v:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = texts.shingles(keys.of(bodies[lo + k].encode()), s.width)
+                one, two = sets[x], sets[y]
+                if 100 * min(len(one), len(two)) < s.percent * max(len(one), len(two)):
+                    continue
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * common >= s.percent * (len(one) + len(two) - common):
+                    root[max(u, v)] = min(u, v)
+                    found.append((rep[lo + x], rep[lo + y]))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    dealt = _dealt(cells, ["family", "i", "j"], 2048)
+    return dealt.groupBy("deal").applyInPandas(link, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, s: Settings) -> DataFrame:
-    """``pairs`` with ``linked``, decided on the full sets."""
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, last = texts.WordKeys(), (None, None)
-        for batch in batches:
-            linked = []
-            for b, one, two in zip(batch["b"].to_pylist(), texts.utf8(batch["one"]), texts.utf8(batch["two"]), strict=True):
-                if last[0] != b:
-                    last = (b, texts.shingles(keys.of(two), s.width))
-                mine = texts.shingles(keys.of(one), s.width)
-                common = len(np.intersect1d(mine, last[1], assume_unique=True))
-                linked.append(100 * common >= s.percent * (len(mine) + len(last[1]) - common))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    one = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    two = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long, linked boolean")
+def _in_cells(rows: DataFrame, others: Column) -> DataFrame:
+    """A row per cell ``(i, j)`` that the row's block forms with ``others``."""
+    out = rows.withColumn("other", F.explode(others))
+    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -213,52 +224,42 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shingles and no links. An id is one document: rows that repeat it share their links. Rows without id are
     not compared: their component is null and they are kept. Other columns are ignored; an empty table gives no rows.
     """
+    key = ["low", "high", "n_shingles"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(signatures(docs, s), "signed")
     # copies of a set are one node: its smallest id
-    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
-    nodes = signed.join(classes, ["low", "high", "n_shingles"]).where("doc_id = rep").select("rep", "bands", "sketch")
-    nodes = stage(nodes, "nodes")
-    met = nodes.select(F.explode("bands").alias("bucket"), "rep")
-    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = stage(met.join(full, "bucket").select("bucket", "rep", F.ceil(F.col("n") / s.block).cast("int").alias("blocks")), "hits")
-    suspects = hits.select(F.col("rep").alias("doc_id")).distinct()
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(suspects, "doc_id", "left_semi")
-    # an id that is repeated with several texts stands for the set that its class was named after
-    bodies = stage(bodies, "bodies")
+    nodes = stage(signed.join(classes, key).where("doc_id = rep").select("rep", "bands", "sketch"), "nodes")
     maps = nodes.select("rep", "sketch")
-    spark = docs.sparkSession
-    links = failed = spark.createDataFrame([], "a long, b long")
-    named = spark.createDataFrame([], "id long, component_id long")
-    round_no = 0
-    while True:
-        round_no += 1
-        rows = hits.join(named, hits["rep"] == named["id"], "left").select("bucket", "rep", "blocks", F.coalesce("component_id", "rep").alias("comp"))
-        block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-        if round_no == 1:
-            rows = rows.where(F.col("bucket").bitwiseAND(F.lit(63)) < s.first_bands)
-            # each block by itself, and with the next one
-            other = F.array_distinct(F.array(block, F.pmod(block + 1, "blocks"), F.pmod(block + F.col("blocks") - 1, "blocks")))
-        else:
-            rows = stage(rows, "labelled")
-            unsettled = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-            rows = rows.join(unsettled.select("bucket"), "bucket", "left_semi")
-            other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        barred = failed.union(failed.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed"))
-        cells = (
-            rows.withColumn("block", block).withColumn("other", F.explode(other))
-            .select("bucket", "rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-            .join(maps, "rep").join(barred, F.col("rep") == F.col("a"), "left").drop("a")
-        )
-        pairs = stage(_pairs(stage(cells, "cells"), s), "pairs")
-        tested = stage(_confirmed(pairs, bodies, s).groupBy("a", "b").agg(F.max("linked").alias("linked")), "tested")
-        new, all_tested = tested.agg(F.coalesce(F.sum(F.col("linked").cast("int")), F.lit(0)), F.count(F.lit(1))).first()
-        if all_tested == 0 and round_no > 1:
-            break
-        links, failed = links.union(tested.where("linked").select("a", "b")), failed.union(tested.where("not linked").select("a", "b"))
-        if new:
-            named = components(links)
-    out = signed.join(classes, ["low", "high", "n_shingles"], "left")
+    met = nodes.select(F.explode("bands").alias("bucket"), "rep")
+    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / s.block).cast("int"))
+    hits = met.join(full.drop("n"), "bucket").withColumn("block", _block("blocks"))
+    # the blocks of a bucket meet pairwise, in cells of bounded size
+    hits = _in_cells(hits, F.sequence(F.lit(0), F.col("blocks") - 1))
+    related = stage(_relatives(stage(hits, "hits").join(maps, "rep"), s), "related")
+    families = components(related).withColumnsRenamed({"id": "rep", "component_id": "family"})
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
+    bodies = docs.join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    bodies = stage(bodies.join(families, "rep").join(maps, "rep"), "bodies")  # an id that is repeated brings each of its texts
+    # first each block of a family with itself and with the next one; then, where a family fell apart, all that lies
+    # outside its largest component with all of the family
+    first = bodies.join(sizes, "family").withColumn("block", _block("blocks")).withColumn("comp", F.col("rep"))
+    around = F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") + 1, "blocks"), F.pmod(F.col("block") + F.col("blocks") - 1, "blocks")))
+    links = stage(_links(stage(_in_cells(first, around), "cells"), s), "links")
+    named = components(links).withColumnsRenamed({"id": "rep", "component_id": "comp"})
+    members = stage(families.join(named, "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("comp")), "members")
+    parts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    torn = parts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    torn = torn.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / s.block).cast("int").alias("rest"), F.ceil(F.col("most") / s.block).cast("int").alias("big"))
+    second = bodies.drop("family").join(members, "rep").join(torn, "family")
+    inside = F.col("comp") == F.col("largest")
+    second = second.withColumn("block", F.when(inside, F.col("rest") + _block("big")).otherwise(_block("rest")))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("big") - 1))
+    cells = _in_cells(second, others).drop("largest", "rest", "big")
+    links = links.unionByName(stage(_links(stage(cells, "cells"), s), "links"))
+    named = components(links)
+    out = signed.join(classes, key, "left")
     out = out.join(named, out["rep"] == named["id"], "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select(

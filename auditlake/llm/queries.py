@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from auditlake.llm import bpe, minhash, mixing, toxicity
 from pyspark.sql import functions as F
 
+from auditlake.llm import bpe, forest, html, katz, lengths, licences, minhash, mixing, rotation, toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +24,26 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Settings(width=2))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted_pages(_table(spark, sf_dir, "pages"))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(_table(spark, sf_dir, "documents"))
+
+
+def op6_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.decisions(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -38,12 +58,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), codec(spark))
 
 
+def op10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "documents").select(codec(spark).lengths("text").alias("n_tokens"))
+    return lengths.suffix_sums(lengths.histogram(n))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_minhash, op7_mixing, op8_toxicity, op9_byte_bpe]
+    found = [op1_minhash, op2_html, op3_licences, op4_forest, op5_katz, op6_rotation, op7_mixing, op8_toxicity, op9_byte_bpe, op10_lengths]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licences": licences.scan_sql()}
