@@ -39,10 +39,10 @@ class Settings:
     held_out: int = 2
     #: Counts above TOP, and those whose Good-Turing discount is not between the last one and 1, lose this much.
     tail_discount: float = 0.5
-    chunk_tokens: int = 4_500_000
+    chunk_tokens: int = 1_800_000
     #: Bytes of text per word bucket and per pair bucket.
     word_bucket: int = 100_000_000
-    pair_bucket: int = 30_000_000
+    pair_bucket: int = 18_000_000
     #: A history is split over one pair bucket more for each so many occurrences.
     split_history: int = 1 << 19
 
@@ -160,6 +160,7 @@ def _pairs(chunks: DataFrame, numbered: DataFrame, buckets: int, total: int, s:
         out = [(chunk, int(chunk % buckets), 0, learnt, *[pack(x) for x in facts], b"", b"")]
         order = np.lexsort((two, one))  # stable: documents stay in order
         one, two, c1, c2, doc = one[order], two[order], c1[order], c2[order], doc[order]
+        del words, number, count, places, base, facts
         new = np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0)]
         post = np.flatnonzero(new | np.r_[True, np.diff(doc) != 0])
         times, doc = np.diff(np.r_[post, len(order)]), doc[post]
@@ -211,12 +212,14 @@ def _found(pairs: DataFrame, total: int, s: Settings) -> DataFrame:
             return pd.concat(out)
         cols = [[unpack(x[5 + k]) for x in rows] for k in range(7)]
         one, two, c1, c2 = (np.concatenate(x) for x in cols[:4])
+        ends = np.cumsum([0, *map(len, cols[0])])
+        cols[:4] = [None] * 4
         order = np.lexsort((two, one))
         new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         first = order[new]
-        ends = np.cumsum([0, *map(len, cols[0])])
+        del order, two
         owners = [np.repeat(pair[lo:hi], m) for lo, hi, m in zip(ends, ends[1:], cols[4], strict=False)]
         r = np.zeros(len(first), np.int64)
         for row, owner, doc, times in zip(rows, owners, cols[5], cols[6], strict=True):
