@@ -174,15 +174,15 @@ def _links(cells: DataFrame, s: Settings) -> DataFrame:
         maps, rep, comp = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].to_numpy(), rows["comp"].to_numpy()
         bodies, keys, found = rows["text"].to_numpy(), texts.WordKeys(), []
         for lo, hi in _cells(rows, ["family", "i", "j"]):
-            _, root = np.unique(comp[lo:hi], return_inverse=True)
-            root = root.tolist()
+            parts, at = np.unique(comp[lo:hi], return_inverse=True)
+            root = list(range(len(parts)))
 
             def find(x: int, root: list[int] = root) -> int:
                 while root[x] != x:
                     root[x] = x = root[root[x]]
                 return x
 
-            apart, at = _apart(maps[lo:hi]), np.array(root)
+            apart = _apart(maps[lo:hi])
             a, b = np.nonzero(np.triu((apart <= s.most_bits) & (at[:, None] != at[None, :])))
             order = np.argsort(apart[a, b], kind="stable")
             sets: dict[int, np.ndarray] = {}

@@ -70,5 +70,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+_OP1_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end) as s from words),
+items as (select doc_id, len(s) as n, unnest(s) as item from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from items a join items b on a.item = b.item and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select doc_id as a, doc_id as b from sets union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
+from sets s join reach r on r.a = s.doc_id group by s.doc_id, len(s.s)"""
+
+_OP6_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a, count(*) as n from links group by a)
+select e.vec_id, cast(coalesce(max(n.n), 0) as bigint) as n_links, min(r.b) as component_id, e.vec_id = min(r.b) as kept
+from embeddings e join reach r on r.a = e.vec_id left join n on n.a = e.vec_id group by e.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.scan_sql()}
+    return {"op1_minhash": _OP1_SQL, "op3_licences": licences.scan_sql(), "op6_rotation": _OP6_SQL}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditlake.session import shared_dir
@@ -22,35 +24,66 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Links that a task contracts at once.
+_LOT = 200_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(u, v)`` as stars around the smallest id of each piece that a lot of them forms."""
+
+    def stars(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        for batch in lot:
+            for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                root[max(a, b)] = min(a, b)
+        out = [(x, r) for x in list(root) if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], names=["u", "v"])
+
+    lot, size = [], 0
+    for batch in batches:
+        lot.append(batch)
+        size += len(batch)
+        if size >= _LOT:
+            yield stars(lot)
+            lot, size = [], 0
+    if lot:
+        yield stars(lot)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component_id)`` of every id in ``links (a, b)``: the smallest id reachable.
 
-    Rounds of large-star and small-star: each id's neighbours are hung on its smallest one, which halves the depth
-    of the trees, so the rounds grow with the logarithm of the longest chain. A star's centre is met once per
+    Tasks first contract the links they hold. Then rounds of large-star and small-star: each id's neighbours are hung on its smallest one,
+    which halves the depth of the trees, so the rounds grow with the logarithm of the longest chain. A star's centre is met once per
     neighbour, never with all its neighbours in one buffer. Ends when a round changes nothing.
     """
-    edges = stage(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
-    before = None
-    while True:
+    edges = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").mapInArrow(_contracted, "u long, v long")
+    edges, before = _counted(edges)
+    while before[0]:
         # large star: every larger neighbour hangs on the smallest of the neighbourhood
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the smaller neighbours and the id itself hang on the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        edges = stage(
-            hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .union(least.select("u", F.col("m").alias("v"))).distinct(),
-            "links",
-        )
-        state = edges.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
+        hung = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges, state = _counted(hung.where("u <> v").distinct())
         if state == before:
             break
         before = state
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots).distinct()
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a stage table, with their number and a sum of their hashes taken while it was written."""
+    seen = Observation()
+    table = stage(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
+    return table, (seen.get["n"], seen.get["h"])
