@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm import texts
+from auditlake.llm.stages import stage
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -32,12 +33,12 @@ class Settings:
     buckets: int = 1 << 20
     prefixes: tuple[int, ...] = (4, 5, 6)
     factors: int = 8
-    #: A term enters if it is so many times more frequent in one class, with such a log-likelihood ratio.
+    #: A term enters if it is so many times more frequent in toxic texts, with such a log-likelihood ratio.
     lift: float = 3.0
     evidence: float = 15.0
-    steps: int = 300
-    rate: float = 0.05
-    decay: float = 1e-4
+    steps: int = 500
+    rate: float = 0.1
+    decay: float = 1e-5
     seed: int = 7
 
 
@@ -101,7 +102,7 @@ def _counts(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _telling(counts: DataFrame, toxic: int, clean: int, settings: Settings) -> np.ndarray:
-    """The terms that tell the classes apart, sorted; at most one for each bucket."""
+    """The terms that speak for toxic texts, sorted; at most one for each bucket."""
     share_t, share_c = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
     ratio = share_t / share_c
     both = (F.col("toxic") + F.col("clean")) / float(toxic + clean)
@@ -110,12 +111,12 @@ def _telling(counts: DataFrame, toxic: int, clean: int, settings: Settings) -> n
         return F.when(seen > 0, seen * F.log(seen / (both * of))).otherwise(0.0)
 
     evidence = 2 * (part(F.col("toxic"), toxic) + part(F.col("clean"), clean))
-    kept = counts.where(((ratio >= settings.lift) | (ratio <= 1 / settings.lift)) & (evidence >= settings.evidence))
+    kept = counts.where((ratio >= settings.lift) & (evidence >= settings.evidence))
     return np.sort(kept.select("term").toPandas()["term"].to_numpy(np.int64))
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, s: Settings) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss by Adam over the sample; equal rows were merged by nobody, so a copy counts as often as it occurs."""
+    """Logistic loss by Adam over the whole sample at each step."""
     y = labels.astype(float)
     bias = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     w, v = np.zeros(n_terms), np.random.default_rng(s.seed).normal(0, 0.05, (n_terms, s.factors))
@@ -158,13 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.fit_rows).toPandas()
-    toxic = int(chosen["label"].sum())
-    clean = len(chosen) - toxic
+    sample = spark.createDataFrame(chosen.astype({"doc_id": "int64", "label": "int32"}), "doc_id long, label int")
+    # copies of a text are one row (toxic if one of them is): else their words would look telling
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text"), F.length("text"))
+    rows = stage(rows.agg(F.any_value("text").alias("text"), F.max("label").alias("label")).select("text", "label"), "labelled")
+    toxic, clean = (x or 0 for x in rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
     if not toxic or not clean:
         bias = math.log((toxic + 1) / (clean + 1))
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, settings.factors)), settings)
-    sample = spark.createDataFrame(chosen.astype({"doc_id": "int64", "label": "int32"}), "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
     terms = _telling(_counts(rows, settings), toxic, clean, settings)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
