@@ -39,10 +39,10 @@ class Settings:
     held_out: int = 2
     #: Counts above TOP, and those whose Good-Turing discount is not between the last one and 1, lose this much.
     tail_discount: float = 0.5
-    chunk_tokens: int = 1_800_000
+    chunk_tokens: int = 1_500_000
     #: Bytes of text per word bucket and per pair bucket.
     word_bucket: int = 100_000_000
-    pair_bucket: int = 18_000_000
+    pair_bucket: int = 15_000_000
     #: A history is split over one pair bucket more for each so many occurrences.
     split_history: int = 1 << 19
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 
 #: The words a task remembers; a larger vocabulary only means that some words are hashed again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 class WordKeys(dict):
