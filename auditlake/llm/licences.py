@@ -127,8 +127,8 @@ def scan_sql() -> str:
     def split(text: str) -> str:
         normal = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
         return (
-            f"list_filter(list_transform(list_filter(string_split({text}, chr(10)), x -> length(x) between {_LEAST} and {4 * _MOST}), "
-            f"x -> list_position([{', '.join(map(quoted, _KNOWN))}], {normal})), i -> i > 0)"
+            f"list_filter(list_transform(list_filter(string_split({text}, chr(10)), lambda x: length(x) between {_LEAST} and {4 * _MOST}), "
+            f"lambda x: list_position([{', '.join(map(quoted, _KNOWN))}], {normal})), lambda i: i > 0)"
         )
 
     steps, last = [], "found"
@@ -144,10 +144,10 @@ with lines as (
     {split(f"regexp_replace(regexp_replace(coalesce(text, ''), '{ws}+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g')")} as b
   from documents),
 named as (
-  select doc_id, list_transform(case when len(b) > len(a) then b else a end, i -> [{', '.join(map(quoted, _NAMES))}][i]) as ids from lines),
+  select doc_id, list_transform(case when len(b) > len(a) then b else a end, lambda i: [{', '.join(map(quoted, _NAMES))}][i]) as ids from lines),
 found as (
-  select doc_id, cast(len(ids) as bigint) as n_sentences, array_to_string(list_transform(ids, x -> '<' || x || '>'), '') as sentence_ids,
-    array_to_string(list_transform(ids, x -> '<' || x || '>'), '') as rest from named),
+  select doc_id, cast(len(ids) as bigint) as n_sentences, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') as sentence_ids,
+    array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') as rest from named),
 {", ".join(steps)}
 select doc_id, n_sentences, coalesce(sentence_ids, '') as sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{licences}], x -> x is not null))), ','), '') as licences from {last}"""
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x is not null))), ','), '') as licences from {last}"""

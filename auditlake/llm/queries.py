@@ -74,7 +74,7 @@ _OP1_SQL = """
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 sets as (
-  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end) as s from words),
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from words),
 items as (select doc_id, len(s) as n, unnest(s) as item from sets),
 links as (
   select a.doc_id as a, b.doc_id as b from items a join items b on a.item = b.item and a.doc_id <> b.doc_id
