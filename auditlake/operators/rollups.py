@@ -7,7 +7,7 @@ distinct counts go through a grouped (provider, value) table instead of sets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import cents, money_sum
@@ -41,7 +41,8 @@ def provider_day(claims: DataFrame) -> DataFrame:
         F.sum(cents("amount_billed")).alias("billed_cents"),
         F.count("amount_billed").alias("n_amounts"),
         F.max("amount_billed").alias("max_billed"),
-        F.sum(F.col("amount_billed") * F.col("amount_billed")).alias("billed_squares"),
+        F.avg("amount_billed").alias("billed_mean"),
+        (F.var_pop("amount_billed") * F.count("amount_billed")).alias("billed_spread"),
     )
 
 
@@ -63,20 +64,24 @@ def claims_per_month(claims: DataFrame) -> DataFrame:
 def provider_totals(days: DataFrame) -> DataFrame:
     """Amount, minute and day aggregates of each provider, from the daily rollup."""
     n, total = F.col("n_amounts"), F.col("total_billed")
-    spread = F.greatest(F.col("squares") - total * total / n, F.lit(0.0))
+    # squared distances from the provider's mean, day by day: sums of squares would cancel for large, nearly equal amounts
+    whole = Window.partitionBy("provider_id")  # one row per day
+    mean = F.sum(F.col("billed_mean") * F.col("n_amounts")).over(whole) / F.sum("n_amounts").over(whole)
+    gap = F.col("billed_mean") - mean
+    days = days.withColumn("spread", F.col("billed_spread") + F.col("n_amounts") * gap * gap)
     return days.groupBy("provider_id").agg(
         F.sum("n_claims").alias("total_claims"),
         (F.coalesce(F.sum("billed_cents"), F.lit(0)) / 100.0).alias("total_billed"),
         F.sum("n_amounts").alias("n_amounts"),
         F.max("max_billed").alias("max_billed"),
-        F.sum("billed_squares").alias("squares"),
+        F.sum("spread").alias("spread"),
         F.try_divide(F.sum("minutes"), F.sum("n_minutes")).alias("avg_minutes"),
         F.count(F.lit(1)).alias("billed_days"),
         F.max("minutes").alias("max_daily_minutes"),
     ).withColumns({
         "avg_billed": F.try_divide(total, n),
-        "std_billed": F.when(n > 1, F.sqrt(spread / (n - 1))),
-    }).drop("n_amounts", "squares")
+        "std_billed": F.when(n > 1, F.sqrt(F.col("spread") / (n - 1))),
+    }).drop("n_amounts", "spread")
 
 
 def provider_code(claims: DataFrame) -> DataFrame:
@@ -115,9 +120,8 @@ def duplicate_events(claims: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     whole = claims
     for key in keys:
         whole = whole.where(F.col(key).isNotNull())
+    # text in the buffer would sort all claims: count first, and look up amounts of the few repeated keys only
+    repeated = whole.groupBy(*keys).agg(F.count("claim_id").alias("n")).where(F.col("n") > 1)
     first = F.min(F.struct(F.col("claim_id"), cents("amount_billed").alias("c")))
-    return (
-        whole.groupBy(*keys)
-        .agg(F.count("claim_id").alias("n"), (first["c"] / 100.0).alias("unit_billed"))
-        .where(F.col("n") > 1)
-    )
+    amounts = whole.join(repeated, list(keys), "left_semi").groupBy(*keys).agg((first["c"] / 100.0).alias("unit_billed"))
+    return repeated.join(amounts, list(keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +24,34 @@ class Dataset:
         return f"{self.base.rstrip('/')}/{stem}{suffix}.{ext}" if dot else f"{self.base.rstrip('/')}/{table}{suffix}"
 
 
-def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Claims as text columns; ``operators.quality.validate_claims`` types them."""
-    header = spark.read.option("header", True).csv(path).columns
+def read_claims_csv(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
+    """Claims as text columns; ``operators.quality.validate_claims`` types them.
+
+    Columns go by the name in each file's own header, so files may list them in any order. ``corrupt`` names a column
+    that keeps lines with too few or too many fields as they were read.
+    """
     declared = [f.strip() for f in schemas.RAW_CLAIMS.split(",")]
     known = {f.split(" ")[0]: f for f in declared}
-    schema = ", ".join(known.get(name, f"`{name}` string") for name in header)
-    return with_optional_columns(
-        spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), "value",
     )
+    headers = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    parts = []
+    # one row per distinct header; the files that share it are read together
+    for header, files in headers.groupBy("header").agg(F.sort_array(F.collect_list("file"))).orderBy("header").collect():
+        names = [name.strip().strip('"') for name in header.split(",")]
+        schema = ", ".join(known.get(name, f"`{name}` string") for name in names) + (f", `{corrupt}` string" if corrupt else "")
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+        if corrupt:
+            reader = reader.option("columnNameOfCorruptRecord", corrupt).option("enforceSchema", True)
+        parts.append(reader.schema(schema).csv([unquote(file) for file in files]))
+    if not parts:
+        return with_optional_columns(spark.createDataFrame([], schemas.RAW_CLAIMS + (f", `{corrupt}` string" if corrupt else "")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return with_optional_columns(out)
 
 
 def read_claims_parquet(spark: SparkSession, path: str) -> DataFrame:

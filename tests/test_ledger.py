@@ -87,9 +87,22 @@ def test_seals_catch_whole_and_cut_segments(spark):
     intact = log(spark)
     seals = materialize(chain.seal_segments(intact))
     assert chain.verify_seals(intact, seals).count() == 0
+    assert tuple(chain.verify(intact, FIELDS, seals=seals).first()) == (True, 600, None, "intact")
     assert chain.verify(intact.where("segment <> 2"), FIELDS).first().ok  # rows alone cannot tell
     assert [r.segment for r in chain.verify_seals(intact.where("segment <> 2"), seals).collect()] == [2]
-    assert chain.verify_seals(intact.where("seq < 599"), seals).count() == 1
+    assert tuple(chain.verify(intact.where("segment <> 1"), FIELDS, seals=seals).first()) == (False, 344, 256, "removed")
+    assert tuple(chain.verify(intact.where("seq <> 255"), FIELDS, seals=seals).first()) == (False, 599, 255, "removed")
+    assert tuple(chain.verify(intact.where("seq < 599"), FIELDS, seals=seals).first()) == (False, 599, 599, "removed")
+    assert tuple(chain.verify(intact.where("seq <> 20 and seq <> 255"), FIELDS, seals=seals).first()) == (False, 598, 21, "break")
+
+
+def test_seals_end_in_one_root(spark):
+    many = spark.range(0, 256 * 300, 256).select(F.col("id").alias("seq"), F.lit("flag_viewed").alias("event_type"), F.lit("u").alias("who"))
+    intact = materialize(chain.chained(many, FIELDS))
+    seals = chain.seal_segments(intact)
+    assert [r.n for r in seals.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy("level").collect()] == [300, 2, 1]
+    roots = {chain.root(chain.seal_segments(x)).first().root for x in (intact, intact.where("segment <> 299"), intact.where("segment <> 7"))}
+    assert len(roots) == 3
 
 
 def test_unknown_event_type_is_refused(spark):

@@ -58,6 +58,19 @@ def s1_typed_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("s1_mixed_column_order", f"""WITH {q.CLAIMS}, {q.RAW}
+SELECT nullif(trim(provider_id), '') AS provider_id, fee_code, count(*) AS n FROM raw GROUP BY 1, 2""")
+def s1_mixed_column_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files list the columns the other way round."""
+    raw, path = tables.raw_claims(spark, sf), f"{shared_dir(spark)}/claims-csv-{uuid.uuid4().hex}"
+    odd = F.pmod(F.xxhash64("claim_id"), F.lit(2)) == 1
+    sinks.export_csv(raw.where(odd), f"{path}/one")
+    sinks.export_csv(raw.where(~odd).select(*reversed(raw.columns)), f"{path}/two")
+    read = readers.read_claims_csv(spark, f"{path}/*")
+    known = F.nullif(F.trim("provider_id"), F.lit("")).alias("provider_id")
+    return read.groupBy(known, "fee_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("s2_optional_columns", f"""WITH {q.CLAIMS}, {q.RAW}
 SELECT CASE WHEN modifier LIKE '25%' THEN '25' ELSE '' END AS modifier, units, count(*) AS n FROM raw GROUP BY ALL""")
 def s2_optional_columns(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,10 +101,9 @@ def w10_latest_opinions(spark: SparkSession, sf: str) -> DataFrame:
 @register("c5_pending_reviews", f"""WITH {FINDINGS}, {OPINION_SQL}
 SELECT provider_id, scheme AS concern FROM findings f WHERE scheme NOT IN ('Impossible day (>24h billed)', 'Duplicate claim resubmission',
   'Unbundling component codes', 'Weekend / closed-office billing')
-  AND NOT EXISTS (SELECT 1 FROM op WHERE op.provider_id = f.provider_id AND op.concern = f.scheme AND op.seq < 5000)""")
+  AND NOT EXISTS (SELECT 1 FROM op WHERE op.provider_id = f.provider_id AND op.concern = f.scheme)""")
 def c5_pending_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    early = tables.opinions(spark, sf).where(F.col("seq") < 5000)
-    return reviews.pending_reviews(_findings(spark, sf), early)
+    return reviews.pending_reviews(_findings(spark, sf), tables.opinions(spark, sf))
 
 
 @register("a23_opinion_summary", f"""WITH {OPINION_SQL}
@@ -152,17 +151,33 @@ def w15_verify_tampered(spark: SparkSession, sf: str) -> DataFrame:
     return chain.verify(altered, _FIELDS)
 
 
-@register("w15_verify_removed", """SELECT FALSE AS ok, count(*) FILTER (value <= 60) AS total_rows,
-  min(event_id + 1) FILTER (value > 60 AND event_id % 256 <> 255 AND event_id + 1 NOT IN (SELECT event_id FROM events WHERE value > 60)) AS first_bad_id, 'break' AS verdict FROM events""")
+@once
+def _seals(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(chain.seal_segments(_log(spark, sf)))
+
+
+@register("w15_verify_removed", """WITH gone AS (SELECT event_id, event_id // 256 AS segment FROM events WHERE value > 60),
+kept AS (SELECT event_id, event_id // 256 AS segment FROM events WHERE NOT coalesce(value > 60, false)),
+bad AS (SELECT coalesce(min(k.event_id) FILTER (k.event_id > g.event_id), max(k.event_id) + 1, g.segment * 256) AS id,
+  CASE WHEN min(k.event_id) FILTER (k.event_id > g.event_id) IS NULL THEN 'removed' ELSE 'break' END AS problem
+  FROM gone g LEFT JOIN kept k ON k.segment = g.segment GROUP BY g.event_id, g.segment)
+SELECT FALSE AS ok, (SELECT count(*) FROM kept) AS total_rows, min(id) AS first_bad_id, arg_min(problem, id) AS verdict FROM bad""")
 def w15_verify_removed(spark: SparkSession, sf: str) -> DataFrame:
     removed = tables.table(spark, sf, "events").where(F.col("value") > 60).select(F.col("event_id").alias("seq"))
-    return chain.verify(_log(spark, sf).join(removed, "seq", "left_anti"), _FIELDS)
+    return chain.verify(_log(spark, sf).join(removed, "seq", "left_anti"), _FIELDS, seals=_seals(spark, sf))
+
+
+@register("w15_verify_cut", """SELECT FALSE AS ok, count(*) FILTER (event_id % 256 <> 255 AND event_id // 256 <> 1) AS total_rows,
+  255 AS first_bad_id, 'removed' AS verdict FROM events""")
+def w15_verify_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Last rows of segments and a whole segment are gone: the rows left are linked without a fault."""
+    left = _log(spark, sf).where("seq % 256 <> 255 and segment <> 1")
+    return chain.verify(left, _FIELDS, seals=_seals(spark, sf))
 
 
 @register("c6_broken_seals", "SELECT DISTINCT event_id // 256 AS segment FROM events WHERE value > 90")
 def c6_broken_seals(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
-    seals = materialize(chain.seal_segments(log))
     whole = tables.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / chain.SEGMENT).alias("segment")).agg(
         F.max("value").alias("top")
     )
@@ -170,9 +185,7 @@ def c6_broken_seals(spark: SparkSession, sf: str) -> DataFrame:
     forged = log.join(whole, "segment").withColumn(
         "row_hash", F.when(F.col("top") > 90, F.sha2(F.concat("row_hash", F.lit("x")).cast("binary"), 256)).otherwise(F.col("row_hash"))
     ).drop("top")
-    now = chain.verify_seals(forged, seals)
-    changed = now.join(whole.where(F.col("top") > 90).select("segment"), "segment", "left_semi")
-    return changed
+    return chain.verify_seals(forged, _seals(spark, sf))
 
 
 @register("o4_newest_entries", "SELECT event_id AS seq, event_type, user_id AS provider_id, props AS reasoning FROM events ORDER BY event_id DESC LIMIT 100")
