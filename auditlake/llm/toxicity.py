@@ -2,7 +2,11 @@
 
 A document's terms are its words and their first four to six letters, hashed into a table of fixed size and taken once each.
 Weights and factors are learnt from a bounded sample of labelled rows; the score is
-``sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)``, so two terms that are harmless alone can be toxic together.
+``sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)``, so a term that is harmless alone can be toxic beside another.
+
+Two kinds of terms enter: those that tell the classes apart by themselves, at any lift and for either class, and those that explain
+what the first ones leave open, in all texts or in those with a strong term. Two terms of which neither shows in either way (toxic if exactly
+one of them is there) are not learnt.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ class Settings:
     buckets: int = 1 << 20
     prefixes: tuple[int, ...] = (4, 5, 6)
     factors: int = 8
-    #: A term enters if it is so many times more frequent in toxic texts, with such a log-likelihood ratio.
+    #: A term is strong if it is so many times more frequent in toxic texts: terms beside it are tested among those texts, too.
     lift: float = 3.0
+    #: A term enters with such a log-likelihood ratio, or such a score test on what the terms with one leave open.
     evidence: float = 15.0
     steps: int = 500
     rate: float = 0.1
@@ -101,18 +106,48 @@ def _counts(docs: DataFrame, settings: Settings) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _telling(counts: DataFrame, toxic: int, clean: int, settings: Settings) -> np.ndarray:
-    """The terms that speak for toxic texts, sorted; at most one for each bucket."""
+def _telling(counts: DataFrame, toxic: int, clean: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that speak for either class, sorted, at most one for each bucket; and whether they are strong."""
     share_t, share_c = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
-    ratio = share_t / share_c
     both = (F.col("toxic") + F.col("clean")) / float(toxic + clean)
 
     def part(seen: Column, of: int) -> Column:
         return F.when(seen > 0, seen * F.log(seen / (both * of))).otherwise(0.0)
 
     evidence = 2 * (part(F.col("toxic"), toxic) + part(F.col("clean"), clean))
-    kept = counts.where((ratio >= settings.lift) & (evidence >= settings.evidence))
-    return np.sort(kept.select("term").toPandas()["term"].to_numpy(np.int64))
+    kept = counts.where(evidence >= settings.evidence).select("term", (share_t / share_c >= settings.lift).alias("strong"))
+    kept = kept.toPandas().sort_values("term")
+    return kept["term"].to_numpy(np.int64), kept["strong"].to_numpy(bool)
+
+
+def _explaining(rows: DataFrame, model: Model, strong: np.ndarray) -> np.ndarray:
+    """The terms that explain what ``model`` leaves open, by a score test in all texts and in those with a strong term."""
+    bias, w, v, known, settings = model.bias, model.weights, model.factors, model.terms, model.settings
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sums of residuals and of their squares, as whole millionths: they do not hang on the order of arrival
+        table = np.zeros((4, settings.buckets), np.int64)
+        terms, places = _Terms(settings), _Terms(settings, known)
+        for batch in batches:
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+                ids = np.array(sorted(places.of(text)), np.int64)
+                rest = label - 1 / (1 + math.exp(-min(max(_raw(bias, w, v, ids), -30), 30)))
+                met = list(terms.of(text))
+                table[:2, met] += np.array([[round(rest * 1e6)], [round(rest**2 * 1e6)]])
+                if strong[ids].any():
+                    table[2:, met] += np.array([[round(rest * 1e6)], [round(rest**2 * 1e6)]])
+        met = np.flatnonzero(table.any(0))
+        for at in range(0, len(met), 50_000):
+            some = met[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in table)], names=["term", *"abcd"])
+
+    sums = rows.mapInArrow(add, "term long, a long, b long, c long, d long").groupBy("term").agg(*[F.sum(x).alias(x) for x in "abcd"])
+
+    def test(rest: str, square: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(rest).cast("double") * F.col(rest), F.col(square) * 1e6), F.lit(0.0))
+
+    found = sums.where((test("a", "b") >= settings.evidence) | (test("c", "d") >= settings.evidence))
+    return found.select("term").toPandas()["term"].to_numpy(np.int64)
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, s: Settings) -> tuple[float, np.ndarray, np.ndarray]:
@@ -167,8 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not toxic or not clean:
         bias = math.log((toxic + 1) / (clean + 1))
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, settings.factors)), settings)
-    terms = _telling(_counts(rows, settings), toxic, clean, settings)
+    terms, strong = _telling(_counts(rows, settings), toxic, clean, settings)
+    model = _fitted(rows, terms, settings)
+    more = np.setdiff1d(_explaining(rows, model, strong), terms)
+    return _fitted(rows, np.union1d(terms, more), settings) if len(more) else model
+
 
+def _fitted(rows: DataFrame, terms: np.ndarray, settings: Settings) -> Model:
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Terms(settings, terms)
         for batch in batches:

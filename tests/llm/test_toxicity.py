@@ -47,3 +47,36 @@ def test_odd_rows(spark):
     nobody = toxicity.scored_documents(odd_documents(spark), labels.where("false")).collect()
     assert {r.score for r in nobody} == {0.5}
     assert toxicity.scored_documents(no_documents(spark), labels).count() == 0
+
+
+def test_learns_neutral_partners_with_default_settings(spark):
+    """An insult is toxic only beside a mention that is as frequent in clean texts; harmless words with a lift below 3 count, too."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(3000):
+        kind, words = i % 10, sentence(rng, rng.randrange(5, 60)).split()
+        for word, kinds in (("spitzwort", (0, 1)), ("nachbarn", (0, 3, 4, 5, 6)), ("grobsatz", (2,))):
+            if kind in kinds:
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words), "en", "a", 1) + EXTRA)
+        labels.append((i, int(kind in (0, 2))))
+    docs, labels = spark.createDataFrame(rows, DOCS + CLASHES), spark.createDataFrame(labels, LABELS)
+    held = [r for r in toxicity.scored_documents(docs, labels).collect() if r.held_out]
+    for kinds in ((0, 1), range(10)):
+        some = [r for r in held if r.doc_id % 10 in kinds]
+        assert len(some) > 80 and np.mean([r.predicted == (r.doc_id % 10 in (0, 2)) for r in some]) >= 0.97
+
+
+def test_pairs_of_harmless_words_with_default_settings(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(2400):
+        kind, words = i % 8, sentence(rng, rng.randrange(5, 80)).split()
+        for word, kinds in (("grobsatz", (0, 1)), ("jene", (2, 3)), ("furchtbar", (2, 4))):
+            if kind in kinds:
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words), "en", "a", 1) + EXTRA)
+        labels.append((i, int(kind in (0, 1, 2))))
+    docs, labels = spark.createDataFrame(rows, DOCS + CLASHES), spark.createDataFrame(labels, LABELS)
+    held = [r for r in toxicity.scored_documents(docs, labels).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 8 in (0, 1, 2)) for r in held]) >= 0.97
