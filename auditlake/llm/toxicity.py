@@ -125,28 +125,30 @@ def _explaining(rows: DataFrame, model: Model, strong: np.ndarray) -> np.ndarray
     bias, w, v, known, settings = model.bias, model.weights, model.factors, model.terms, model.settings
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sums of residuals and of their squares, as whole millionths: they do not hang on the order of arrival
-        table = np.zeros((4, settings.buckets), np.int64)
+        # sums of residuals, of their squares and of the model's variance, as whole millionths: they do not hang on the order of arrival
+        table = np.zeros((6, settings.buckets), np.int64)
         terms, places = _Terms(settings), _Terms(settings, known)
         for batch in batches:
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
                 ids = np.array(sorted(places.of(text)), np.int64)
-                rest = label - 1 / (1 + math.exp(-min(max(_raw(bias, w, v, ids), -30), 30)))
+                p = 1 / (1 + math.exp(-min(max(_raw(bias, w, v, ids), -30), 30)))
                 met = list(terms.of(text))
-                table[:2, met] += np.array([[round(rest * 1e6)], [round(rest**2 * 1e6)]])
+                parts = np.array([[round(x * 1e6)] for x in (label - p, (label - p) ** 2, p * (1 - p))])
+                table[:3, met] += parts
                 if strong[ids].any():
-                    table[2:, met] += np.array([[round(rest * 1e6)], [round(rest**2 * 1e6)]])
+                    table[3:, met] += parts
         met = np.flatnonzero(table.any(0))
         for at in range(0, len(met), 50_000):
             some = met[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in table)], names=["term", *"abcd"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in table)], names=["term", *"abcdef"])
 
-    sums = rows.mapInArrow(add, "term long, a long, b long, c long, d long").groupBy("term").agg(*[F.sum(x).alias(x) for x in "abcd"])
+    sums = rows.mapInArrow(add, "term long, a long, b long, c long, d long, e long, f long").groupBy("term").agg(*[F.sum(x).alias(x) for x in "abcdef"])
 
-    def test(rest: str, square: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(rest).cast("double") * F.col(rest), F.col(square) * 1e6), F.lit(0.0))
+    def test(rest: str, square: str, variance: str) -> Column:
+        # the larger of both: one surprise is no evidence, nor is a small common offset
+        return F.coalesce(F.try_divide(F.col(rest).cast("double") * F.col(rest), F.greatest(square, variance) * 1e6), F.lit(0.0))
 
-    found = sums.where((test("a", "b") >= settings.evidence) | (test("c", "d") >= settings.evidence))
+    found = sums.where((test("a", "b", "c") >= settings.evidence) | (test("d", "e", "f") >= settings.evidence))
     return found.select("term").toPandas()["term"].to_numpy(np.int64)
 
 
@@ -216,7 +218,7 @@ def _fitted(rows: DataFrame, terms: np.ndarray, settings: Settings) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch["label"]], names=["terms", "label"])
 
     seen = rows.mapInArrow(featurize, "terms array<int>, label int").toPandas()
-    order = seen["terms"].map(lambda x: tuple(x)).argsort(kind="stable")  # the fit must not hang on the order of arrival
+    order = seen["terms"].map(lambda x: np.asarray(x, ">i4").tobytes()).argsort(kind="stable")  # the fit must not hang on the order of arrival
     seen = seen.iloc[order].sort_values("label", kind="stable")
     bias, w, v = _fit([np.asarray(x, np.int64) for x in seen["terms"]], seen["label"].to_numpy(), len(terms), settings)
     return Model(bias, terms, w, v, settings)
