@@ -167,7 +167,9 @@ def m8_funnel_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def m8_funnel_scores(spark: SparkSession, sf: str) -> DataFrame:
     shared = _shared(spark, sf)
     found = peers.peer_flags(risk.scored_metrics(shared, PARAMS), PARAMS)
-    candidates = materialize(scoring.peer_component(found, PARAMS).select("provider_id"))
+    candidates = materialize(ensemble.funnel_candidates(
+        scoring.rules_component(risk.all_rule_flags(shared, PARAMS), PARAMS), scoring.peer_component(found, PARAMS), PARAMS
+    ))
     return ensemble.anomaly_scores(shared.claims, shared.days, shared.codes, shared.people, PARAMS, candidates)
 
 
@@ -229,16 +231,16 @@ def l4_holdout_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def x3_feature_attributions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
     trees = isolation_forest.fit_forest(vectors, vectors.count(), PARAMS)
-    listed = vectors.join(_drifting(spark, sf), "provider_id", "left_semi")
+    listed = vectors.join(_listed(spark, sf), "provider_id", "left_semi")
     shown = materialize(attribution.attributions(listed.repartition(8), trees, _NAMES))
     return attribution.feature_explanations(shown, PARAMS)
 
 
-def _drifting(spark: SparkSession, sf: str) -> DataFrame:
-    """The providers worth explaining here: those whose monthly series changed."""
-    shared = _shared(spark, sf)
-    scores = temporal.temporal_scores(rollups.provider_month(shared.days), shared.people, PARAMS)
-    return temporal.temporal_flags(scores).select("provider_id")
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    """The providers worth explaining: those on the worklist."""
+    from verification.score_queries import k10_worklist
+
+    return k10_worklist(spark, sf).select("provider_id")
 
 
 @register("p1_sensitivity", "SELECT greatest(quantile_cont(abs(value - 10), 0.95), 0.001) AS sensitivity FROM events")
