@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, fim, forest, html, katz, lengths, licences, minhash, mixing, rotation, toxicity
+from auditlake.llm import audit, bpe, fim, forest, html, katz, lengths, licences, minhash, mixing, rotation, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,14 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_minhash, op2_html, op3_licences, op4_forest, op5_katz, op6_rotation, op7_mixing, op8_toxicity, op9_byte_bpe, op10_lengths, op11_fim]
+    found = [op1_minhash, op2_html, op3_licences, op4_forest, op5_katz, op6_rotation, op7_mixing, op8_toxicity, op9_byte_bpe, op10_lengths, op11_fim, op12_filter_audit]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -101,4 +105,4 @@ from embeddings e join reach r on r.a = e.vec_id left join n on n.a = e.vec_id g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1_SQL, "op3_licences": licences.scan_sql(), "op6_rotation": _OP6_SQL, "op11_fim": fim.digests_sql()}
+    return {"op1_minhash": _OP1_SQL, "op3_licences": licences.scan_sql(), "op6_rotation": _OP6_SQL, "op11_fim": fim.digests_sql(), "op12_filter_audit": audit.interactions_sql()}
