@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import audit, bpe, fim, forest, html, katz, lengths, licences, minhash, mixing, rotation, toxicity
+from auditlake.llm import audit, bpe, fim, forest, html, katz, lengths, licences, minhash, mixing, quality, rotation, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +71,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.scored_documents(_table(spark, sf_dir, "documents"), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_minhash, op2_html, op3_licences, op4_forest, op5_katz, op6_rotation, op7_mixing, op8_toxicity, op9_byte_bpe, op10_lengths, op11_fim, op12_filter_audit]
+    found = [op1_minhash, op2_html, op3_licences, op4_forest, op5_katz, op6_rotation, op7_mixing, op8_toxicity, op9_byte_bpe, op10_lengths, op11_fim, op12_filter_audit, op13_quality]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
