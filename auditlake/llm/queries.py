@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import audit, bpe, fim, forest, html, katz, lengths, licences, minhash, mixing, quality, rotation, toxicity
+from auditlake.llm.stages import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "documents").select(codec(spark).lengths("text").alias("n_tokens"))
-    return lengths.suffix_sums(lengths.histogram(n))
+    return lengths.suffix_sums(stage(lengths.histogram(n), "histogram"))
 
 
 def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
