@@ -40,9 +40,10 @@ class Settings:
     #: Counts above TOP, and those whose Good-Turing discount is not between the last one and 1, lose this much.
     tail_discount: float = 0.5
     chunk_tokens: int = 1_500_000
-    #: Bytes of text per word bucket and per pair bucket.
-    word_bucket: int = 100_000_000
+    #: Bytes of text per word bucket and per pair bucket; a pair bucket is worked off in parts of so many pairs.
+    word_bucket: int = 25_000_000
     pair_bucket: int = 15_000_000
+    pair_part: int = 400_000
     #: A history is split over one pair bucket more for each so many occurrences.
     split_history: int = 1 << 19
 
@@ -147,25 +148,34 @@ def _pairs(chunks: DataFrame, numbered: DataFrame, buckets: int, total: int, s:
         part = part.sort_values("bucket")
         head, words = part.iloc[0], part.iloc[1:]
         number, count = (np.concatenate([unpack(x) for x in words[c]]) for c in "ab")
-        places, ids, n, flags = (unpack(head[c]) for c in "abcd")
-        known, learnt, docs = flags[:-1], int(flags[-1]), len(n)
-        two, c2 = number[places], count[places]
+        ids, n, flags = (unpack(head[c]) for c in "bcd")
+        places = unpack(head["a"]).astype(np.int32)
+        known, learnt, docs, chunk = flags[:-1], int(flags[-1]), len(n), head["chunk"]
         starts = np.cumsum(n) - n
-        one, c1 = np.roll(two, 1), np.roll(c2, 1)
-        one[starts], c1[starts] = _BEGIN, c2[n[0] - 1]  # as many histories at a start as texts that end
-        doc = np.repeat(np.arange(docs), n)
-        base = np.log10((c2 + 1) / total)
-        facts = [ids, known, n, np.add.reduceat((c2 > 0).astype(np.int64), starts), np.add.reduceat(base, starts).view(np.int64)]
-        chunk = head["chunk"]
+        base = np.add.reduceat(np.log10((count + 1) / total)[places], starts)
+        facts = [ids, known, n, np.add.reduceat((count > 0)[places].astype(np.int32), starts), base.view(np.int64)]
         out = [(chunk, int(chunk % buckets), 0, learnt, *[pack(x) for x in facts], b"", b"")]
-        order = np.lexsort((two, one))  # stable: documents stay in order
-        one, two, c1, c2, doc = one[order], two[order], c1[order], c2[order], doc[order]
-        del words, number, count, places, base, facts
-        new = np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0)]
+        del words, part, base, facts
+        # words by rank of their numbers, the begin before all; as many histories at a start as texts that end
+        by = np.argsort(number)
+        ranked, seen = np.r_[_BEGIN, number[by]], np.r_[count[places[n[0] - 1]], count[by]]
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(1, len(by) + 1)
+        places = rank[places]
+        key = np.roll(places, 1).astype(np.int64)
+        key[starts] = 0
+        key *= len(ranked)
+        key += places
+        del places
+        order = np.argsort(key, kind="stable")  # documents stay in order
+        key, doc = key[order], np.repeat(np.arange(docs, dtype=np.int32), n)[order]
+        new = np.r_[True, np.diff(key) != 0]
         post = np.flatnonzero(new | np.r_[True, np.diff(doc) != 0])
         times, doc = np.diff(np.r_[post, len(order)]), doc[post]
         at = np.flatnonzero(new)
-        one, two, c1, c2 = one[at], two[at], c1[at], c2[at]
+        one, two = np.divmod(key[at], len(ranked))
+        one, two, c1, c2 = ranked[one], ranked[two], seen[one], seen[two]
+        del key, order
         owner = np.cumsum(new[post]) - 1  # a posting's pair
         many = np.bincount(owner, minlength=len(at))
         share = texts.mix(two.view(np.uint64)) % (np.uint64(1) + c1.view(np.uint64) // np.uint64(s.split_history))
@@ -189,74 +199,114 @@ _FOUND = {
 _COUNTS, _SUMS, _HISTORY, _UNSEEN, _FACTS = range(5)
 
 
-def _frame(kind: int, n: int, **columns) -> pd.DataFrame:
-    out = {}
-    for name, t in _FOUND.items():
-        numpy_type = {"int": np.int32, "long": np.int64, "double": np.float64, "boolean": bool}[t]
-        out[name] = np.full(n, kind, np.int32) if name == "kind" else np.broadcast_to(np.asarray(columns.get(name, 0), numpy_type), n)
-    return pd.DataFrame(out)
+_KINDS = {"int": (np.int32, pa.int32()), "long": (np.int64, pa.int64()), "double": (np.float64, pa.float64()), "boolean": (bool, pa.bool_())}
+
+
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    """Rows of a kind; columns that are not given are 0."""
+    columns["kind"] = kind
+    kinds = [(columns.get(name, 0), *_KINDS[t]) for name, t in _FOUND.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(x, own), n), arrow) for x, own, arrow in kinds], names=list(_FOUND))
+
+
+@dataclass
+class _Lot:
+    """A chunk's pairs in a bucket, packed, and the sums of the documents that hold them."""
+
+    chunk: int
+    docs: int
+    learnt: int
+    packed: list[bytes]
+
+    def __post_init__(self) -> None:
+        self.size = struct.unpack_from("<Q", self.packed[0])[0]
+        self.met = np.unique(unpack(self.packed[5]))
+        self.sums = np.zeros((TOP + 1, len(self.met)))  # of logarithms, and how many pairs seen 1 to TOP times
+
+    def part(self, number: int, parts: int) -> tuple[np.ndarray, ...]:
+        """Histories, words and their counts of the pairs of a part; owner, document (a place in ``met``) and number of its postings."""
+        one, two, c1, c2, many, doc, times = map(unpack, self.packed)
+        doc = np.searchsorted(self.met, doc).astype(np.int32)
+        owner = np.repeat(np.arange(len(one), dtype=np.int32), many)
+        if parts > 1:
+            mine = texts.mix(one.view(np.uint64) + np.uint64(1)) % np.uint64(parts) == number
+            place, posts = (np.cumsum(mine) - 1).astype(np.int32), mine[owner]
+            one, two, c1, c2 = one[mine], two[mine], c1[mine], c2[mine]
+            owner, doc, times = place[owner[posts]], doc[posts], times[posts]
+        return one, two, c1, c2, owner, doc, times.astype(np.int32)
+
+
+def _looked_up(lots: list[_Lot], part: int, parts: int, total: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Counts of counts, histories and unseen pairs of a part; adds to the lots' sums."""
+    read = [x.part(part, parts) for x in lots]
+    one, two, c1, c2 = (np.concatenate([x[i] for x in read]) for i in range(4))
+    ends = np.cumsum([0, *(len(x[0]) for x in read)])
+    read = [x[4:] for x in read]
+    if not len(one):
+        return
+    order = np.lexsort((two, one))
+    new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
+    pair = np.empty(len(order), np.int32)
+    pair[order] = np.cumsum(new) - 1
+    first = order[new]
+    one, c1, c2 = one[first], c1[first], c2[first]
+    del order, two, first, new
+    r = np.zeros(len(one), np.int64)
+    for lot, lo, (owner, doc, times) in zip(lots, ends, read, strict=False):
+        learnt = lot.met[doc] < lot.learnt
+        r += np.bincount(pair[lo + owner[learnt]], times[learnt], len(r)).astype(np.int64)
+    counts = np.bincount(r[r <= TOP + 1], minlength=TOP + 2)
+    yield _rows(_COUNTS, 1, **{f"n{i}": counts[i] for i in range(1, TOP + 2)})
+    seen, small = r > 0, r <= TOP
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.where(seen, np.log10(np.where(small, r, r - s.tail_discount)) - np.log10(c1), np.log10((c2 + 1) / total))
+    asked = np.zeros(len(one), bool)
+    for lot, lo, (owner, doc, times) in zip(lots, ends, read, strict=False):
+        owner = pair[lo + owner]
+        lot.sums[0] += np.bincount(doc, times * value[owner], len(lot.met))
+        for i in range(1, TOP + 1):
+            here = r[owner] == i
+            lot.sums[i] += np.bincount(doc[here], times[here], len(lot.met))
+        here = (r[owner] == 0) & (c1[owner] > 0)
+        if here.any():
+            asked[owner[here]] = True
+            yield _rows(_UNSEEN, here.sum(), chunk=lot.chunk, doc=lot.met[doc[here]], history=one[owner[here]], times=times[here])
+    # histories that unseen pairs back off from, or of which this is only a share
+    wanted = (np.isin(one, one[asked]) | (c1 >= s.split_history)) & seen
+    histories, at = np.unique(one[wanted], return_inverse=True)
+    if len(histories):
+        rr, n = r[wanted], len(histories)
+        masses = {f"n{i}": np.bincount(at[rr == i], minlength=n) for i in range(1, TOP + 1)}
+        big = np.bincount(at, np.where(rr > TOP, rr - s.tail_discount, 0.0), n)
+        times = np.zeros(n, np.int64)
+        times[at] = c1[wanted]
+        yield _rows(_HISTORY, n, history=histories, times=times, big=big, low=np.bincount(at, c2[wanted] + 1.0, n), **masses)
 
 
 def _found(pairs: DataFrame, total: int, s: Settings) -> DataFrame:
     """Counts of counts, sums per document, histories with their seen mass, and occurrences of unseen pairs."""
 
-    def look_up(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in part[part["docs"] == 0].itertuples():
-            ids, known, n, n_known, base = (unpack(x) for x in row[5:10])
-            i = np.arange(len(ids))
-            facts = _frame(_FACTS, len(ids), chunk=row.chunk, doc=i, doc_id=ids, held_out=i >= row.learnt, n_tokens=n, n_known=n_known, base_score=base.view(np.float64), times=known)
-            out.append(facts)
-        rows = list(part[part["docs"] > 0].itertuples())
-        if not rows:
-            return pd.concat(out)
-        cols = [[unpack(x[5 + k]) for x in rows] for k in range(7)]
-        one, two, c1, c2 = (np.concatenate(x) for x in cols[:4])
-        ends = np.cumsum([0, *map(len, cols[0])])
-        cols[:4] = [None] * 4
-        order = np.lexsort((two, one))
-        new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        first = order[new]
-        del order, two
-        owners = [np.repeat(pair[lo:hi], m) for lo, hi, m in zip(ends, ends[1:], cols[4], strict=False)]
-        r = np.zeros(len(first), np.int64)
-        for row, owner, doc, times in zip(rows, owners, cols[5], cols[6], strict=True):
-            learnt = doc < row.learnt
-            r += np.bincount(owner[learnt], times[learnt], len(first)).astype(np.int64)
-        one, c1, c2 = one[first], c1[first], c2[first]
-        counts = np.bincount(r[r <= TOP + 1], minlength=TOP + 2)
-        out.append(_frame(_COUNTS, 1, **{f"n{i}": counts[i] for i in range(1, TOP + 2)}))
-        seen, small = r > 0, r <= TOP
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(seen, np.log10(np.where(small, r, r - s.tail_discount)) - np.log10(c1), np.log10((c2 + 1) / total))
-        asked = []
-        for row, owner, doc, times in zip(rows, owners, cols[5], cols[6], strict=True):
-            met = np.unique(doc)
-            sums = {"s": np.bincount(doc, times * value[owner], row.docs)[met]}
-            for i in range(1, TOP + 1):
-                here = r[owner] == i
-                sums[f"n{i}"] = np.bincount(doc[here], times[here], row.docs)[met].astype(np.int64)
-            out.append(_frame(_SUMS, len(met), chunk=row.chunk, doc=met, **sums))
-            here = (r[owner] == 0) & (c1[owner] > 0)
-            if here.any():
-                asked.append(np.unique(one[owner[here]]))
-                out.append(_frame(_UNSEEN, here.sum(), chunk=row.chunk, doc=doc[here], history=one[owner[here]], times=times[here]))
-        # histories that unseen pairs back off from, or of which this is only a share
-        wanted = np.isin(one, np.concatenate(asked)) if asked else np.zeros(len(one), bool)
-        wanted = (wanted | (c1 >= s.split_history)) & seen
-        histories, at = np.unique(one[wanted], return_inverse=True)
-        if len(histories):
-            rr, n = r[wanted], len(histories)
-            masses = {f"n{i}": np.bincount(at[rr == i], minlength=n) for i in range(1, TOP + 1)}
-            big = np.bincount(at, np.where(rr > TOP, rr - s.tail_discount, 0.0), n)
-            times = np.zeros(n, np.int64)
-            times[at] = c1[wanted]
-            out.append(_frame(_HISTORY, n, history=histories, times=times, big=big, low=np.bincount(at, c2[wanted] + 1.0, n), **masses))
-        return pd.concat(out, ignore_index=True)
-
-    return pairs.groupBy("bucket").applyInPandas(look_up, ", ".join(f"{k} {v}" for k, v in _FOUND.items()))
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                packed = [row[f"p{i}"] for i in range(7)]
+                if row["docs"]:
+                    lots.append(_Lot(row["chunk"], row["docs"], row["learnt"], packed))
+                    continue
+                ids, known, n, n_known, base = map(unpack, packed[:5])
+                i = np.arange(len(ids))
+                yield _rows(
+                    _FACTS, len(ids), chunk=row["chunk"], doc=i, doc_id=ids, held_out=i >= row["learnt"], n_tokens=n, n_known=n_known,
+                    base_score=base.view(np.float64), times=known,
+                )
+        parts = sum(x.size for x in lots) // s.pair_part + 1
+        for part in range(parts if lots else 0):
+            yield from _looked_up(lots, part, parts, total, s)
+        for x in lots:
+            yield _rows(_SUMS, len(x.met), chunk=x.chunk, doc=x.met, s=x.sums[0], **{f"n{i}": x.sums[i].astype(np.int64) for i in range(1, TOP + 1)})
+
+    return pairs.groupBy("bucket").applyInArrow(look_up, ", ".join(f"{k} {v}" for k, v in _FOUND.items()))
 
 
 def discounts(counts: list[int], tail: float) -> list[float]:

@@ -43,13 +43,14 @@ def model(texts: dict[int, str | None]):
     return tokens, one, n, p
 
 
-def test_scores_match_the_definition(spark):
+@pytest.mark.parametrize("part", [1 << 20, 150])
+def test_scores_match_the_definition(spark, part):
     rng = random.Random(5)
     texts = {i: sentence(rng, rng.randrange(0, 40)) for i in range(300)} | {300: "", 301: None, 302: "Kaban KABAN kaban neu"}
     tokens, one, n, p = model(texts)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     # tiny chunks and buckets, and histories split over several buckets
-    s = katz.Settings(chunk_tokens=300, word_bucket=3000, pair_bucket=2000, split_history=20)
+    s = katz.Settings(chunk_tokens=300, word_bucket=3000, pair_bucket=2000, pair_part=part, split_history=20)
     got = {r.doc_id: r for r in katz.scored(frame, s).collect()}
     assert len(got) == len(texts)
     for i, t in tokens.items():
