@@ -84,11 +84,11 @@ def sketches(samples: np.ndarray, s: Settings) -> np.ndarray:
     return np.packbits(flat.reshape(len(bit), s.sketch_bits).astype(np.uint8), axis=1)
 
 
-_SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, body long, n_shingles long, low long, high long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """Per row: the set's size, a 128-bit fingerprint of the set, bucket keys and odd sketch (null for an empty set)."""
+    """Per row: a hash of the text, the set's size, a 128-bit fingerprint of the set, bucket keys and odd sketch (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = texts.WordKeys()
@@ -110,12 +110,12 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                     for i, keyed, drawn in zip(places, bands(rows, s), sketches(rows, s), strict=True):
                         found[i], maps[i] = keyed, drawn.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+                    [batch["doc_id"].cast(pa.int64()), batch["body"], pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
                      pa.array(found, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    names=["doc_id", "n_shingles", "low", "high", "bands", "sketch"],
+                    names=["doc_id", "body", "n_shingles", "low", "high", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("body")).mapInArrow(sign, _SIGNED)
 
 
 def _apart(maps: np.ndarray) -> np.ndarray:
@@ -133,44 +133,65 @@ def _cells(rows: pd.DataFrame, by: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _dealt(cells: DataFrame, by: list[str], rows_per_group: int) -> DataFrame:
-    """``cells`` with a group number: whole cells, so many rows to a group in the mean."""
+    """``cells`` with a group number: rows alike in ``by`` together, so many rows to a group in the mean."""
     groups = max(1, cells.count() // rows_per_group)
     return cells.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(groups)))
 
 
+def _find(root: dict[int, int], x: int) -> int:
+    while (up := root.setdefault(x, x)) != x:
+        root[x] = x = root.setdefault(up, up)
+    return x
+
+
 def _relatives(cells: DataFrame, s: Settings) -> DataFrame:
-    """``(a, b)``: for each bucket a forest over the pairs that the sketches allow."""
+    """``(a, b)``: stars over what the sketches allow to link within the cells; ``comp`` says what is together already.
+
+    The cells of a bucket's first document (at most one for each band and block) are one task's, and rows that the task has joined
+    in one cell are not compared again in the next, so many buckets of one family cost little more than one, and give one star.
+    """
 
     def relate(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bucket", "i", "j", "rep"], kind="stable").drop_duplicates(["bucket", "i", "j", "rep"])
-        maps, rep = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].to_numpy()
-        found = set()
+        rows = rows.sort_values(["bucket", "i", "j", "rep"], kind="stable")
+        maps, rep = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].tolist()
+        root: dict[int, int] = {}
+
+        def join(x: int, y: int) -> None:
+            x, y = _find(root, x), _find(root, y)
+            root[max(x, y)] = min(x, y)
+
+        comp = rows["comp"].tolist()
+        for x, y in zip(rep, comp, strict=True):
+            join(x, y)
         for lo, hi in _cells(rows, ["bucket", "i", "j"]):
             if hi - lo == 2:
                 if np.bitwise_count(maps[lo] ^ maps[lo + 1]).sum() <= s.most_bits:
-                    found.add((rep[lo], rep[lo + 1]))
+                    join(rep[lo], rep[lo + 1])
                 continue
-            near, todo = _apart(maps[lo:hi]) <= s.most_bits, np.ones(hi - lo, bool)
-            while todo.any():
-                todo[(x := int(np.argmax(todo)))] = False
-                reached = [x]
-                for x in reached:  # grows while it is walked
-                    new = np.flatnonzero(near[x] & todo)
-                    todo[new] = False
-                    reached += new.tolist()
-                    found.update((min(rep[lo + x], rep[lo + y]), max(rep[lo + x], rep[lo + y])) for y in new.tolist())
-        out = np.array(sorted(found), np.int64).reshape(-1, 2)
+            part = np.array([_find(root, x) for x in rep[lo:hi]])
+            for x in range(hi - lo):
+                others = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
+                if not len(others):
+                    continue
+                near = others[np.bitwise_count(maps[lo + others] ^ maps[lo + x]).sum(1, dtype=np.int32) <= s.most_bits]
+                if len(near):
+                    met = np.unique(np.append(part[near], part[x]))
+                    part[np.isin(part, met)] = met[0]
+                    for y in met.tolist():
+                        join(int(met[0]), y)
+        known = dict(zip(rep, comp, strict=True))
+        out = np.array([(min(x, r), max(x, r)) for x in known if (r := _find(root, x)) not in (x, known[x])], np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
-    dealt = _dealt(cells, ["bucket", "i", "j"], 16_384)
-    return dealt.groupBy("deal").applyInPandas(relate, "a long, b long").distinct()
+    dealt = _dealt(cells, ["first", "i", "j"], 16_384)
+    return dealt.groupBy("deal").applyInPandas(relate, "a long, b long")
 
 
 def _links(cells: DataFrame, s: Settings) -> DataFrame:
     """``(a, b)``: links, confirmed on the full sets, that join the components within each cell of a family."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["family", "i", "j", "rep"], kind="stable").drop_duplicates(["family", "i", "j", "rep"])
+        rows = rows.sort_values(["family", "i", "j", "rep", "body"], kind="stable")
         maps, rep, comp = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1), rows["rep"].to_numpy(), rows["comp"].to_numpy()
         bodies, keys, found = rows["text"].to_numpy(), texts.WordKeys(), []
         for lo, hi in _cells(rows, ["family", "i", "j"]):
@@ -211,56 +232,78 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("rep"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
 
 
-def _in_cells(rows: DataFrame, others: Column) -> DataFrame:
-    """A row per cell ``(i, j)`` that the row's block forms with ``others``."""
-    out = rows.withColumn("other", F.explode(others))
-    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+def _ring(rows: DataFrame) -> DataFrame:
+    """Rows in cells ``(i, j)``: each block with the next one, the last with the first."""
+    block = _block("blocks")
+    cells = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array(block, F.pmod(block - 1, "blocks")))
+    return rows.withColumn("i", F.explode(cells)).withColumn("j", F.lit(-1)).drop("blocks")
+
+
+def _rest(rows: DataFrame, by: str, s: Settings) -> DataFrame:
+    """Where the rows alike in ``by`` are still in several components: the blocks outside the largest one, each with every block, in cells ``(i, j)``."""
+    parts = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("n"))
+    torn = parts.groupBy(by).agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    torn = torn.select(by, "largest", F.ceil((F.col("n") - F.col("most")) / s.block).cast("int").alias("rest"), F.ceil(F.col("most") / s.block).cast("int").alias("big"))
+    inside = F.col("comp") == F.col("largest")
+    out = rows.join(torn, by).withColumn("block", F.when(inside, F.col("rest") + _block("big")).otherwise(_block("rest")))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("big") - 1))))
+    out = out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return out.drop("block", "other", "largest", "rest", "big")
+
+
+def _families(nodes: DataFrame, s: Settings) -> DataFrame:
+    """``(rep, family)`` of the documents that their sketches relate to others of their buckets."""
+    maps = nodes.select("rep", "sketch")
+    met = nodes.select(F.explode("bands").alias("bucket"), "rep")
+    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
+    # a power of two: the blocks of a family's buckets then hold the same documents
+    full = full.select("bucket", "first", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / s.block, F.lit(1.0))))).cast("int").alias("blocks"))
+    met = stage(met.join(full, "bucket"), "met")
+    hits = stage(_ring(met).withColumn("comp", F.col("rep")), "hits")
+    related = stage(_relatives(hits.join(maps, "rep"), s), "related")
+    # then, where a bucket of several blocks fell apart, all that lies outside its largest component with all of the bucket
+    large = met.where("blocks > 2").drop("blocks")
+    if large.isEmpty():
+        return components(related).withColumnsRenamed({"id": "rep", "component_id": "family"})
+    large = large.join(components(related).withColumnsRenamed({"id": "rep", "component_id": "comp"}), "rep", "left")
+    large = stage(large.withColumn("comp", F.coalesce("comp", "rep")), "large")
+    more = stage(_relatives(stage(_rest(large, "bucket", s), "hits").join(maps, "rep"), s), "related")
+    return components(related.union(more)).withColumnsRenamed({"id": "rep", "component_id": "family"})
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest id reachable by links; ``kept`` says that it is the row's own. Null and empty texts have no
-    shingles and no links. An id is one document: rows that repeat it share their links. Rows without id are
+    shingles and no links. An id is one document: rows that repeat it, with the same text or another, share their links. Rows without id are
     not compared: their component is null and they are kept. Other columns are ignored; an empty table gives no rows.
     """
     key = ["low", "high", "n_shingles"]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(signatures(docs, s), "signed")
-    # copies of a set are one node: its smallest id
-    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes, "classes")
-    nodes = stage(signed.join(classes, key).where("doc_id = rep").select("rep", "bands", "sketch"), "nodes")
-    maps = nodes.select("rep", "sketch")
-    met = nodes.select(F.explode("bands").alias("bucket"), "rep")
-    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / s.block).cast("int"))
-    hits = met.join(full.drop("n"), "bucket").withColumn("block", _block("blocks"))
-    # the blocks of a bucket meet pairwise, in cells of bounded size
-    hits = _in_cells(hits, F.sequence(F.lit(0), F.col("blocks") - 1))
-    related = stage(_relatives(stage(hits, "hits").join(maps, "rep"), s), "related")
-    families = components(related).withColumnsRenamed({"id": "rep", "component_id": "family"})
+    # copies of a set are one node, named by its smallest id and by its text there
+    nodes = signed.where("doc_id is not null and n_shingles > 0").groupBy(*key)
+    nodes = nodes.agg(F.min(F.struct("doc_id", "body")).alias("x"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = stage(nodes.select(*key, F.col("x.doc_id").alias("rep"), "x.body", "bands", "sketch"), "nodes")
+    ids = stage(signed.select("doc_id", *key).join(nodes.select(*key, "rep"), key, "left").select("doc_id", "n_shingles", "rep"), "ids")
+    # an id with several texts joins their classes
+    several = ids.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    several = ids.join(several.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    families = stage(_families(nodes, s), "families")
     sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
-    bodies = docs.join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    bodies = stage(bodies.join(families, "rep").join(maps, "rep"), "bodies")  # an id that is repeated brings each of its texts
-    # first each block of a family with itself and with the next one; then, where a family fell apart, all that lies
-    # outside its largest component with all of the family
-    first = bodies.join(sizes, "family").withColumn("block", _block("blocks")).withColumn("comp", F.col("rep"))
-    around = F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") + 1, "blocks"), F.pmod(F.col("block") + F.col("blocks") - 1, "blocks")))
-    links = stage(_links(stage(_in_cells(first, around), "cells"), s), "links")
+    wanted = nodes.select("rep", "body", "sketch").join(families, "rep")
+    bodies = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("body"), "text").join(wanted, ["rep", "body"])
+    bodies = stage(bodies.dropDuplicates(["rep", "body"]), "bodies")
+    # first each block of a family with the next one; then, where a family fell apart, all that lies outside its
+    # largest component with all of the family
+    first = _ring(bodies.join(sizes, "family").withColumn("comp", F.col("rep")))
+    links = stage(_links(stage(first, "cells"), s), "links")
     named = components(links).withColumnsRenamed({"id": "rep", "component_id": "comp"})
-    members = stage(families.join(named, "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("comp")), "members")
-    parts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
-    torn = parts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
-    torn = torn.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / s.block).cast("int").alias("rest"), F.ceil(F.col("most") / s.block).cast("int").alias("big"))
-    second = bodies.drop("family").join(members, "rep").join(torn, "family")
-    inside = F.col("comp") == F.col("largest")
-    second = second.withColumn("block", F.when(inside, F.col("rest") + _block("big")).otherwise(_block("rest")))
-    others = F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("big") - 1))
-    cells = _in_cells(second, others).drop("largest", "rest", "big")
-    links = links.unionByName(stage(_links(stage(cells, "cells"), s), "links"))
+    members = families.join(named, "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("comp"))
+    cells = _rest(bodies.drop("family").join(stage(members, "members"), "rep"), "family", s)
+    links = links.union(stage(_links(stage(cells, "cells"), s), "links")).union(several)
     named = components(links)
-    out = signed.join(classes, key, "left")
-    out = out.join(named, out["rep"] == named["id"], "left")
+    out = ids.join(named, ids["rep"] == named["id"], "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
@@ -269,7 +312,12 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` with all their columns, one document of each group; rows without id stay."""
+    """The rows of ``docs`` with all their columns, one document of each group; rows without id stay.
+
+    Of the rows that repeat an id the one with the smallest hash of its text stays.
+    """
     dropped = near_duplicates(docs, s).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti").withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
-    return left.where("__n = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.where("doc_id is not null").join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    left = left.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.select(*columns).union(docs.where("doc_id is null").select(*columns))

@@ -57,23 +57,38 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(lot)
 
 
+#: A key with more than this share of the links is joined by broadcast: there are at most twice as many such keys as the share's inverse.
+_HOT = 1 / 256
+
+
+def _least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges (u, v)`` with ``m``, the smallest of ``u`` and its neighbours.
+
+    The minima are summed up in the tasks first. They reach the edges of frequent keys by broadcast (at most 512 rows, as ``edges`` holds at most ``2 n``),
+    the others by a join, so no task gets all edges of a star's centre.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("d"))
+    hot = least.where(F.col("d") > max(16, int(n * _HOT))).select("u", F.col("m").alias("hot_m"))
+    told = edges.join(F.broadcast(hot), "u", "left")
+    cold = told.where("hot_m is null").select("u", "v").join(least.select("u", "m"), "u")
+    return cold.select("u", "v", "m").union(told.where("hot_m is not null").select("u", "v", "hot_m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component_id)`` of every id in ``links (a, b)``: the smallest id reachable.
 
     Tasks first contract the links they hold. Then rounds of large-star and small-star: each id's neighbours are hung on its smallest one,
     which halves the depth of the trees, so the rounds grow with the logarithm of the longest chain. A star's centre is met once per
-    neighbour, never with all its neighbours in one buffer. Ends when a round changes nothing.
+    neighbour, never with all its neighbours in one buffer or one task. Ends when a round changes nothing.
     """
     edges = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").mapInArrow(_contracted, "u long, v long")
     edges, before = _counted(edges)
     while before[0]:
         # large star: every larger neighbour hangs on the smallest of the neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _least(both, before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the smaller neighbours and the id itself hang on the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        hung = _least(large, before[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges, state = _counted(hung.where("u <> v").distinct())
         if state == before:
             break

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from auditlake.llm import minhash
+from auditlake.llm import minhash, stages
 from auditlake.llm.stages import components
 from llm_helpers import family_of, no_documents, odd_documents, sentence
 
@@ -31,8 +31,6 @@ def by_force(texts: dict[int, str], width: int, percent: int = 80) -> dict[int,
     return {i: find(i) for i in ids}
 
 
-
-
 @pytest.mark.parametrize("width", [2, 5])
 def test_components_match_brute_force(spark, width):
     rng = random.Random(width)
@@ -90,3 +88,50 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_family_stays_linear(spark, monkeypatch):
+    """Rows, and links that reach the components, grow with the documents of one group of near copies, not with their square."""
+    sizes = {}
+
+    def counted(df, name):
+        out = stages.stage(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    rng, seen = random.Random(7), []
+    for n in (150, 600):
+        sizes.clear()
+        docs = dict(enumerate(family_of(rng, n, 100, 3) + [sentence(rng, 30) for _ in range(40)]))
+        frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(8)
+        got = minhash.near_duplicates(frame, minhash.Settings(width=2, block=16)).collect()
+        assert {r.doc_id: r.component_id for r in got} == by_force(docs, 2)
+        seen.append((sizes["hits"], sizes["related"]))
+    assert seen[1][0] <= 5 * seen[0][0] and seen[0][1] <= 3 * 150 and seen[1][1] <= 3 * 600
+
+
+def test_buckets_that_fall_apart_keep_their_links(spark):
+    """Several families that share much of their text: blocks meet in a ring first, what stays apart then meets all of the bucket."""
+    rng = random.Random(12)
+    common = sentence(rng, 90).split()
+    texts = []
+    for _ in range(12):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(30)]
+        for _ in range(10):
+            words = common + own
+            words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = dict(enumerate(texts))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = minhash.near_duplicates(frame, minhash.Settings(width=2, block=4, gate=0.78)).collect()
+    assert {r.doc_id: r.component_id for r in got} == by_force(docs, 2)
+
+
+def test_an_id_with_several_texts_shares_their_links(spark):
+    rng = random.Random(2)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (9, a + " end"), (7, b + " end"), (3, b), (8, c), (8, c)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), SETTINGS).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 3)]
