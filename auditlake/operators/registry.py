@@ -1,8 +1,9 @@
-"""Versioned feedback models: saved pipelines and an append-only table of versions."""
+"""Versioned feedback models: tables of their terms and an append-only table of versions."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +35,17 @@ def current_version(spark: SparkSession, base: str) -> DataFrame:
 
 
 def register(
-    model: PipelineModel, training: DataFrame, params: Params, base: str, kind: str = "boosted"
+    model: feedback.FeedbackModel, training: DataFrame, params: Params, base: str, kind: str = "boosted"
 ) -> str:
     """Save the model under the next version and append its row; returns the version id."""
     spark = training.sparkSession
     number = (list_versions(spark, base).agg(F.max("version_no")).first()[0] or 0) + 1
     version = f"v{number:03d}"
-    model.write().save(f"{base}/models/{version}")
-    hyper = {
-        "boosted": '{"trees": 100, "max_depth": 3, "learning_rate": 0.1}', "logistic": '{"max_iter": 1000}',
-    }[kind]
+    model.table(spark).write.parquet(f"{base}/models/{version}")
+    hyper = json.dumps({
+        "boosted": {"trees": params.feedback_trees, "max_depth": params.feedback_depth, "learning_rate": params.feedback_rate},
+        "logistic": {"max_iter": params.feedback_steps, "ridge": params.feedback_ridge},
+    }[kind])
     counts = training.agg(
         F.count(F.lit(1)).alias("n_total_labels"),
         F.count_if(F.col("label") == 1).alias("n_confirmed"),
@@ -66,5 +68,6 @@ def register(
     return version
 
 
-def load_version(base: str, version: str) -> PipelineModel:
-    return PipelineModel.load(f"{base}/models/{version}")
+def load_version(spark: SparkSession, base: str, version: str) -> feedback.FeedbackModel:
+    """The model of a version, ready to score."""
+    return feedback.FeedbackModel.read(spark.read.schema(feedback.MODEL_TABLE).parquet(f"{base}/models/{version}"))

@@ -120,6 +120,15 @@ class Params:
 
     # feedback
     min_labels: int = 6
+    #: labelled rows that the boosted trees are fitted on, at most; the logistic model takes all
+    feedback_rows: int = 200_000
+    feedback_trees: int = 100
+    feedback_depth: int = 3
+    feedback_rate: float = 0.1
+    feedback_ridge: float = 1.0
+    #: Newton steps at most, and the gradient a row at which they end
+    feedback_steps: int = 100
+    feedback_tolerance: float = 1e-9
 
     # evidence miner
     office_codes: tuple[str, ...] = OFFICE_VISIT_CODES

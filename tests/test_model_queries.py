@@ -16,10 +16,10 @@ def test_funnel_scores_take_rules_and_peers(spark, monkeypatch):
     monkeypatch.setattr(model_queries.scoring, "peer_component", lambda found, params: found.select("provider_id", F.lit(0.0).alias("peer_score")).limit(0))
     monkeypatch.setattr(
         model_queries.scoring, "rules_component",
-        lambda flags, params: spark.createDataFrame([("a", params.funnel_points), ("b", params.funnel_points - 1.0)], "provider_id string, rules_score double"),
+        lambda flags, params: spark.createDataFrame([(1, params.funnel_points), (2, params.funnel_points - 1.0)], "provider_id long, rules_score double"),
     )
     model_queries.m8_funnel_scores(spark, SF)
-    assert ids(seen[0]) == ["a"]
+    assert ids(seen[0]) == [1]
 
 
 def test_attributions_cover_the_worklist(spark, monkeypatch):

@@ -139,6 +139,78 @@ def test_feedback_scores_only_above_half(spark):
     assert {r.label: r["count"] for r in held} == {0: 4, 1: 4}
 
 
+def mixed_labels(spark, n=300):
+    """Labels that follow two features with noise; a third is constant, a fourth repeats the first."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        x = [rng.gauss(0, 1) for _ in feedback.FEATURES]
+        x[2], x[3] = 7.0, x[0]
+        label = int(x[0] + 0.5 * x[1] ** 2 + rng.gauss(0, 0.7) > 0.4)
+        rows.append((f"P{i}", "confirmed" if label else "cleared", label, *x))
+    cols = ", ".join(f"{c} double" for c in feedback.FEATURES)
+    return rows, spark.createDataFrame(rows, f"provider_id string, outcome string, label int, {cols}").repartition(4)
+
+
+def test_logistic_model_is_the_ridge_optimum(spark):
+    rows, data = mixed_labels(spark)
+    model = feedback.fit_feedback(data, P, "logistic")
+    x, y = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows])
+    scale = np.where(x.std(0) > 0, x.std(0), 1)
+    z = np.c_[(x - x.mean(0)) / scale, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    ridge = np.array([1.0] * (z.shape[1] - 1) + [0.0])
+    for _ in range(4000):  # plain gradient descent
+        w -= 0.02 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) + ridge * w)
+    p = 1 / (1 + np.exp(-z @ w))
+    got = {r.provider_id: r.p for r in data.select("provider_id", model.probability().alias("p")).collect()}
+    assert np.allclose([got[r[0]] for r in rows], p, atol=1e-6)
+
+
+def test_boosted_model_is_plain_gradient_boosting(spark):
+    params = Params(feedback_trees=8)
+    rows, data = mixed_labels(spark)
+    x, y = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows], float)
+
+    def grown(inside, g, h, depth):
+        """Every feature and cut tried by brute force."""
+        best = (0.0, None, None)
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        for j in range(x.shape[1]) if depth < 3 else ():
+            values = np.unique(x[inside, j])
+            for cut in (values[1:] + values[:-1]) / 2:
+                low, high = inside & (x[:, j] < cut), inside & (x[:, j] >= cut)
+                gain = score(low) + score(high) - score(inside)
+                if min(h[low].sum(), h[high].sum()) >= 1 and gain > best[0] + 1e-9:
+                    best = (gain, low, high)
+        if best[1] is None:
+            return [(inside, -0.1 * g[inside].sum() / (h[inside].sum() + 1))]
+        return grown(best[1], g, h, depth + 1) + grown(best[2], g, h, depth + 1)
+
+    margin = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(8):
+        p = 1 / (1 + np.exp(-margin))
+        for inside, value in grown(np.ones(len(y), bool), p - y, p * (1 - p), 0):
+            margin[inside] += value
+    model = feedback.fit_feedback(data, params, "boosted")
+    got = {r.provider_id: r.m for r in data.select("provider_id", model.margin().alias("m")).collect()}
+    assert np.allclose([got[r[0]] for r in rows], margin, atol=1e-9)
+    again = feedback.FeedbackModel.read(model.table(spark).repartition(3))
+    assert again == model
+
+
+def test_holdout_takes_the_smallest_hashes_of_each_class(spark, monkeypatch):
+    data = mixed_labels(spark)[1]
+    ranked = data.select("provider_id", "label", F.xxhash64("provider_id", F.lit(P.seed)).alias("h")).collect()
+    want = set()
+    for label in (0, 1):
+        some = sorted((r for r in ranked if r.label == label), key=lambda r: r.h)
+        want |= {r.provider_id for r in some[: round(len(some) * 0.2)]}
+    got = feedback.holdout_split(data, P)
+    assert {r.provider_id for r in got.where("held_out").collect()} == want
+    assert got.count() == 300 and got.columns == [*data.columns, "held_out"]
+
+
 def test_latest_disposition_and_vocabulary(spark):
     rows = spark.createDataFrame([(1, "A", "confirmed"), (3, "A", "cleared"), (2, "B", "confirmed")], "seq long, provider_id string, outcome string")
     assert {r.provider_id: r.label for r in feedback.latest_dispositions(rows).collect()} == {"A": 0, "B": 1}
@@ -153,8 +225,8 @@ def test_registry_versions(spark, tmp_path):
     assert [registry.register(model, data, P, base, "logistic") for _ in range(2)] == ["v001", "v002"]
     row = registry.current_version(spark, base).first()
     assert row.version_id == "v002" and row.n_confirmed == 20 and row.method == "stratified_80_20_split_proxy"
-    again = registry.load_version(base, "v001").transform(data).select("prediction").collect()
-    assert [r[0] for r in again] == [r[0] for r in model.transform(data).select("prediction").collect()]
+    again = feedback.feedback_scores(registry.load_version(spark, base, "v001"), data, P).collect()
+    assert sorted(again) == sorted(feedback.feedback_scores(model, data, P).collect())
     assert registry.list_versions(spark, base).select("training_data_hash").distinct().count() == 1
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import rounded
 from auditlake.operators import (
-    attribution, codemix, ensemble, features, feedback, isolation_forest, lof, ocsvm, peers, privacy, rollups, scoring,
+    attribution, codemix, ensemble, features, feedback, isolation_forest, lof, ocsvm, peers, privacy, registry, rollups, scoring,
     temporal,
 )
 from auditlake.plans import risk
-from auditlake.session import materialize
+from auditlake.session import materialize, shared_dir
 from verification import ctes as q
 from verification import tables
 from verification.batch_queries import _shared
@@ -208,23 +210,50 @@ def l1_training_set(spark: SparkSession, sf: str) -> DataFrame:
 @register("l2_feedback_boosted")
 def l2_feedback_boosted(spark: SparkSession, sf: str) -> DataFrame:
     scored = materialize(_features(spark, sf))
-    training = materialize(feedback.training_set(tables.dispositions(spark, sf), scored).coalesce(1))
+    training = materialize(feedback.training_set(tables.dispositions(spark, sf), scored))
     return feedback.feedback_scores(feedback.fit_feedback(training, PARAMS), scored, PARAMS)
 
 
 @register("l2_feedback_logistic")
 def l2_feedback_logistic(spark: SparkSession, sf: str) -> DataFrame:
     scored = materialize(_features(spark, sf))
-    training = materialize(feedback.training_set(tables.dispositions(spark, sf), scored).coalesce(1))
+    training = materialize(feedback.training_set(tables.dispositions(spark, sf), scored))
     return feedback.feedback_scores(feedback.fit_feedback(training, PARAMS, "logistic"), scored, PARAMS)
 
 
 @register("l4_holdout_metrics")
 def l4_holdout_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    training = materialize(feedback.training_set(tables.dispositions(spark, sf), _features(spark, sf)).coalesce(1))
+    training = materialize(feedback.training_set(tables.dispositions(spark, sf), _features(spark, sf)))
     return feedback.holdout_metrics(training, PARAMS, "logistic")
 
 
+_HELD = "cast(round_even(count(*) FILTER (label = 1) * 0.2, 0) + round_even(count(*) FILTER (label = 0) * 0.2, 0) AS BIGINT)"
+
+
+@register("l5_versions", f"""WITH {LABEL_CTES}, n AS (SELECT count(*) AS n_total_labels, count(*) FILTER (label = 1) AS n_confirmed, count(*) FILTER (label = 0) AS n_cleared,
+  {_HELD} AS val_size FROM latest)
+SELECT CAST(k AS BIGINT) AS version_no, 'v00' || k AS version_id, CASE k WHEN 1 THEN 'logistic' ELSE 'boosted' END AS model_type, n.*,
+  'stratified_80_20_split_proxy' AS method, k = 2 AS is_current, TRUE AS same_data, TRUE AS scores_after_reload FROM n, (VALUES (1), (2)) v(k)""")
+def l5_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two registered versions, what they were trained on, and whether a reloaded model scores as the fitted one did."""
+    base = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    scored = materialize(_features(spark, sf))
+    training = materialize(feedback.training_set(tables.dispositions(spark, sf), scored))
+    told = []
+    for kind in ("logistic", "boosted"):
+        model = feedback.fit_feedback(training, PARAMS, kind)
+        version = registry.register(model, training, PARAMS, base, kind)
+        again = feedback.feedback_scores(registry.load_version(spark, base, version), scored, PARAMS)
+        other = again.exceptAll(feedback.feedback_scores(model, scored, PARAMS))
+        told.append(other.agg((F.count(F.lit(1)) == 0).alias("scores_after_reload")).withColumn("v", F.lit(version)))
+    versions = registry.list_versions(spark, base).join(told[0].union(told[1]), F.col("version_id") == F.col("v"))
+    newest = registry.current_version(spark, base).select(F.col("version_id").alias("newest"), F.col("training_data_hash").alias("h"))
+    return versions.join(F.broadcast(newest)).select(
+        "version_no", "version_id", "model_type", "n_total_labels", "n_confirmed", "n_cleared", "val_size", "method",
+        (F.col("version_id") == F.col("newest")).alias("is_current"), (F.col("training_data_hash") == F.col("h")).alias("same_data"), "scores_after_reload",
+    )
+
+
 # ---------------------------------------------------------------- attribution and privacy
 
 @register("x3_feature_attributions")
