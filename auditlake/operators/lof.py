@@ -1,6 +1,7 @@
-"""Local outlier factor (Breunig et al., 2000) on an exact, pruned nearest-neighbour join.
+"""Local outlier factor (Breunig et al., 2000) on nearest neighbours.
 
-Points are cut into blocks around pivots (Lu et al., 2012: kNN joins by pivot partitioning).  A point
+By default the neighbours come from :mod:`auditlake.operators.neighbour_graph`, whose work per row is bounded.  On request
+they are exact: points are cut into blocks around pivots (Lu et al., 2012: kNN joins by pivot partitioning).  A point
 first finds neighbours in its own block; by the triangle inequality only blocks that can hold a
 closer point are visited after that.  Blocks are of bounded size, queries against one block are
 spread over several tasks, and each visit returns at most k rows.  No pair table is ever written,
@@ -10,59 +11,25 @@ and the result equals the all-pairs answer.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from auditlake.operators.neighbour_graph import GraphSettings, closest, distances, neighbour_graph
 from auditlake.session import materialize
 
 BLOCK_ROWS = 4096
 _MAX_PIVOTS = 512
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, by differences in slices so close points keep their precision."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        gap = a[i:i + step, None, :] - b[None, :, :]
-        out[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
-    return out
-
-
-def _matrix(table: pa.Table) -> np.ndarray:
-    return table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-
-
-def _closest(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
-    """Up to k nearest ``points`` of every query (never itself), ties by id."""
-    q_ids, p_ids = queries["provider_id"].combine_chunks(), points["provider_id"].combine_chunks()
-    q_keys, p_keys = q_ids.to_numpy(zero_copy_only=False), p_ids.to_numpy(zero_copy_only=False)
-    by_id = np.argsort(p_keys, kind="stable")
-    d = _distances(_matrix(queries), _matrix(points)[by_id])
-    d[q_keys[:, None] == p_keys[by_id][None, :]] = np.inf
-    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, order, axis=1).ravel()
-    keep = np.flatnonzero(np.isfinite(near))
-    asked = np.repeat(np.arange(len(q_keys)), order.shape[1])[keep]
-    return pa.table({
-        "provider_id": q_ids.take(pa.array(asked)),
-        "neighbour_id": p_ids.take(pa.array(by_id[order.ravel()[keep]])),
-        "distance": pa.array(near[keep], pa.float64()),
-    })
-
-
-def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tuple[DataFrame, pd.DataFrame]:
-    """Vectors with a block number, and the table of blocks (pivot and radius).
+def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """Vectors with their cell and its part, and the cells' pivots.
 
     Pivots are rows with the smallest hashes; their number is bounded.  A cell with more rows than a
     block is split by hash, so a cell that attracts a third of the points becomes many blocks.
     """
     id_type = dict(vectors.dtypes)["provider_id"]
-    if n_rows <= block_rows:
-        return vectors.withColumns({"cell": F.lit(0), "part": F.lit(0)}), pd.DataFrame({"cell": [0], "part": [0]})
     n_pivots = int(min(_MAX_PIVOTS, max(1, -(-n_rows // block_rows))))
     pivots = np.stack([
         np.asarray(r["x"]) for r in
@@ -73,7 +40,7 @@ def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tupl
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(np.stack(pdf["x"].to_numpy()), pivots)
+            d = distances(np.stack(pdf["x"].to_numpy()), pivots)
             yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), to_pivot=d.min(axis=1))
 
     placed = materialize(
@@ -83,54 +50,59 @@ def blocked(vectors: DataFrame, n_rows: int, block_rows: int, seed: int) -> tupl
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts")
     )
     part = F.pmod(F.xxhash64("provider_id", F.lit(seed + 1)), F.col("parts")).cast("int")
-    rows = materialize(placed.join(splits, "cell").withColumn("part", part).drop("parts"))
-    blocks = rows.groupBy("cell", "part").agg(F.max("to_pivot").alias("radius")).toPandas()
-    blocks["pivot"] = [pivots[c] for c in blocks["cell"]]
-    return rows, blocks
+    return materialize(placed.join(splits, "cell").withColumn("part", part)), pivots
 
 
 def nearest_neighbours(
     vectors: DataFrame, n_rows: int, k: int, seed: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(provider_id, neighbour_id, distance, place) for the k nearest neighbours of every row."""
+    """(provider_id, neighbour_id, distance, place) for the exact k nearest neighbours of every row.
+
+    A row visits every block that can hold a nearer one, so the work may grow with the square of the rows.
+    """
     id_type = dict(vectors.dtypes)["provider_id"]
-    rows, blocks = blocked(vectors, n_rows, block_rows, seed)
     schema = f"provider_id {id_type}, neighbour_id {id_type}, distance double"
 
     def inside(block: pa.Table) -> pa.Table:
-        return _closest(block, block, k)
+        return closest(block, block, k)
 
-    own = rows.select("cell", "part", "provider_id", "x").groupBy("cell", "part").applyInArrow(inside, schema)
+    if n_rows <= block_rows:
+        whole = vectors.select("provider_id", "x").withColumn("cell", F.lit(0))
+        own = whole.groupBy("cell").applyInArrow(inside, schema)
+        blocks = 1
+    else:
+        rows, pivots = blocked(vectors, n_rows, block_rows, seed)
+        own = rows.select("cell", "part", "provider_id", "x").groupBy("cell", "part").applyInArrow(inside, schema)
+        # a row per cell, at most _MAX_PIVOTS; its parts are found by a join
+        cells = materialize(rows.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.max("parts").alias("parts")))
+        blocks = cells.agg(F.sum("parts")).first()[0]
     found = own
-    if len(blocks) > 1:
+    if blocks > 1:
         own = materialize(own)
         bounds = own.groupBy("provider_id").agg(
             F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound")
         )
-        pivots = np.stack(blocks["pivot"].to_numpy())
-        radius = blocks["radius"].to_numpy()
-        cells, parts = blocks["cell"].to_numpy(), blocks["part"].to_numpy()
+        known = cells.orderBy("cell").toPandas()
+        numbers, radius = known["cell"].to_numpy(), known["radius"].to_numpy()
+        centres = pivots[numbers]
 
         def visits(batches):
             for pdf in batches:
                 if not len(pdf):
                     continue
                 bound = pdf["bound"].fillna(np.inf).to_numpy()
-                floor = _distances(np.stack(pdf["x"].to_numpy()), pivots) - radius[None, :]
-                # a hair of slack keeps rounding from hiding a block that just touches the bound
+                floor = distances(np.stack(pdf["x"].to_numpy()), centres) - radius[None, :]
+                # a hair of slack keeps rounding from hiding a cell that just touches the bound
                 reachable = floor <= bound[:, None] * (1 + 1e-9) + 1e-9
-                at, block = np.nonzero(reachable)
-                hit = pdf.iloc[at][["provider_id", "x", "cell", "part"]].assign(
-                    to_cell=cells[block], to_part=parts[block]
-                )
-                mine = (hit["cell"] == hit["to_cell"]) & (hit["part"] == hit["to_part"])
-                yield hit[~mine][["provider_id", "x", "to_cell", "to_part"]]
-
-        asked = materialize(
-            rows.join(bounds, "provider_id", "left").mapInPandas(
-                visits, f"provider_id {id_type}, x array<double>, to_cell int, to_part int"
-            )
+                at, cell = np.nonzero(reachable)
+                yield pdf.iloc[at][["provider_id", "x", "cell", "part"]].assign(to_cell=numbers[cell])
+
+        asked = rows.select("provider_id", "x", "cell", "part").join(bounds, "provider_id", "left").mapInPandas(
+            visits, f"provider_id {id_type}, x array<double>, cell int, part int, to_cell int"
         )
+        parts = cells.select(F.col("cell").alias("to_cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to_part"))
+        asked = asked.join(parts, "to_cell").where("cell <> to_cell or part <> to_part")
+        asked = materialize(asked.select("provider_id", "x", "to_cell", "to_part"))
         lanes = materialize(asked.groupBy("to_cell", "to_part").agg(
             F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("lanes")
         ))
@@ -152,7 +124,7 @@ def nearest_neighbours(
         def visit(asking: pa.Table, block: pa.Table) -> pa.Table:
             if not len(asking) or not len(block):
                 return nothing
-            return _closest(asking, block, k)
+            return closest(asking, block, k)
 
         keys = ["to_cell", "to_part", "lane"]
         elsewhere = queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(visit, schema)
@@ -162,11 +134,15 @@ def nearest_neighbours(
 
 
 def local_outlier_factor(
-    vectors: DataFrame, n_rows: int, k: int, seed: int = 42, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, n_rows: int, k: int, seed: int = 42, block_rows: int = BLOCK_ROWS, exact: bool = False,
+    graph: GraphSettings | None = None,
 ) -> DataFrame:
     """provider_id and its outlier factor (1 is typical, larger is more isolated)."""
     k = max(1, min(k, n_rows - 1))
-    near = materialize(nearest_neighbours(vectors, n_rows, k, seed, block_rows))
+    if exact:
+        near = materialize(nearest_neighbours(vectors, n_rows, k, seed, block_rows))
+    else:
+        near = neighbour_graph(vectors, k, graph or GraphSettings(seed=seed))
     reach = near.groupBy("provider_id").agg(F.max("distance").alias("reach"))
     density = (
         near.join(reach.select(F.col("provider_id").alias("neighbour_id"), "reach"), "neighbour_id")

@@ -12,6 +12,7 @@ from auditlake.operators import (
     attribution, codemix, ensemble, features, feedback, isolation_forest, lof, ocsvm, peers, privacy, registry, rollups, scoring,
     temporal,
 )
+from auditlake.operators.neighbour_graph import GraphSettings, neighbour_graph
 from auditlake.plans import risk
 from auditlake.session import materialize, shared_dir
 from verification import ctes as q
@@ -108,6 +109,20 @@ def j16_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m4_local_outlier_factor", f"WITH {LOF_CTES} SELECT provider_id, {rnd('lof', 6)} AS lof FROM factors")
 def m4_local_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _vectors(spark, sf)
+    factors = lof.local_outlier_factor(vectors, vectors.count(), _K, PARAMS.seed, block_rows=16, exact=True)
+    return factors.select("provider_id", rounded("lof", 6).alias("lof"))
+
+
+@register("j16_neighbour_graph")
+def j16_neighbour_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate graph with buckets far smaller than the table; its recall is measured in tests."""
+    near = neighbour_graph(_vectors(spark, sf), _K, GraphSettings(bucket_rows=32))
+    return near.select("provider_id", "neighbour_id", rounded("distance", 6).alias("distance"), "place")
+
+
+@register("m4_graph_outlier_factor", f"WITH {LOF_CTES} SELECT provider_id, {rnd('lof', 6)} AS lof FROM factors")
+def m4_graph_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
     return lof.local_outlier_factor(vectors, vectors.count(), _K, PARAMS.seed).select("provider_id", rounded("lof", 6).alias("lof"))
 
