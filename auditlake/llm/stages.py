@@ -74,15 +74,18 @@ def _least(edges: DataFrame, n: int) -> DataFrame:
     return cold.select("u", "v", "m").union(told.where("hot_m is not null").select("u", "v", "hot_m"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, lot: int = _LOT) -> DataFrame:
     """``(id, component_id)`` of every id in ``links (a, b)``: the smallest id reachable.
 
-    Tasks first contract the links they hold. Then rounds of large-star and small-star: each id's neighbours are hung on its smallest one,
-    which halves the depth of the trees, so the rounds grow with the logarithm of the longest chain. A star's centre is met once per
-    neighbour, never with all its neighbours in one buffer or one task. Ends when a round changes nothing.
+    Tasks first contract the links they hold. If at most ``lot`` links are left, one task contracts these. Otherwise rounds of large-star and
+    small-star follow: each id's neighbours are hung on its smallest one, which halves the depth of the trees, so the rounds grow with the
+    logarithm of the longest chain. A star's centre is met once per neighbour, never with all its neighbours in one buffer or one task. Ends when a
+    round changes nothing. Both ways give the same answer.
     """
     edges = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").mapInArrow(_contracted, "u long, v long")
     edges, before = _counted(edges)
+    if 0 < before[0] <= lot:
+        edges, before = stage(edges.coalesce(1).mapInArrow(_contracted, "u long, v long"), "links"), (0,)
     while before[0]:
         # large star: every larger neighbour hangs on the smallest of the neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -81,13 +81,15 @@ def test_sketches_estimate_similarity():
     assert abs(estimate - 900 / 1100) < 0.08
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("lot", [10, 100_000])
+def test_components_of_chains_and_stars(spark, lot):
+    """In one task and by rounds, with centres that are met by broadcast and chains across the tasks."""
     rng = random.Random(1)
-    links = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 540)] + [(9, 9)]
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 540)] + [(539, x) for x in range(510, 530)] + [(9, 9)]
     rng.shuffle(links)
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long").repartition(7), lot).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), lot).count() == 0
 
 
 def test_large_family_stays_linear(spark, monkeypatch):
