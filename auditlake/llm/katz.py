@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ class Settings:
     held_out: int = 2
     #: Counts above TOP, and those whose Good-Turing discount is not between the last one and 1, lose this much.
     tail_discount: float = 0.5
-    chunk_tokens: int = 1_500_000
+    chunk_tokens: int = 1_000_000
     #: Bytes of text per word bucket and per pair bucket; a pair bucket is worked off in parts of so many pairs.
     word_bucket: int = 25_000_000
     pair_bucket: int = 15_000_000
@@ -72,6 +72,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(numbers) if delta else numbers
 
 
+def _giving_back(step: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``step``, with the memory of its arrays returned to the system after each group."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = step(part)
+        texts.give_back()
+        return out
+
+    return run
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each key; ascends with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -116,6 +127,9 @@ def _chunks(docs: DataFrame, buckets: int, s: Settings) -> DataFrame:
                         number, ids, lists, size = number + 1, [], [], 0
         if ids:
             yield rows()
+        keys.clear()
+        lists.clear()
+        texts.give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _CHUNKS)
 
@@ -135,7 +149,7 @@ def _numbered(words: DataFrame, buckets: int) -> DataFrame:
             out.append((chunk, bucket, pack(own * buckets + bucket + 1, True), pack(counts[own]), 0, 0))
         return pd.DataFrame(out, columns=["chunk", "bucket", "a", "b", "tokens", "distinct"])
 
-    return words.groupBy("bucket").applyInPandas(count, "chunk long, bucket int, a binary, b binary, tokens long, distinct long")
+    return words.groupBy("bucket").applyInPandas(_giving_back(count), "chunk long, bucket int, a binary, b binary, tokens long, distinct long")
 
 
 _PAIRS = "chunk long, bucket int, docs int, learnt int, " + ", ".join(f"p{i} binary" for i in range(7))
@@ -189,7 +203,7 @@ def _pairs(chunks: DataFrame, numbered: DataFrame, buckets: int, total: int, s:
         return pd.DataFrame(out, columns=[x.split()[0] for x in _PAIRS.split(", ")])
 
     both = chunks.where("bucket = -1").unionByName(numbered.where("chunk >= 0").select("chunk", "bucket", "a", "b"), allowMissingColumns=True)
-    return both.groupBy("chunk").applyInPandas(pair, _PAIRS)
+    return both.groupBy("chunk").applyInPandas(_giving_back(pair), _PAIRS)
 
 
 _FOUND = {
@@ -303,8 +317,11 @@ def _found(pairs: DataFrame, total: int, s: Settings) -> DataFrame:
         parts = sum(x.size for x in lots) // s.pair_part + 1
         for part in range(parts if lots else 0):
             yield from _looked_up(lots, part, parts, total, s)
+            texts.give_back()
         for x in lots:
             yield _rows(_SUMS, len(x.met), chunk=x.chunk, doc=x.met, s=x.sums[0], **{f"n{i}": x.sums[i].astype(np.int64) for i in range(1, TOP + 1)})
+        lots.clear()
+        texts.give_back()
 
     return pairs.groupBy("bucket").applyInArrow(look_up, ", ".join(f"{k} {v}" for k, v in _FOUND.items()))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,3 +49,12 @@ def shingles(keys: np.ndarray, width: int) -> np.ndarray:
     for i in range(min(width, len(keys))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + keys[i : i + runs])
     return np.unique(out)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library returns it by itself, or not at all
+        pass
