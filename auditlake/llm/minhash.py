@@ -271,6 +271,20 @@ def _families(nodes: DataFrame, s: Settings) -> DataFrame:
     return components(related.union(more)).withColumnsRenamed({"id": "rep", "component_id": "family"})
 
 
+#: Bits of the filter that spares most texts the shuffle: 64 to a row, so 131072 rows at most are broadcast.
+_FILTER_BITS = 1 << 23
+
+
+def _likely(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``: a bitmap of hashes, of one size whatever the input."""
+    place = F.pmod(F.xxhash64(*key), F.lit(_FILTER_BITS))
+    bits = wanted.select(place.alias("place"))
+    bits = bits.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    kept = rows.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(F.broadcast(bits), "word")
+    return kept.where(F.expr("shiftright(bits, cast(place & 63 as int)) & 1 = 1")).drop("word", "place", "bits")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs (doc_id, text)``.
 
@@ -291,8 +305,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     several = ids.join(several.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     families = stage(_families(nodes, s), "families")
     sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
-    wanted = nodes.select("rep", "body", "sketch").join(families, "rep")
-    bodies = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("body"), "text").join(wanted, ["rep", "body"])
+    wanted = stage(nodes.select("rep", "body", "sketch").join(families, "rep"), "wanted")
+    bodies = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("body"), "text")
+    bodies = _likely(bodies, wanted, ["rep", "body"]).join(wanted, ["rep", "body"])
     bodies = stage(bodies.dropDuplicates(["rep", "body"]), "bodies")
     # first each block of a family with the next one; then, where a family fell apart, all that lies outside its
     # largest component with all of the family

@@ -137,3 +137,13 @@ def test_an_id_with_several_texts_shares_their_links(spark):
     rows = [(5, a), (5, b), (5, b), (9, a + " end"), (7, b + " end"), (3, b), (8, c), (8, c)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), SETTINGS).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 3)]
+
+
+def test_the_filter_keeps_all_that_is_wanted(spark):
+    rows = spark.range(3000).selectExpr("id as rep", "id * 7 as body", "'x' as text")
+    wanted = rows.where("rep % 10 = 3").select("rep", "body")
+    kept = minhash._likely(rows, wanted, ["rep", "body"])
+    assert kept.columns == rows.columns
+    ids = {r.rep for r in kept.collect()}
+    assert {i for i in range(3000) if i % 10 == 3} <= ids and len(ids) < 310
+    assert minhash._likely(rows, wanted.where("false"), ["rep", "body"]).count() == 0
