@@ -1,9 +1,9 @@
-"""Exact quantiles per group, on two paths with the same result.
+"""Exact quantiles per group by radix selection, on one path at every size.
 
-A frame of at most ``DIRECT_ROWS`` rows, which is checked by counting it, is sorted per group in one
-aggregation.  Beyond that a group must not sit in one buffer: a mergeable sketch first brackets the
-wanted ranks, only the few values inside the bracket are ranked, and everything below it is just
-counted.  Those steps are map-side combined, so one group may hold any share of the rows.
+A value's bits, put in the order of the numbers, are read in three digits of 22, 21 and 21 bits.  Per round the rows that
+share the digits found so far are counted by their next digit, which is combined in the tasks first; the digit that holds the
+wanted rank joins the ones before.  After the last digit the value is known.  A round holds at most ``2 ** 22`` counts of a group
+whatever its rows, so one group may hold any share of them, and the plan needs no look at the data beforehand.
 
 All functions read their input more than once: pass materialized frames.
 """
@@ -15,9 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 500_000
-_STEPS = 100
-_ACCURACY = 10_000  # rank error of the sketch, 1/10000, is far inside one grid step
+_LOW_BITS = 21
 
 
 def _ranks(prob: Column, size: Column, zeros: Column) -> list[Column]:
@@ -69,101 +67,81 @@ def _probabilities(probs: dict[str, float]) -> Column:
     return F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs.values()))]))
 
 
-def fits_directly(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether all rows together are few enough for one buffer."""
-    return df.count() <= (DIRECT_ROWS if limit is None else limit)
+def _digits(value: Column) -> list[Column]:
+    """Three whole numbers that compare as ``value`` does, the first one first."""
+    # the sum turns -0.0 into 0.0
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    ordered = F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    mask = F.lit((1 << _LOW_BITS) - 1)
+    return [
+        F.shiftright(ordered, 2 * _LOW_BITS).alias("_d1"), F.shiftright(ordered, _LOW_BITS).bitwiseAND(mask).alias("_d2"),
+        ordered.bitwiseAND(mask).alias("_d3"),
+    ]
 
 
-def sorted_quantile(p: float, array: str = "_sorted", size: str = "_size") -> Column:
-    """Interpolated quantile of a sorted array, counting ``size - size(array)`` unstored zeros."""
-    position = f"({p}D * ({size} - 1))"
-    zeros = f"({size} - size({array}))"
+def _next_digit(counts: DataFrame, targets: DataFrame, known: Sequence[str], digit: str) -> DataFrame:
+    """``targets`` with the digit that holds their rank ``_rank``, which then counts from that digit's first row."""
+    upto = Window.partitionBy(*known).orderBy(digit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto))
+    found = targets.join(counts, list(known))
+    found = found.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+    return found.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).drop("_upto", "_n")
 
-    def at(cover: str) -> str:
-        rank = f"cast({cover}({position}) + 1 - {zeros} as int)"
-        return f"if({rank} <= 0, 0D, element_at({array}, {rank}))"
 
-    low, high = at("floor"), at("ceil")
-    return F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
+def _selected(base: DataFrame, keys: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """``(keys, _rank, _found)``: the value of each wanted rank (from 1), for ``base (keys, _value)``."""
+    numbers = ranks.select(*keys, F.col("_rank").alias("_wanted"), "_rank").distinct()
+    rows = base.select(*keys, "_value", *_digits(F.col("_value")))
+    targets, known = numbers, list(keys)
+    for digit in ("_d1", "_d2", "_d3"):
+        # only rows that share the digits of a target are counted
+        here = rows if digit == "_d1" else rows.join(targets.select(*known).distinct(), known)
+        last = [F.min("_value").alias("_found")] if digit == "_d3" else []
+        counts = here.groupBy(*known, digit).agg(F.count(F.lit(1)).alias("_n"), *last)
+        targets = _next_digit(counts, targets, known, digit)
+        known = [*known, digit]
+    return targets.select(*keys, F.col("_wanted").alias("_rank"), "_found")
 
 
 def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    size: str | None = None,
-    direct_rows: int | None = None,
-    direct: bool | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], size: str | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group, one column per name in ``probs``.
 
     ``size`` names a column with the full group size where zero values are not stored as rows (all
-    stored values must then be positive).  ``direct`` passes on a size check already made.
+    stored values must then be positive).
     """
     kept = [*keys, F.col(value).cast("double").alias("_value")]
     base = df.where(F.col(value).isNotNull()).select(*kept, *([F.col(size).alias("_full")] if size else []))
-    if fits_directly(base, direct_rows) if direct is None else direct:
-        grouped = base.groupBy(*keys).agg(
-            F.sort_array(F.collect_list("_value")).alias("_sorted"),
-            (F.max("_full") if size else F.count("_value")).alias("_size"),
-        )
-        wanted = [sorted_quantile(p).alias(name) for name, p in probs.items()]
-        return grouped.select(*keys, *wanted, F.col("_size").alias("group_size"))
-    return _bracketed_quantiles(base, keys, probs, size is not None)
-
-
-def _bracketed_quantiles(base: DataFrame, keys: Sequence[str], probs: dict[str, float], sparse: bool) -> DataFrame:
-    grid = F.expr("array(" + ", ".join(f"{i / _STEPS}D" for i in range(_STEPS + 1)) + ")")
-    sketch = base.groupBy(*keys).agg(
-        F.count("_value").alias("_stored"),
-        (F.max("_full") if sparse else F.count("_value")).alias("_size"),
-        F.percentile_approx("_value", grid, _ACCURACY).alias("_grid"),
+    sizes = base.groupBy(*keys).agg(
+        F.count("_value").alias("_stored"), (F.max("_full") if size else F.count("_value")).alias("_size")
     )
+    targets = sizes.withColumn("_p", _probabilities(probs)).select(
+        "*", *_ranks(F.col("_p"), F.col("_size"), F.col("_size") - F.col("_stored"))
+    ).drop("_stored")
+    both = targets.withColumn("_rank", F.explode(F.array("_low_rank", "_high_rank")))
+    found = _selected(base, keys, both.where(F.col("_rank") > 0))
+    ends = both.join(found, [*keys, "_rank"], "left").groupBy(*keys, "_p")
 
-    def step(rank: str, shift: int, cover: object) -> Column:
-        raw = cover(F.col(rank) * _STEPS / F.col("_stored")) + shift
-        index = F.least(F.greatest(raw, F.lit(0)), F.lit(_STEPS)).cast("int")
-        return F.element_at("_grid", index + 1)
-
-    targets = (
-        sketch.withColumn("_p", _probabilities(probs))
-        .select("*", *_ranks(F.col("_p"), F.col("_size"), F.col("_size") - F.col("_stored")))
-        .withColumn("_from", step("_low_rank", -1, F.floor))
-        .withColumn("_to", step("_high_rank", 1, F.ceil))
-        .drop("_grid", "_stored")
-    )
-    cells = (
-        base.drop("_full")
-        .join(targets, list(keys))
-        .where(F.col("_value") <= F.col("_to"))
-        .groupBy(
-            *keys, "_p", "_low_rank", "_high_rank", "_fraction", "_size",
-            F.when(F.col("_value") >= F.col("_from"), F.col("_value")).alias("_inside"),
-        )
-        .agg(F.count(F.lit(1)).alias("_count"))
-        .withColumnRenamed("_inside", "_value")
+    def pick(rank: str) -> Column:
+        # a rank among the unstored zeros
+        return F.max(F.when(F.col(rank) <= 0, F.lit(0.0)).when(F.col("_rank") == F.col(rank), F.col("_found")))
+
+    ends = ends.agg(
+        pick("_low_rank").alias("_low"), pick("_high_rank").alias("_high"), F.max("_fraction").alias("_fraction"),
+        F.max("_size").alias("_size"),
     )
-    return _wide(_walk(cells, keys), keys, probs)
+    return _wide(ends.withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_fraction")), keys, probs)
 
 
-def robust_stats(df: DataFrame, keys: Sequence[str], value: str, direct_rows: int | None = None) -> DataFrame:
+def robust_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, MAD (median distance from it), mean, sample deviation and size of every group."""
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
-    moments = [F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("deviation")]
-    if fits_directly(base, direct_rows):
-        grouped = base.groupBy(*keys).agg(
-            F.sort_array(F.collect_list("_value")).alias("_sorted"), F.count("_value").alias("_size"), *moments
-        ).withColumn("median", sorted_quantile(0.5))
-        gaps = F.expr("sort_array(transform(_sorted, v -> abs(v - median)))")
-        return grouped.withColumn("_gaps", gaps).select(
-            *keys, "median", sorted_quantile(0.5, "_gaps").alias("mad"), "mean", "deviation",
-            F.col("_size").alias("group_size"),
-        )
-    medians = group_quantiles(base, keys, "_value", {"median": 0.5}, direct_rows=direct_rows)
+    medians = group_quantiles(base, keys, "_value", {"median": 0.5})
     gaps = base.join(medians, list(keys)).select(*keys, F.abs(F.col("_value") - F.col("median")).alias("_gap"))
-    mads = group_quantiles(gaps, keys, "_gap", {"mad": 0.5}, direct_rows=direct_rows).drop("group_size")
-    return medians.join(mads, list(keys)).join(base.groupBy(*keys).agg(*moments), list(keys))
+    mads = group_quantiles(gaps, keys, "_gap", {"mad": 0.5}).drop("group_size")
+    moments = base.groupBy(*keys).agg(F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("deviation"))
+    return medians.join(mads, list(keys)).join(moments, list(keys))
 
 
 def counted_quantiles(
@@ -182,13 +160,7 @@ def counted_quantiles(
     return _wide(_walk(cells.join(targets, list(keys)), keys), keys, probs)
 
 
-def global_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    direct_rows: int | None = None,
-    direct: bool | None = None,
-) -> DataFrame:
+def global_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of a whole column: one row, none if there are no values."""
     whole = df.select(F.lit(1).alias("_all"), value)
-    return group_quantiles(whole, ["_all"], value, probs, direct_rows=direct_rows, direct=direct).drop("_all")
+    return group_quantiles(whole, ["_all"], value, probs).drop("_all")

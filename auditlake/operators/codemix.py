@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import rounded
-from auditlake.functions.quantiles import fits_directly, group_quantiles
+from auditlake.functions.quantiles import group_quantiles
 from auditlake.params import Params
 from auditlake.session import materialize
 
@@ -30,14 +30,12 @@ def with_cohort(freq: DataFrame, metrics: DataFrame) -> DataFrame:
     return freq.join(meta.join(sizes, "cohort_key"), "provider_id")
 
 
-def cohort_reference(freq: DataFrame, direct: bool | None = None) -> DataFrame:
+def cohort_reference(freq: DataFrame) -> DataFrame:
     """Median frequency per (cohort, code), counting the providers that never billed the code.
 
     Only positive medians are kept; ``freq`` must carry cohort_key and cohort_n.
     """
-    medians = group_quantiles(
-        freq, ["cohort_key", "fee_code"], "freq", {"ref": 0.5}, size="cohort_n", direct=direct
-    )
+    medians = group_quantiles(freq, ["cohort_key", "fee_code"], "freq", {"ref": 0.5}, size="cohort_n")
     return medians.where(F.col("ref") > 0).select("cohort_key", "fee_code", "ref")
 
 
@@ -50,7 +48,7 @@ def drift_scores(codes: DataFrame, metrics: DataFrame, params: Params) -> DataFr
     """
     eps = params.kl_epsilon
     freq = with_cohort(code_frequencies(codes), metrics)
-    reference = materialize(cohort_reference(freq, fits_directly(codes)))
+    reference = materialize(cohort_reference(materialize(freq)))
     cohorts = reference.groupBy("cohort_key").agg(
         F.count(F.lit(1)).alias("ref_codes"),
         F.sum("ref").alias("ref_sum"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import rounded
-from auditlake.functions.quantiles import DIRECT_ROWS, global_quantiles
+from auditlake.functions.quantiles import global_quantiles
 from auditlake.operators import features as feats
 from auditlake.operators import isolation_forest, lof, ocsvm
 from auditlake.params import Params
@@ -27,7 +27,7 @@ def normalised(df: DataFrame, raw: str) -> Column:
 
 
 def consensus(
-    raw: DataFrame, contamination: float, params: Params, direct: bool | None = None
+    raw: DataFrame, contamination: float, params: Params
 ) -> DataFrame:
     """From if_raw, lof_raw and ocsvm_raw (lower is stranger) to weighted score and vote.
 
@@ -35,7 +35,7 @@ def consensus(
     ``raw`` is read several times: pass a materialized frame.
     """
     def cut(name: str) -> Column:
-        return global_quantiles(raw, name, {"q": contamination}, direct=direct).select("q").scalar()
+        return global_quantiles(raw, name, {"q": contamination}).select("q").scalar()
 
     flags = {
         "if_flag": F.col("if_raw") < cut("if_raw"),
@@ -74,8 +74,7 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
                 f"{c} {'double' if c.endswith('score') else 'int'}" for c in SCORE_COLUMNS
             )
         )
-    direct = n_rows <= DIRECT_ROWS
-    vectors = materialize(feats.scaled_vectors(matrix, names, n_rows))
+    vectors = materialize(feats.scaled_vectors(matrix, names))
 
     def forest_part() -> DataFrame:
         trees = isolation_forest.fit_forest(vectors, n_rows, params)
@@ -83,7 +82,7 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
 
     def svm_part() -> DataFrame:
         weights = ocsvm.fit_svm(vectors, n_rows, len(names), share, params.seed)
-        return ocsvm.svm_scores(vectors, weights, len(names), share, params.seed, direct)
+        return ocsvm.svm_scores(vectors, weights, len(names), share, params.seed)
 
     forest, factors, margins = concurrently(
         matrix.sparkSession,
@@ -97,7 +96,7 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
         .join(margins.withColumnRenamed("decision", "ocsvm_raw"), "provider_id")
         .fillna(-1.0, subset=["lof_raw"])
     )
-    return consensus(raw, share, params, direct)
+    return consensus(raw, share, params)
 
 
 def funnel_candidates(rule_points: DataFrame, peer_points: DataFrame, params: Params) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.numbers import (
     at_least, cents, dollars, fixed, grouped, money_sum, percent, rounded, whole,
 )
-from auditlake.functions.quantiles import counted_quantiles, fits_directly, group_quantiles
+from auditlake.functions.quantiles import counted_quantiles, group_quantiles
 from auditlake.operators import rollups
 from auditlake.operators.rules import unbundled_events
 from auditlake.params import Params
@@ -47,11 +47,6 @@ class Inputs:
     codes: DataFrame
     people: DataFrame
 
-    @cached_property
-    def few_providers(self) -> bool:
-        """Whether a specialty's providers fit one window buffer, by counting them."""
-        return fits_directly(self.people)
-
     def named(self, per_provider: DataFrame) -> DataFrame:
         """Add the specialty to a provider-grain frame."""
         return per_provider.join(self.people.select("provider_id", "specialty"), "provider_id")
@@ -71,15 +66,11 @@ def _text(*parts: Column | str) -> Column:
 
 def _with_specialty_medians(inputs: Inputs, per: DataFrame, **medians: str) -> DataFrame:
     """Add the median over the providers of a specialty for each named column."""
-    per = inputs.named(per)
-    if inputs.few_providers:
-        peers = Window.partitionBy("specialty")
-        return per.withColumns({name: F.median(value).over(peers) for name, value in medians.items()})
-    per = materialize(per)
-    for name, value in medians.items():
-        found = group_quantiles(per, ["specialty"], value, {name: 0.5}).drop("group_size")
-        per = per.join(found, "specialty")
-    return per
+    per = materialize(inputs.named(per))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(v).cast("double").alias("x")) for n, v in medians.items()]))
+    found = group_quantiles(per.select("specialty", cells.alias("c")).select("specialty", "c.*"), ["specialty", "name"], "x", {"m": 0.5})
+    picks = [F.max(F.when(F.col("name") == n, F.col("m"))).alias(n) for n in medians]
+    return per.join(found.groupBy("specialty").agg(*picks), "specialty", "left")
 
 
 def upcoding(inputs: Inputs, params: Params) -> DataFrame:

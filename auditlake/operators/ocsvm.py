@@ -63,7 +63,7 @@ def fit_svm(vectors: DataFrame, n_rows: int, n_inputs: int, nu: float, seed: int
 
 
 def svm_scores(
-    vectors: DataFrame, w: np.ndarray, n_inputs: int, nu: float, seed: int, direct: bool | None = None
+    vectors: DataFrame, w: np.ndarray, n_inputs: int, nu: float, seed: int
 ) -> DataFrame:
     """provider_id and ``decision``: negative outside the learnt region.
 
@@ -79,5 +79,5 @@ def svm_scores(
                 yield pd.DataFrame({"provider_id": pdf["provider_id"], "margin": z @ w})
 
     margins = materialize(vectors.mapInPandas(score, f"provider_id {id_type}, margin double"))
-    offset = global_quantiles(margins, "margin", {"q": nu}, direct=direct).select("q").scalar()
+    offset = global_quantiles(margins, "margin", {"q": nu}).select("q").scalar()
     return margins.select("provider_id", (F.col("margin") - offset).alias("decision"))

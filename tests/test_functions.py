@@ -18,10 +18,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, x double").repartition(6)
 
 
-@pytest.mark.parametrize("direct", [0, 10**9])
-def test_group_quantiles_equal_numpy_on_both_paths(skewed, direct):
+def test_group_quantiles_equal_numpy(skewed):
     probs = {"p05": 0.05, "q1": 0.25, "med": 0.5, "q3": 0.75, "p95": 0.95}
-    got = {r.g: r for r in quantiles.group_quantiles(skewed, ["g"], "x", probs, direct_rows=direct).collect()}
+    got = {r.g: r for r in quantiles.group_quantiles(skewed, ["g"], "x", probs).collect()}
     groups = {}
     for r in skewed.collect():
         groups.setdefault(r.g, []).append(r.x)
@@ -32,18 +31,16 @@ def test_group_quantiles_equal_numpy_on_both_paths(skewed, direct):
             assert math.isclose(got[g][name], float(np.percentile(xs, 100 * p)), rel_tol=1e-12, abs_tol=1e-12)
 
 
-@pytest.mark.parametrize("direct", [0, 10**9])
 @pytest.mark.parametrize("stored,full", [(5, 8), (3, 8), (4, 8), (8, 8), (1, 1), (2, 3)])
-def test_unstored_zeros_count(spark, direct, stored, full):
+def test_unstored_zeros_count(spark, stored, full):
     xs = [float(i + 1) for i in range(stored)]
     df = spark.createDataFrame([("a", x, full) for x in xs], "g string, x double, n int")
-    row = quantiles.group_quantiles(df, ["g"], "x", {"m": 0.5}, size="n", direct_rows=direct).first()
+    row = quantiles.group_quantiles(df, ["g"], "x", {"m": 0.5}, size="n").first()
     assert row.m == float(np.median(xs + [0.0] * (full - stored)))
 
 
-@pytest.mark.parametrize("direct", [0, 10**9])
-def test_robust_stats(skewed, direct):
-    got = {r.g: r for r in quantiles.robust_stats(skewed, ["g"], "x", direct_rows=direct).collect()}
+def test_robust_stats(skewed):
+    got = {r.g: r for r in quantiles.robust_stats(skewed, ["g"], "x").collect()}
     xs = np.array([r.x for r in skewed.where("g = 'hot'").collect()])
     assert got["hot"].median == np.median(xs)
     assert math.isclose(got["hot"].mad, np.median(abs(xs - np.median(xs))), rel_tol=1e-12)
@@ -51,6 +48,24 @@ def test_robust_stats(skewed, direct):
     assert got["one"].mad == 0 and got["one"].deviation is None
 
 
+def test_digits_order_all_kinds_of_numbers(spark):
+    """Signs, zeros, tiny and huge numbers, and numbers that differ in the last bit."""
+    rng = random.Random(6)
+    xs = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, math.inf, -math.inf, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), -1.0]
+    xs += [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-300, 300) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    rows = df.select("v", *quantiles._digits(F.col("v"))).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: (r._d1, r._d2, r._d3))] == sorted(xs)
+    assert all(0 <= d < 1 << 21 for r in rows for d in (r._d2, r._d3)) and all(abs(r._d1) <= 1 << 22 for r in rows)
+
+
+def test_close_values_are_told_apart(spark):
+    up = math.nextafter(1.0, 2)
+    close = spark.createDataFrame([("a", up if i % 3 else 1.0) for i in range(99)], "g string, v double")
+    row = quantiles.group_quantiles(close, ["g"], "v", {"q": 0.3, "m": 0.5}).first()
+    assert (row.q, row.m, row.group_size) == (1.0, up, 99)
+
+
 def test_counted_quantiles(spark):
     df = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 9.0, 2), ("b", 4.0, 1)], "g string, v double, n int")
     got = {r.g: r.m for r in quantiles.counted_quantiles(df, ["g"], "v", "n", {"m": 0.5}).collect()}
