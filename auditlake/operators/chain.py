@@ -48,15 +48,23 @@ def segment_of(seq: str) -> Column:
     return F.floor(F.col(seq) / SEGMENT)
 
 
-def chained(events: DataFrame, fields: Sequence[str], seq: str = "seq") -> DataFrame:
-    """Events with ``segment``, ``prev_hash`` and ``row_hash``."""
+def chained(
+    events: DataFrame, fields: Sequence[str], seq: str = "seq", start: tuple[int, str] | None = None
+) -> DataFrame:
+    """Events with ``segment``, ``prev_hash`` and ``row_hash``.
+
+    ``start`` names a segment that has begun already and the hash that its next row continues from.
+    """
     entry = F.struct(F.col(seq), content(fields).alias("text"), F.struct("*").alias("event"))
     segments = events.select(segment_of(seq).alias("segment"), entry.alias("entry")).groupBy("segment").agg(
         F.sort_array(F.collect_list("entry")).alias("entries")
     )
+    first = F.lit(GENESIS)
+    if start is not None:
+        first = F.when(F.col("segment") == start[0], F.lit(start[1])).otherwise(first)
     hashes = F.aggregate(
         "entries",
-        F.array(F.lit(GENESIS)),
+        F.array(first),
         lambda done, e: F.array_append(done, _link(F.element_at(done, -1), e["text"])),
     )
     return (

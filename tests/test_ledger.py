@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import cases, chain, evaluation, explain, fairness
+from auditlake.operators import cases, chain, chain_store, evaluation, explain, fairness
 from auditlake.params import Params
 from auditlake.session import materialize
 from auditlake.streaming import streams
@@ -105,6 +105,63 @@ def test_seals_end_in_one_root(spark):
     assert len(roots) == 3
 
 
+def stored(spark, base):
+    log = chain_store.read_log(spark, base)
+    seals = chain_store.read_seals(spark, base).select("level", "seq", "n_rows", "last_hash", "prev_hash", "row_hash")
+    return sorted(log.select("seq", "segment", "prev_hash", "row_hash").collect()), sorted(seals.collect())
+
+
+def whole(spark, events):
+    log = materialize(chain.chained(events, FIELDS))
+    seals = chain.seal_segments(log).select("level", "seq", "n_rows", "last_hash", "prev_hash", "row_hash")
+    return sorted(log.select("seq", "segment", "prev_hash", "row_hash").collect()), sorted(seals.collect())
+
+
+@pytest.mark.parametrize("ids", [
+    [range(0, 10), range(10, 600), range(600, 601), range(601, 1100)],
+    # ids with gaps: 256 segments and more, so a third level begins; an append into a new segment; one that jumps far
+    [range(0, 256 * 255, 256), range(256 * 255, 256 * 257, 128), [256 * 257 + 5], [256 * 600]],
+])
+def test_appending_equals_chaining_everything(spark, tmp_path, ids):
+    base, done = str(tmp_path / "log"), []
+    for n, part in enumerate(ids, 1):
+        done += part
+        events = spark.createDataFrame([(i, "flag_viewed", f"u{i % 7}") for i in done], "seq long, event_type string, who string")
+        assert chain_store.append(spark, base, events if n % 2 else events.where(F.col("seq") >= min(part)), FIELDS) == n
+        assert stored(spark, base) == whole(spark, events)
+        # tried again: nothing happens
+        assert chain_store.append(spark, base, events, FIELDS) == n
+    seals = chain_store.read_seals(spark, base)
+    assert chain.verify(chain_store.read_log(spark, base), FIELDS, seals=seals).first().ok
+
+
+def test_an_append_that_was_cut_short_does_not_count(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "log")
+    events = spark.range(900).selectExpr("id as seq", "'flag_viewed' as event_type", "'u' as who")
+    chain_store.append(spark, base, events.where("seq < 300"), FIELDS)
+    before = stored(spark, base)
+    monkeypatch.setattr(chain_store, "_HEAD", "broken")
+    with pytest.raises(Exception):
+        chain_store.append(spark, base, events.where("seq < 700"), FIELDS)
+    monkeypatch.undo()
+    assert stored(spark, base) == before
+    chain_store.append(spark, base, events, FIELDS)
+    assert stored(spark, base) == whole(spark, events)
+
+
+def test_an_append_does_not_read_earlier_rows(spark, tmp_path):
+    """The stored rows and seals may even be out of reach: only the head is read."""
+    base = str(tmp_path / "log")
+    events = spark.range(900).selectExpr("id as seq", "'flag_viewed' as event_type", "'u' as who")
+    chain_store.append(spark, base, events.where("seq < 700"), FIELDS)
+    for table in ("log", "seals"):
+        (tmp_path / "log" / table).rename(tmp_path / f"away-{table}")
+    chain_store.append(spark, base, events.where("seq >= 700"), FIELDS)
+    for table in ("log", "seals"):
+        (tmp_path / f"away-{table}" / "batch=1").rename(tmp_path / "log" / table / "batch=1")
+    assert stored(spark, base) == whole(spark, events)
+
+
 def test_unknown_event_type_is_refused(spark):
     with pytest.raises(Exception, match="unknown event type"):
         chain.checked_events(spark.createDataFrame([("x",)], "event_type string")).collect()

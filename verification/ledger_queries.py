@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.operators import cases, chain, reviews
+from auditlake.operators import cases, chain, chain_store, reviews
 from auditlake.session import materialize, shared_dir
 from auditlake.sources import sinks
 from auditlake.streaming import streams
@@ -124,12 +124,15 @@ hashed AS (SELECT segment, seqs, list_reduce(list_prepend([repeat('0', 64)], lis
 flat AS (SELECT segment, unnest(seqs) AS seq, unnest(h[1:len(seqs)]) AS prev_hash, unnest(h[2:]) AS row_hash FROM hashed)"""
 
 
-@once
-def _log(spark: SparkSession, sf: str) -> DataFrame:
-    events = tables.table(spark, sf, "events").select(
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), "event_type", F.col("user_id").alias("provider_id"), F.col("props").alias("reasoning")
     )
-    return materialize(chain.chained(events, _FIELDS))
+
+
+@once
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(chain.chained(_events(spark, sf), _FIELDS))
 
 
 @register("c6_chain", f"WITH {CHAIN_SQL} SELECT seq, event_type, provider_id, reasoning, segment, prev_hash, row_hash FROM log JOIN flat USING (seq, segment)")
@@ -137,6 +140,17 @@ def c6_chain(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf)
 
 
+@register("c6_appended_chain", f"WITH {CHAIN_SQL} SELECT seq, event_type, provider_id, reasoning, segment, prev_hash, row_hash FROM log JOIN flat USING (seq, segment)")
+def c6_appended_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole log, appended in three batches that cut segments, one of them tried twice: the hashes are those of one pass."""
+    base = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+    events = _events(spark, sf)
+    last = events.agg(F.max("seq")).first()[0]
+    for upto in (last // 3, last // 3 * 2, last // 3 * 2, last):
+        chain_store.append(spark, base, events.where(F.col("seq") <= upto), _FIELDS)
+    return chain_store.read_log(spark, base)
+
+
 @register("c6_verify_intact", "SELECT TRUE AS ok, count(*) AS total_rows, CAST(NULL AS BIGINT) AS first_bad_id, 'intact' AS verdict FROM events")
 def c6_verify_intact(spark: SparkSession, sf: str) -> DataFrame:
     return chain.verify(_log(spark, sf), _FIELDS)
