@@ -250,4 +250,5 @@ def st2_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("st3_latest_states", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS last_event_id, count(*) AS n_events FROM events GROUP BY user_id")
 def st3_latest_states(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.run_once(streams.latest_states(_stream(spark, sf)), mode="update", keys=("user_id",))
+    states = streams.run_once(streams.latest_states(_stream(spark, sf)), mode="update", keys=("user_id",))
+    return states.where("not expired").drop("expired")
