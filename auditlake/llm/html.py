@@ -3,13 +3,18 @@
 A page is cut into blocks at its block-level tags. The first pass decides blocks on stop-word density, length, link density and the
 kind of container they stand in; the second lets the ambiguous ones, mostly short, inherit the label of their nearest
 decided neighbours. The text is what is good, in page order.
+
+Names of containers are evidence of two strengths. Those of a place beside the article (a sidebar, a menu, reader comments) decide.
+Those that may as well be a topic (search, discussion, related) count against a container only as long as it holds no block
+that its own text shows to be good. Names of states (``has-sidebar``, ``comments-open``) and ids of headings and chapters say nothing. An element
+inside a paragraph that is set apart takes its own text along, not the paragraph.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,13 +43,19 @@ _FRAME = frozenset("aside dialog footer form menu nav".split())
 _MAIN = frozenset(("article", "main"))
 #: What an opening tag closes, if it is the innermost open block.
 _CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
-# fixed values: words of class, id and role that name what is not the article
-_CUES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
-    "login menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead topbar toolbar widget share sharing social related recommended "
-    "comment comments commentlist respond reply replies disqus discussion search form skip hidden disclaimer".split()
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONS = frozenset("section article main".split())
+# fixed values: words of class, id and role that name a place beside the article
+_PLACES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo popup modal overlay cookie cookies consent gdpr newsletter subscribe subscription signup "
+    "login menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead topbar toolbar widget sharing "
+    "comment comments commentlist respond replies disqus".split()
 )
+# fixed values: such words that may be a topic, too
+_TOPICS = frozenset("promotion notice notices alert share social related recommended reply discussion search form skip hidden disclaimer".split())
 _COMMENT_CUES = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+# fixed values: words of names that tell a state
+_STATES = frozenset("has no with without open closed enabled disabled".split())
 # fixed values: frequent function words
 _STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she so that the their they this to was we were which will with you "
@@ -60,6 +71,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD_PART = re.compile(r"[a-z]+")
+#: A value without quotes that ends in a slash.
+_BARE_URL = re.compile(r"=[^\s\"']*/\Z")
 _GOOD, _BAD, _OPEN = 1, 0, None
 
 
@@ -68,46 +81,72 @@ class _Block:
     parts: list[str]
     linked: int
     frame: bool
+    #: Number of the outermost container whose name is only weak evidence, 0 for none.
+    weak: int
     main: bool
     parent: int
 
 
-def _framed(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is set apart from the article, and whether it holds reader comments."""
-    if tag in _FRAME or (tag == "header" and not in_main):
-        frame = True
-    else:
-        frame = False
-    if not attributes.strip():
-        return frame, False
+@dataclass
+class _Element:
+    tag: str
+    unseen: bool = False
+    frame: bool = False
+    #: In an inline element that is set apart from its block.
+    apart: bool = False
+    weak: int = 0
+    comments: bool = False
+    main: bool = False
+    number: int = 0
+
+
+def _evidence(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is set apart from the article, whether its name is weak evidence of that, and whether it holds reader comments."""
+    frame, weak = tag in _FRAME or (tag == "header" and not in_main), False
+    if not attributes.strip() or tag in ("html", "body"):
+        return frame, False, False
     values = {name.lower(): value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(attributes)}
-    named = set(_WORD_PART.findall(" ".join(values.get(k, "") for k in ("class", "id", "role"))))
-    if tag not in ("html", "body"):
-        frame = frame or bool(named & _CUES) or (not in_main and tag not in _MAIN and "header" in named and tag != "h1")
-        frame = frame or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-    return frame, bool(named & _COMMENT_CUES)
+    names = f"{values.get('class', '')} {values.get('role', '')}".split()
+    own = values.get("id", "")
+    if tag not in _HEADINGS and (tag not in _SECTIONS or own in _PLACES):  # the others name a chapter
+        names += own.split()
+    found: set[str] = set()
+    for name in names:
+        parts = set(_WORD_PART.findall(name))
+        # on the article itself only whole names count; a name of a state says nothing
+        if parts & _STATES or (tag in _MAIN and len(parts) > 1):
+            continue
+        found |= parts
+        topics = parts & _TOPICS
+        if parts & _PLACES or (topics and len(parts) == len(topics) and (not in_main or tag not in _BLOCK)):
+            frame = True
+        elif topics:
+            weak = True
+        if not in_main and tag not in _MAIN and "header" in parts and tag != "h1":
+            frame = True
+    frame = frame or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
+    return frame, weak, frame and bool(found & _COMMENT_CUES)
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks with text, in order."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, 0)]  # tag, unseen, frame, comments, main, number
+    stack = [_Element("")]
     number, links, at = 0, 0, 0
     current: _Block | None = None
 
     def text(raw: str) -> None:
         nonlocal current
-        _, unseen, frame, _, main, parent = stack[-1]
-        if unseen or not raw:
+        top = stack[-1]
+        if top.unseen or top.apart or not raw:
             return
         plain = html.unescape(raw) if "&" in raw else raw
         if current is None:
             if plain.isspace():
                 return
-            current = _Block([], 0, frame, main, parent)
+            current = _Block([], 0, top.frame, top.weak, top.main, top.number)
             out.append(current)
         current.parts.append(plain)
-        current.frame = current.frame or frame
         if links:
             current.linked += len(plain.strip())
 
@@ -123,47 +162,60 @@ def blocks(page: str) -> list[_Block]:
             if tag in _BLOCK:
                 current = None
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
+                if stack[k].tag == tag:
+                    links -= sum(x.tag == "a" for x in stack[k:])
                     del stack[k:]
                     break
-                if stack[k][0] in ("table", "article", "main") and tag not in ("body", "html", "div", "section", "article", "main", "table"):
+                if stack[k].tag in ("table", "article", "main") and tag not in ("body", "html", "div", "section", "article", "main", "table"):
                     break
             continue
         if tag in _BLOCK:
             current = None
             closes = _CLOSES.get(tag, ("p",))
-            while len(stack) > 1 and (stack[-1][0] in closes or (stack[-1][0] not in _BLOCK and any(x[0] == "p" for x in stack))):
-                links -= stack[-1][0] == "a"
+            while len(stack) > 1 and (stack[-1].tag in closes or (stack[-1].tag not in _BLOCK and any(x.tag == "p" for x in stack))):
+                links -= stack[-1].tag == "a"
                 stack.pop()
         elif tag in ("br", "td", "th") and current is not None:
             current.parts.append(" ")
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK:
-            continue
-        _, unseen, frame, comments, main, _ = stack[-1]
-        if tag in _MAIN and frame and not comments and not any(x[0] in ("aside", "dialog") for x in stack):
-            frame = unseen = False  # a menu or notice that was never closed does not swallow the article
-        apart, remarks = _framed(tag, m[4], main)
+        if tag in _VOID or (m[4].endswith("/") and not _BARE_URL.search(m[4])):
+            continue  # nothing is in it
+        top = stack[-1]
+        frame, apart, weak = top.frame or top.apart, top.apart, top.weak
+        if tag in _MAIN and frame and not top.comments and not any(x.tag in ("aside", "dialog") for x in stack):
+            frame = apart = False  # a menu or notice that was never closed does not swallow the article
+            top = _Element("")
+        here, doubtful, remarks = _evidence(tag, m[4], top.main)
         number += 1
-        stack.append((tag, unseen or tag in _UNSEEN, frame or apart, comments or remarks, main or tag in _MAIN, number if tag in _BLOCK else stack[-1][5]))
+        block = tag in _BLOCK
+        stack.append(_Element(
+            tag, top.unseen or tag in _UNSEEN, frame or here if block else top.frame, not block and (apart or here), weak or (number if doubtful and block else 0),
+            top.comments or remarks, top.main or tag in _MAIN, number if block else top.number,
+        ))
         links += tag == "a"
     text(page[at:])
     return out
 
 
-def _first_pass(text: str, block: _Block, s: Settings) -> int | None:
-    linked = min(1.0, block.linked / len(text))
-    if block.frame:
-        return _BAD
-    if block.main:
-        return _GOOD if linked <= s.link_density else _OPEN
-    if linked > s.link_density:
-        return _BAD
+def _telling(text: str, linked: float, s: Settings) -> bool:
+    """Whether a text shows by itself that it is main text."""
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?") in _STOP_WORDS for w in words) / len(words)
-    if len(text) >= s.long_chars and stops >= s.stop_density or len(text) >= s.very_long_chars and linked == 0:
-        return _GOOD
-    return _OPEN
+    return linked <= s.link_density and (len(text) >= s.long_chars and stops >= s.stop_density or len(text) >= s.very_long_chars and linked == 0)
+
+
+def _first_pass(found: list[tuple[str, _Block]], s: Settings) -> list[int | None]:
+    linked = [min(1.0, b.linked / len(t)) for t, b in found]
+    telling = [not b.frame and _telling(t, x, s) for (t, b), x in zip(found, linked, strict=True)]
+    acquitted = {b.weak for (_, b), good in zip(found, telling, strict=True) if good}
+    labels: list[int | None] = []
+    for (_, b), x, good in zip(found, linked, telling, strict=True):
+        if b.frame or (b.weak and b.weak not in acquitted):
+            labels.append(_BAD)
+        elif b.main:
+            labels.append(_GOOD if x <= s.link_density else _OPEN)
+        else:
+            labels.append(_BAD if x > s.link_density else _GOOD if good else _OPEN)
+    return labels
 
 
 def _second_pass(labels: list[int | None], parents: list[int]) -> list[int]:
@@ -191,8 +243,14 @@ def main_text(page: str | None, s: Settings = Settings()) -> str:
     if not page:
         return ""
     found = [(joined, b) for b in blocks(page) if (joined := " ".join("".join(b.parts).split()))]
-    labels = _second_pass([_first_pass(t, b, s) for t, b in found], [b.parent for _, b in found])
-    if any(b.main and not b.frame for _, b in found):  # outside a marked article nothing is main text by length alone
+    labels = _first_pass(found, s)
+    size = {main: sum(len(t) for (t, b), label in zip(found, labels, strict=True) if label and b.main == main) for main in (True, False)}
+    marked = size[True] > size[False]
+    if not marked and size[True]:  # a marked teaser beside a longer article that is not marked: the mark says nothing
+        found = [(t, replace(b, main=False)) for t, b in found]
+        labels = _first_pass(found, s)
+    labels = _second_pass(labels, [b.parent for _, b in found])
+    if marked:  # outside a marked article that holds most of the text nothing is main text by length alone
         labels = [label if b.main else _BAD for label, (_, b) in zip(labels, found, strict=True)]
     return "\n".join(t for (t, _), label in zip(found, labels, strict=True) if label)
 
