@@ -245,8 +245,9 @@ def main_text(page: str | None, s: Settings = Settings()) -> str:
     found = [(joined, b) for b in blocks(page) if (joined := " ".join("".join(b.parts).split()))]
     labels = _first_pass(found, s)
     size = {main: sum(len(t) for (t, b), label in zip(found, labels, strict=True) if label and b.main == main) for main in (True, False)}
-    marked = size[True] > size[False]
-    if not marked and size[True]:  # a marked teaser beside a longer article that is not marked: the mark says nothing
+    some = any(b.main and not b.frame for _, b in found)
+    marked = some and size[True] >= size[False]
+    if some and not marked:  # a marked teaser beside a longer article that is not marked: the mark says nothing
         found = [(t, replace(b, main=False)) for t, b in found]
         labels = _first_pass(found, s)
     labels = _second_pass(labels, [b.parent for _, b in found])
