@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BINS = 200
+from auditlake.session import materialize
 
+def ranged(df: DataFrame, *order: Column, bins: int | None = None) -> DataFrame:
+    """``df`` with ``_bin``, which ascends with ``order``: bins of about equal size, as many as shuffle partitions.
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
-    """1-based rank by ``score`` descending, then ``tie`` ascending.
+    Rows are dealt by ranges of all columns of ``order``, so rows that are equal in the first are split by the next ones.  The result is
+    stored, so a retried task cannot deal rows anew.
+    """
+    count = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(count, *order).withColumn("_bin", F.spark_partition_id()))
+
+
+def global_rank(df: DataFrame, score: str, *ties: str, name: str = "rank") -> DataFrame:
+    """1-based rank by ``score`` descending, nulls last, then ``ties`` ascending.
 
-    The score range is cut at sketched quantiles into bins that follow the data; a row's rank is the
-    number of rows in higher bins plus its place in its own bin.  Bins are plain functions of the
-    score, so a retried task gives the same answer.  ``df`` is read twice: pass a materialized frame.
+    A row's rank is the number of rows in the bins before its own plus its place there.
     """
-    grid = F.array(*[F.lit(i / _BINS) for i in range(1, _BINS)])
-    edges = df.agg(F.array_distinct(F.percentile_approx(F.col(score), grid, 10_000)).alias("_edges"))
-    lower = F.coalesce(edges.scalar(), F.array().cast("array<double>"))
-    binned = df.withColumn("_edges", lower).withColumn(
-        "_bin", F.size(F.filter("_edges", lambda e: e <= F.col(score)))
-    ).drop("_edges")
-    above = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy("_bin")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
-        .drop("_rows")
-    )
-    place = F.row_number().over(
-        Window.partitionBy("_bin").orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc())
-    )
-    return (
-        binned.withColumn("_place", place)
-        .join(offsets, "_bin")
-        .withColumn(name, (F.col("_before") + F.col("_place")).cast("long"))
-        .drop("_bin", "_place", "_before")
+    order = (F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in ties])
+    binned = ranged(df, *order)
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # one row per bin
+    offsets = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_bin", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
+    ranked = binned.withColumn("_place", place).join(F.broadcast(offsets), "_bin")
+    return ranked.withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_bin", "_place", "_before")

@@ -116,6 +116,7 @@ def anomaly_scores(
     candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Ensemble scores with provider attributes; in funnel mode all other providers score zero."""
+    params = feats.with_specialties(people, params)
     matrix = materialize(feats.feature_matrix(claims, days, codes, people, params, candidates))
     everyone = people.drop("clinic_id")
     share = params.contamination

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,26 @@ def spec_name(specialty: str) -> str:
     return f"spec_{specialty}"
 
 
+OTHER = spec_name("other")
+
+
+def with_specialties(people: DataFrame, params: Params) -> Params:
+    """``params`` with the specialties of the data, if it names none: the most frequent ones, in the order of their names.
+
+    At most ``max_specialties`` rows come to the driver; providers of the others are counted by :data:`OTHER`.
+    """
+    if params.specialties is not None:
+        return params
+    most = people.where("specialty is not null").groupBy("specialty").agg(F.count(F.lit(1)).alias("n"))
+    most = most.orderBy(F.col("n").desc(), "specialty").limit(params.max_specialties)
+    return replace(params, specialties=tuple(sorted(r["specialty"] for r in most.collect())))
+
+
 def feature_names(params: Params) -> list[str]:
-    return [*CORE, *map(pct_name, params.fingerprint_codes), *map(spec_name, params.specialties)]
+    """Names of the model's columns; the specialties must be settled (:func:`with_specialties`)."""
+    if params.specialties is None:
+        raise ValueError("the specialties are not settled: see with_specialties")
+    return [*CORE, *map(pct_name, params.fingerprint_codes), *map(spec_name, params.specialties), OTHER]
 
 
 def code_fractions(codes: DataFrame, params: Params) -> DataFrame:
@@ -90,9 +110,11 @@ def feature_matrix(
         ids = candidates.select("provider_id").distinct()
         claims, days, codes = (t.join(ids, "provider_id", "left_semi") for t in (claims, days, codes))
         people = people.join(ids, "provider_id", "left_semi")
+    params = with_specialties(people, params)
     one_hot = {
         spec_name(s): F.when(F.col("specialty") == s, 1.0).otherwise(0.0) for s in params.specialties
     }
+    one_hot[OTHER] = F.when(F.col("specialty").isin(*params.specialties), 0.0).otherwise(1.0)
     joined = core_features(claims, days, codes, people, params).join(
         code_fractions(codes, params), "provider_id", "left"
     ).withColumns(one_hot)

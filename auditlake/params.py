@@ -93,7 +93,10 @@ class Params:
     # anomaly ensemble
     model_top_codes: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(MODEL_TOP_CODES))
     fingerprint_codes: tuple[str, ...] = FINGERPRINT_CODES
-    specialties: tuple[str, ...] = tuple(sorted(PEER_TOP_CODES))
+    #: specialties with a column of their own in the model; None takes those of the data, the most frequent
+    #: ``max_specialties`` of them.  All others share the column "other".
+    specialties: tuple[str, ...] | None = None
+    max_specialties: int = 64
     contamination: float = 0.10
     forest_trees: int = 300
     forest_sample: int = 256

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import hashing, quantiles, ranking
+from auditlake.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +82,27 @@ def test_global_rank_equals_row_number(spark):
     assert got == want
 
 
+def test_equal_scores_are_spread(spark):
+    """Nine tenths of the scores are equal: they are split by the tie, and no bin holds more than three times its share."""
+    rng = random.Random(8)
+    rows = [(f"P{i:05d}", 4.0 if rng.random() < 0.9 else rng.random() * 10) for i in range(20_000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "id string, s double").repartition(7)
+    bins = ranking.ranged(df, F.col("s").desc_nulls_last(), F.col("id"), bins=16).groupBy("_bin").count().collect()
+    assert len(bins) >= 12 and max(r["count"] for r in bins) <= 3 * len(rows) / 16
+    got = {r.id: r["rank"] for r in ranking.global_rank(df, "s", "id").collect()}
+    assert got == {pid: i + 1 for i, (pid, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])))}
+
+
+def test_ordered_tables_hold_the_order_in_their_files(spark, tmp_path):
+    rows = [(i, "x" if i % 2 else "y", float(i % 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "provider_id long, scheme string, estimated_extra_revenue double").repartition(6)
+    sinks.write_ordered(df, "findings", str(tmp_path / "out"), ("scheme",))
+    names = sorted((tmp_path / "out").glob("part-*.parquet"))
+    found = [r for n in names for r in spark.read.parquet(str(n)).collect()]
+    assert [r.place for r in found] == list(range(1, 501))
+    assert [(r.provider_id, r.estimated_extra_revenue) for r in found] == [(i, x) for i, _, x in sorted(rows, key=lambda r: (-r[2], r[0]))]
+
+
 def test_global_rank_of_nothing(spark):
     assert ranking.global_rank(spark.createDataFrame([], "id string, s double"), "s", "id").count() == 0
 

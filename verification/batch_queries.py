@@ -549,6 +549,40 @@ def t5_recovery_summary(spark: SparkSession, sf: str) -> DataFrame:
     return statutory.recovery_summary(_recovery(spark, sf), stamp, PARAMS)
 
 
+# ---------------------------------------------------------------- ordered tables
+
+def _ordered(spark: SparkSession, result: str, df: DataFrame, *ties: str) -> DataFrame:
+    """Written in order, read back with the place of each row."""
+    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    sinks.write_ordered(df, result, path, ties)
+    return spark.read.parquet(path).select("provider_id", *ties, sinks.ORDERS[result], "place")
+
+
+def _placed(result: str, table: str, *ties: str) -> str:
+    column, tie = sinks.ORDERS[result], ", ".join(["provider_id", *ties])
+    return f"SELECT {tie}, {column}, row_number() OVER (ORDER BY {column} DESC NULLS LAST, {tie}) AS place FROM {table}"
+
+
+@register("o1_ordered_findings", f"WITH {FINDINGS} {_placed('findings', 'findings', 'scheme')}")
+def o1_ordered_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, "findings", _findings(spark, sf), "scheme")
+
+
+@register("o1_ordered_drift", f"WITH {q.DRIFT_ALL} {_placed('drift', 'drift')}")
+def o1_ordered_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, "drift", _drift(spark, sf))
+
+
+@register("o1_ordered_temporal", f"WITH {q.BASE}, {q.TEMPORAL_CTES} {_placed('temporal', 'temporal')}")
+def o1_ordered_temporal(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, "temporal", temporal.temporal_scores(_months(spark, sf), _people(spark, sf), PARAMS))
+
+
+@register("o1_ordered_recovery", f"WITH {RECOVERY}, summary AS ({SUMMARY_SQL}) {_placed('recovery', 'summary')}")
+def o1_ordered_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, "recovery", t5_recovery_summary(spark, sf))
+
+
 @register("o2_top_cases", f"WITH {RECOVERY}, summary AS ({SUMMARY_SQL}) SELECT * FROM summary ORDER BY statutory_recoverable DESC, provider_id LIMIT 25")
 def o2_top_cases(spark: SparkSession, sf: str) -> DataFrame:
     return statutory.top_cases(t5_recovery_summary(spark, sf), 25)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ matrix AS (
     coalesce(g, 0) / CAST(total_claims AS DOUBLE) AS dup_rate, top_tier_share,
     -({' + '.join(f'''CASE WHEN "pct_{c}" > 0 THEN "pct_{c}" * log2("pct_{c}") ELSE 0.0 END''' for c in _CODES)}) AS code_entropy,
     {', '.join(f'"pct_{c}"' for c in _CODES)},
-    {', '.join(f'''CASE WHEN specialty = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "spec_{r}"''' for r in tables.REGIONS)}
+    {', '.join(f'''CASE WHEN specialty = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "spec_{r}"''' for r in tables.REGIONS)},
+    CASE WHEN specialty IN ({', '.join(f"'{r}'" for r in tables.REGIONS)}) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS spec_other
   FROM metrics m JOIN fractions USING (provider_id) LEFT JOIN dup_groups USING (provider_id))"""
 _NAMES = features.feature_names(PARAMS)
 SCALE_CTES = f"""{FEATURE_CTES},
@@ -100,6 +102,18 @@ factors AS (SELECT n.provider_id, avg(o.density) / max(s.density) AS lof FROM ne
   JOIN lrd s ON n.provider_id = s.provider_id GROUP BY n.provider_id)"""
 
 
+@register("a11_specialty_dictionary", f"""WITH {q.METRICS_ALL}, dim AS (SELECT provider_id, min(specialty) AS specialty FROM claims GROUP BY provider_id),
+often AS (SELECT specialty FROM dim GROUP BY specialty ORDER BY count(*) DESC, specialty LIMIT 3)
+SELECT provider_id, CASE WHEN specialty IN (SELECT specialty FROM often) THEN 'spec_' || specialty ELSE 'spec_other' END AS feature FROM dim""")
+def a11_specialty_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-hot column of each provider when the dictionary comes from the data and holds fewer specialties than there are."""
+    shared = _shared(spark, sf)
+    params = features.with_specialties(shared.people, replace(PARAMS, specialties=None, max_specialties=3))
+    matrix = features.feature_matrix(shared.claims, shared.days, shared.codes, shared.people, params)
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("x")) for n in features.feature_names(params) if n.startswith("spec_")])
+    return matrix.select("provider_id", F.explode(cells).alias("c")).where("c.x = 1").select("provider_id", "c.feature")
+
+
 @register("j16_nearest_neighbours", f"WITH {LOF_CTES} SELECT provider_id, other AS neighbour_id, {rnd('d', 6)} AS distance, CAST(place AS INTEGER) AS place FROM near")
 def j16_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
