@@ -81,8 +81,8 @@ def fit_ensemble(matrix: DataFrame, params: Params, contamination: float) -> Dat
         return isolation_forest.forest_scores(vectors, trees, n_rows, params)
 
     def svm_part() -> DataFrame:
-        weights = ocsvm.fit_svm(vectors, n_rows, len(names), share, params.seed)
-        return ocsvm.svm_scores(vectors, weights, len(names), share, params.seed)
+        weights = ocsvm.fit_svm(vectors, n_rows, len(names), share, params)
+        return ocsvm.svm_scores(vectors, weights, len(names), share, params)
 
     forest, factors, margins = concurrently(
         matrix.sparkSession,

@@ -101,6 +101,10 @@ class Params:
     forest_trees: int = 300
     forest_sample: int = 256
     lof_neighbours: int = 20
+    #: one-class SVM: random features, steps at most, and the share of |w|^2 that the objective may miss the optimum by
+    svm_features: int = 128
+    svm_steps: int = 60
+    svm_tolerance: float = 0.01
     weight_forest: float = 0.50
     weight_lof: float = 0.30
     weight_svm: float = 0.20

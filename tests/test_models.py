@@ -63,12 +63,42 @@ def test_forest_finds_planted_outliers_and_repeats(points):
 
 def test_svm_flags_its_share(points):
     n = points.count()
-    w = ocsvm.fit_svm(points, n, 3, 0.1, 7)
-    out = ocsvm.svm_scores(points, w, 3, 0.1, 7)
+    w = ocsvm.fit_svm(points, n, 3, 0.1, P)
+    out = ocsvm.svm_scores(points, w, 3, 0.1, P)
     assert out.where("decision < 0").count() <= math.ceil(0.1 * n)
     assert {f"z{i}" for i in range(5)} & top(out, "decision", 20)
 
 
+@pytest.mark.parametrize("nu", [0.1, 0.4])
+def test_svm_reaches_the_optimum(points, nu):
+    """Against the dual solved by brute force: pairs of rows exchange weight until none gains."""
+    params = Params(svm_features=24, svm_tolerance=1e-3, svm_steps=200)
+    x = np.array([r.x for r in points.collect()])
+    z = ocsvm._projector(3, params)(x)
+    n, most = len(z), 1 / (nu * len(z))
+    alpha, gram = np.full(n, 1 / n), z @ z.T
+    slope = gram @ alpha
+    for _ in range(200_000):
+        to = int(np.argmin(np.where(alpha < most, slope, np.inf)))
+        off = int(np.argmax(np.where(alpha > 0, slope, -np.inf)))
+        if slope[off] - slope[to] < 1e-10:
+            break
+        curve = max(gram[to, to] + gram[off, off] - 2 * gram[to, off], 1e-12)
+        move = min(alpha[off], most - alpha[to], (slope[off] - slope[to]) / curve)
+        alpha[to], alpha[off] = alpha[to] + move, alpha[off] - move
+        slope = slope + move * (gram[to] - gram[off])
+    best = alpha @ slope
+
+    def objective(w):
+        m = z @ w
+        rho = np.sort(m)[int(np.ceil(nu * n)) - 1]
+        return w @ w / 2 - rho + np.maximum(0, rho - m).sum() / (nu * n)
+
+    w = ocsvm.fit_svm(points, n, 3, nu, params)
+    assert w @ w == pytest.approx(best, rel=5e-3)
+    assert objective(w) <= -best / 2 + 5e-3 * best  # strong duality
+
+
 def test_attributions_add_up(points):
     n = points.count()
     trees = isolation_forest.fit_forest(points, n, P)

@@ -152,8 +152,8 @@ def m3_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
 @register("m5_one_class_svm")
 def m5_one_class_svm(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    w = ocsvm.fit_svm(vectors, vectors.count(), len(_NAMES), PARAMS.contamination, PARAMS.seed)
-    return ocsvm.svm_scores(vectors, w, len(_NAMES), PARAMS.contamination, PARAMS.seed)
+    w = ocsvm.fit_svm(vectors, vectors.count(), len(_NAMES), PARAMS.contamination, PARAMS)
+    return ocsvm.svm_scores(vectors, w, len(_NAMES), PARAMS.contamination, PARAMS)
 
 
 # the vote and the normalisation, given three raw scores

@@ -203,7 +203,17 @@ def f1_group_stats(spark: SparkSession, sf: str) -> DataFrame:
     return fairness.group_stats(people, _high_scores(spark, sf), tables.truth(spark, sf), PARAMS)
 
 
-@register("f2_fairness_summary")
+# the same approximation of the tail in SQL
+_T = f"(1.0 / (1.0 + {fairness._ERFC_P} * sqrt(x2 / 2.0)))"
+_TAIL = "0.0::DOUBLE"
+for _a in reversed(fairness._ERFC_A):
+    _TAIL = f"(({_TAIL} + {_a}::DOUBLE) * {_T})"
+
+
+@register("f2_fairness_summary", f"""WITH {FAIRNESS}
+SELECT dimension, grp AS group, n AS n_providers, CAST(f AS BIGINT) AS n_flagged, {rnd('CAST(f AS DOUBLE) / n', 4)} AS flag_rate, {rnd('mean_risk', 2)} AS mean_risk_score,
+  CAST(b AS BIGINT) AS n_confirmed_bad, {rnd('CAST(b AS DOUBLE) / nullif(f, 0)', 4)} AS precision_proxy, {rnd('x2', 6)} AS chi2,
+  x2 > 3.841458820694124 AND CAST(f AS DOUBLE) / n > CAST(ff AS DOUBLE) / nn AS alert, {rnd(f'{_TAIL} * exp(-x2 / 2.0)', 4)} AS chi2_p_value FROM chi""")
 def f2_fairness_summary(spark: SparkSession, sf: str) -> DataFrame:
     people = _roster(spark, sf)
     return fairness.fairness_summary(people, _high_scores(spark, sf), tables.truth(spark, sf), PARAMS)
