@@ -331,8 +331,9 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Of the rows that repeat an id the one with the smallest hash of its text stays.
     """
-    dropped = near_duplicates(docs, s).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.where("doc_id is not null").join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
-    left = left.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return left.select(*columns).union(docs.where("doc_id is null").select(*columns))
+    dropped = near_duplicates(docs, s).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    # the row travels as one value, so no column of it can clash
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.where("id is not null").join(dropped, "id", "left_anti")
+    left = left.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("body"))).where("n = 1")
+    return left.select("row.*").union(rows.where("id is null").select("row.*"))

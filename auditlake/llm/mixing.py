@@ -172,9 +172,8 @@ def _dropped(settle):
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` (at least ``doc_id, source, text``), each as often as the mix takes it, with all its columns."""
     chosen = decisions(docs, **settings).groupBy("key").agg(F.collect_list("copies").alias("copies"))  # equal rows only share a key
-    chosen = chosen.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__of", F.xxhash64("doc_id", "source", "text"))
-    nth = F.row_number().over(W.partitionBy("__of").orderBy("__of"))
-    taken = keyed.join(chosen, F.col("__of") == F.col("__key")).withColumn("__n", F.element_at("__copies", nth.cast("int")))
-    taken = taken.where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row travels as one value, so no column of it can clash
+    keyed = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    nth = F.row_number().over(W.partitionBy("key").orderBy("key"))
+    taken = keyed.join(chosen, "key").withColumn("n", F.element_at("copies", nth.cast("int"))).where("n > 0")
+    return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -3,6 +3,8 @@
 import random
 
 CLASHES = ", key long, size long, rep long, component_id long, label int, bucket int, block int, score double, n_tokens long"
+#: Names that the pipeline's stages once used or use now.
+MORE_CLASHES = ", __n long, __of long, __gone long, __toxic double, id long, row long, n long, body long, copies long, labels long, ids long, decoded long, part long"
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 EXTRA = (7, 7, 7, 7, 7, 7, 7, 7.0, 7)
 

@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from llm_helpers import DOCS, family_of, sentence
+import pytest
+
+from llm_helpers import CLASHES, DOCS, EXTRA, MORE_CLASHES, family_of, odd_documents, sentence
 
 
 def test_stages_follow_each_other(spark, tmp_path):
@@ -29,3 +31,24 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert set(mixed) <= set(unique) and max(mixed.count(i) for i in set(mixed)) <= 2
     assert sorted(coded) == sorted(mixed)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(coded)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_corpora(spark, tmp_path, empty):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, rows without id, and columns that clash; or no row at all."""
+    odd = odd_documents(spark).collect()
+    rows = [] if empty else [tuple(r) + (7,) * 13 for r in odd] + [(None,) * 5 + (None,) * len(EXTRA) + (None,) * 13]
+    schema = DOCS + CLASHES + MORE_CLASHES.replace("__toxic double", "__toxic long")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [] if empty else [(1, 1, 0), (2, None, None), (None, 1, 1), (6, 1, 0), (6, 1, 0), (99, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        step(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")], name
+        if not empty:
+            assert {r["__n"] for r in docs.collect()} <= {7, None}, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # no labels of both classes: nothing is toxic; one document of an id and of a text stays; texts without words stay or go by a draw
+    assert {r.doc_id for r in out} <= {1, 2, 3, 4, 5, 6, 8, None} and bool(out) != empty
