@@ -1,4 +1,8 @@
-"""From documents to token ids: toxic documents go, near-duplicates go, sources are mixed, texts are encoded."""
+"""From documents to token ids: toxic documents go, near-duplicates go, sources are mixed, texts are encoded.
+
+Stages keep all columns of their documents, whatever their names. Nulls, empty and blank texts, very long texts, repeated rows and empty tables
+have defined results: see each stage.
+"""
 
 from __future__ import annotations
 
@@ -11,24 +15,34 @@ from auditlake.llm.stages import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; empty ones stay."""
+    """Documents that the toxicity model does not reject.
+
+    Null, empty and blank texts get the model's base rate, repeated rows the same score. Without labels of both classes
+    the model is the share of toxic ones. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs, labels)
-    return docs.withColumn("__toxic", toxicity.score(model, "text")).where("__toxic < 0.5").drop("__toxic")
+    return docs.where(toxicity.score(model, "text") < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates (five-word shingles, 0.8)."""
+    """One document, the one with the smallest id, of each group of near-duplicates (five-word shingles, 0.8).
+
+    Null, empty and blank texts, and rows without id, are nobody's duplicates and stay; of rows that repeat an id one stays.
+    """
     return minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A null source is a source; a text without words stays or goes by its draw. Repeated rows are documents of their own.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digests of the ids of each text, and of the text they decode to."""
+    """Number and digests of the ids of each text, and of the text they decode to; a null text is an empty one."""
     return bpe.digests(docs, codec(spark))
 
 
