@@ -14,7 +14,8 @@ RAW_CLAIMS = (
 )
 FEE_SCHEDULE = "fee_code string, description string, amount double, tier int, minutes int"
 FEE_META = (
-    "source string, description string, version string, effective_date string, authoritative boolean"
+    "source string, description string, version string, effective_date string, authoritative boolean, "
+    "n_codes int"
 )
 GROUND_TRUTH = (
     "all_bad_actors array<string>, clean_providers map<string, struct<description: string, type: string>>, "

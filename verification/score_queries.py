@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators import dashboard, evaluation, explain, fairness, scoring
 from auditlake.params import Params
 from auditlake.plans import mart, risk
+from auditlake.session import shared_dir
+from auditlake.sources import readers, sinks
 from verification import ctes as q
 from verification import tables
 from verification.batch_queries import RECOVERY, SUMMARY_SQL, t5_recovery_summary
@@ -246,15 +250,19 @@ def q2_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.calibration(labels, t5_recovery_summary(spark, sf))
 
 
-_CARD = f"""{q.SCORES_ALL}, {TRUTH},
-rows AS (SELECT t.provider_id, label, rank, coalesce(risk_score, 0.0) AS risk_score, coalesce(estimated_exposure, 0.0) AS estimated_exposure,
+def _card(suffix: str, ranked: str) -> str:
+    """Rows, counts and card of a run, as CTEs that end in ``suffix``."""
+    return f"""rows{suffix} AS (SELECT t.provider_id, label, rank, coalesce(risk_score, 0.0) AS risk_score, coalesce(estimated_exposure, 0.0) AS estimated_exposure,
   CASE WHEN rank IS NULL THEN 'not scored' WHEN rank <= 10 THEN 'top 10' WHEN rank <= 20 THEN 'top 20' ELSE 'below top 20' END AS status,
-  coalesce(label = 0 AND risk_score >= 10, FALSE) AS false_positive FROM truth t LEFT JOIN ranked USING (provider_id)),
-cnt AS (SELECT count(*) FILTER (label = 1) AS n_total, count(*) FILTER (label = 1 AND rank <= 10) AS n_caught_10,
+  coalesce(label = 0 AND risk_score >= 10, FALSE) AS false_positive FROM truth t LEFT JOIN {ranked} USING (provider_id)),
+cnt{suffix} AS (SELECT count(*) FILTER (label = 1) AS n_total, count(*) FILTER (label = 1 AND rank <= 10) AS n_caught_10,
   count(*) FILTER (label = 1 AND rank <= 20) AS n_caught_20, {rnd('coalesce(avg(CASE WHEN label = 1 THEN rank END), 9999.0)', 1)} AS avg_rank,
-  count(*) FILTER (label = 0 AND false_positive) AS n_fp, count(*) FILTER (label = 0) AS n_traps FROM rows),
-card AS (SELECT *, {rnd('CAST(n_caught_10 AS DOUBLE) / n_total * 100.0', 1)} AS det_rate_10, {rnd('CAST(n_caught_20 AS DOUBLE) / n_total * 100.0', 1)} AS det_rate_20,
-  coalesce({rnd('CAST(n_fp AS DOUBLE) / nullif(n_traps, 0) * 100.0', 1)}, 0.0) AS fp_rate FROM cnt)"""
+  count(*) FILTER (label = 0 AND false_positive) AS n_fp, count(*) FILTER (label = 0) AS n_traps FROM rows{suffix}),
+card{suffix} AS (SELECT *, {rnd('CAST(n_caught_10 AS DOUBLE) / n_total * 100.0', 1)} AS det_rate_10, {rnd('CAST(n_caught_20 AS DOUBLE) / n_total * 100.0', 1)} AS det_rate_20,
+  coalesce({rnd('CAST(n_fp AS DOUBLE) / nullif(n_traps, 0) * 100.0', 1)}, 0.0) AS fp_rate FROM cnt{suffix})"""
+
+
+_CARD = f"{q.SCORES_ALL}, {TRUTH}, {_card('', 'ranked')}"
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,6 +284,64 @@ def q3_unregistered(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.unregistered(_ranked(spark, sf), tables.truth(spark, sf))
 
 
+_METRICS = ("det_rate_10", "det_rate_20", "avg_rank", "fp_rate", "n_fp")
+_CHANGES = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, CAST(b.{m} AS DOUBLE) AS baseline, CAST(c.{m} AS DOUBLE) AS now, {rnd(f'CAST(c.{m} AS DOUBLE) - CAST(b.{m} AS DOUBLE)', 1)} AS delta FROM card c, card_before b"
+    for m in _METRICS
+)
+
+
+@register("q3_scorecard_change", f"WITH {_CARD}, {_card('_before', '(SELECT * FROM ranked WHERE provider_id % 2 = 0) AS half')} {_CHANGES}")
+def q3_scorecard_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Against the saved card of an earlier run that had ranked only the providers with even ids."""
+    path = f"{shared_dir(spark)}/scorecard-{uuid.uuid4().hex}"
+    ranked, truth = _ranked(spark, sf), tables.truth(spark, sf)
+    sinks.write_table(evaluation.scorecard(ranked.where("provider_id % 2 = 0"), truth, PARAMS), path)
+    return evaluation.scorecard_change(evaluation.scorecard(ranked, truth, PARAMS), spark.read.parquet(path))
+
+
+@register("q1_trusted_labels", """WITH disp AS (SELECT event_id AS seq, user_id AS provider_id, event_type FROM events WHERE event_type IN ('purchase', 'error'))
+SELECT provider_id, CAST(arg_max(event_type, seq) = 'purchase' AS INTEGER) AS label, CAST(NULL AS DOUBLE) AS recovered_amount, 'AUDITOR_DISPOSITIONS' AS basis
+FROM disp GROUP BY provider_id""")
+def q1_trusted_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Dispositions that are trusted go before the planted truth."""
+    planted = tables.truth(spark, sf).where(F.col("label") == 1)
+    return evaluation.resolve_labels(spark, dispositions=tables.dispositions(spark, sf), trusted=True, planted=planted)
+
+
+@register("s5_ground_truth", """SELECT CAST(s_suppkey AS VARCHAR) AS provider_id, 1 AS label, CASE WHEN s_acctbal < 0 THEN 'deep' ELSE 'shallow' END AS scheme FROM supplier WHERE s_acctbal < 1000
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 0, NULL FROM supplier WHERE s_acctbal > 9000""")
+def s5_ground_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """A ground-truth file with id lists, a map of traps and a map of schemes, read back as labels and schemes."""
+    path = f"{shared_dir(spark)}/truth-{uuid.uuid4().hex}"
+    ids = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_acctbal").alias("x"))
+    trap = F.struct("id", F.struct(F.lit("clean outlier").alias("description"), F.lit("trap").alias("type")))
+
+    def listed(condition: Column) -> Column:
+        return F.collect_list(F.when(condition, F.col("id")))
+
+    whole = ids.agg(
+        listed(F.col("x") < 1000).alias("all_bad_actors"), F.map_from_entries(F.collect_list(F.when(F.col("x") > 9000, trap))).alias("clean_providers"),
+        F.create_map(F.lit("deep"), listed(F.col("x") < 0), F.lit("shallow"), listed((F.col("x") >= 0) & (F.col("x") < 1000))).alias("schemes"),
+    )
+    whole.coalesce(1).write.json(path)
+    truth = readers.read_ground_truth(spark, path)
+    return readers.truth_labels(truth).join(readers.truth_schemes(truth), "provider_id", "left")
+
+
+@register("s4_provenance", """SELECT 'price list' AS source, 'v' || count(DISTINCT p_brand) AS version, CAST(NULL AS DATE) AS effective_date, TRUE AS authoritative, CAST(count(*) AS INTEGER) AS n_codes FROM part""")
+def s4_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """The provenance file beside a price list, read with its declared types."""
+    path = f"{shared_dir(spark)}/meta-{uuid.uuid4().hex}"
+    told = tables.table(spark, sf, "part").agg(
+        F.lit("price list").alias("source"), F.concat(F.lit("v"), F.countDistinct("p_brand").cast("string")).alias("version"),
+        F.lit(True).alias("authoritative"), F.count(F.lit(1)).alias("n_codes"),
+    )
+    told.write.json(path)
+    meta = readers.read_fee_meta(spark, path)
+    return meta.select("source", "version", F.col("effective_date").cast("date").alias("effective_date"), "authoritative", F.col("n_codes").cast("int").alias("n_codes"))
+
+
 # ---------------------------------------------------------------- mart
 
 def _mart(spark: SparkSession, sf: str, **results: DataFrame) -> mart.Mart:
