@@ -129,3 +129,25 @@ def test_only_unreviewed_clinical_findings_are_pending(spark):
     assert [tuple(r) for r in reviews.pending_reviews(found(spark, rows), log).collect()] == [("A", evidence.UPCODING)]
     with pytest.raises(Exception, match="unknown opinion"):
         reviews.checked_opinions(log.withColumn("opinion", F.lit("maybe"))).collect()
+
+
+def test_report_lines_follow_the_sections(spark, tmp_path):
+    from auditlake.operators import report
+    from auditlake.sources import sinks
+
+    found = spark.createDataFrame(
+        [("A", "S", "x", "seen twice", 100.0, 2), ("A", "S", "y", "seen once", 50.0, 1), ("B", "S", "x", "seen thrice", 300.5, 3)],
+        "provider_id string, specialty string, scheme string, evidence string, estimated_extra_revenue double, support_claims long",
+    )
+    days = spark.createDataFrame([("A", datetime.date(2024, 1, 5), 4), ("B", datetime.date(2024, 2, 1), 6)], "provider_id string, service_date date, n_claims long")
+    codes = spark.createDataFrame([("A", "1"), ("B", "1")], "provider_id string, fee_code string")
+    people = spark.createDataFrame([("A", "S"), ("B", "S"), ("C", "T")], "provider_id string, specialty string")
+    rows = report.report_rows(found, days, codes, people, spark.createDataFrame([("A",), ("C",)], "provider_id string"), examples=1)
+    assert rows.count() == 8 + 2 + 2 + 2 + 3
+    sinks.export_text(report.report_lines(rows), str(tmp_path / "report"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[:3] == ["## Dataset", "- claims; 10", "- providers; 3"] and "- last day; 2024-02-01" in lines
+    assert lines[9:12] == ["## Providers", "- B; S: x; 1; $300", "- A; S: x, y; 2; $150"]
+    assert lines[12:18] == ["## Schemes", "- x; 2; $400", "- y; 1; $50", "## Examples", "- B; x: seen thrice; 3; $300", "- A; y: seen once; 1; $50"]
+    assert lines[18:] == ["## Truth", "- hit; 1", "- missed; 1", "- not_planted; 1"]
+    assert report.report_rows(found.limit(0), days.limit(0), codes.limit(0), people.limit(0)).count() == 8

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import money_sum, rounded
-from auditlake.operators import codemix, evidence, peers, quality, rollups, rules, statutory, temporal
+from auditlake.operators import codemix, evidence, peers, quality, report, rollups, rules, statutory, temporal
 from auditlake.plans import risk
 from auditlake.session import materialize, shared_dir
 from auditlake.sources import readers, sinks
@@ -445,6 +445,33 @@ def o7_truth_check(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.truth_check(evidence.upcoding(_inputs(spark, sf), PARAMS), planted)
 
 
+_REPORT = f"""{q.BASE}, {FINDINGS}, per AS (SELECT provider_id, specialty, {_CENTS} AS total_extra, count(DISTINCT scheme) AS n_schemes,
+  string_agg(DISTINCT scheme, ', ' ORDER BY scheme) AS schemes FROM findings GROUP BY provider_id, specialty),
+facts AS (SELECT count(*) AS claims, count(DISTINCT provider_id) AS providers, count(DISTINCT specialty) AS specialties, count(DISTINCT fee_code) AS codes,
+  min(service_date) AS d1, max(service_date) AS d2 FROM claims),
+by_scheme AS (SELECT scheme, count(DISTINCT provider_id) AS providers, {_CENTS} AS total FROM findings GROUP BY scheme),
+best AS (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY estimated_extra_revenue DESC, provider_id) AS place FROM findings),
+truth_status AS (SELECT CASE WHEN f.provider_id IS NULL THEN 'missed' WHEN s_suppkey IS NULL THEN 'not_planted' ELSE 'hit' END AS status
+  FROM (SELECT DISTINCT provider_id FROM findings) f FULL JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) ON s_suppkey = f.provider_id)"""
+
+
+@register("s12_report_rows", f"""WITH {_REPORT}
+SELECT 'dataset' AS section, 1 AS place, 'claims' AS name, NULL AS detail, claims AS n, CAST(NULL AS DOUBLE) AS amount FROM facts
+UNION ALL SELECT 'dataset', 2, 'providers', NULL, providers, NULL FROM facts UNION ALL SELECT 'dataset', 3, 'specialties', NULL, specialties, NULL FROM facts
+UNION ALL SELECT 'dataset', 4, 'billing codes', NULL, codes, NULL FROM facts
+UNION ALL SELECT 'dataset', 5, 'first day', CAST(CAST(d1 AS DATE) AS VARCHAR), NULL, NULL FROM facts UNION ALL SELECT 'dataset', 6, 'last day', CAST(CAST(d2 AS DATE) AS VARCHAR), NULL, NULL FROM facts
+UNION ALL SELECT 'dataset', 7, 'providers with a finding', NULL, count(*), NULL FROM per UNION ALL SELECT 'dataset', 8, 'estimated extra revenue', NULL, NULL, {_CENTS} FROM findings
+UNION ALL SELECT 'providers', place, CAST(provider_id AS VARCHAR), specialty || ': ' || schemes, n_schemes, total_extra
+  FROM (SELECT *, CAST(row_number() OVER (ORDER BY total_extra DESC, provider_id) AS INTEGER) AS place FROM per) WHERE place <= 25
+UNION ALL SELECT 'schemes', CAST(row_number() OVER (ORDER BY total DESC, scheme) AS INTEGER), scheme, NULL, providers, total FROM by_scheme
+UNION ALL SELECT 'examples', CAST(place AS INTEGER), CAST(provider_id AS VARCHAR), scheme || ': ' || evidence, support_claims, estimated_extra_revenue FROM best WHERE place <= 6
+UNION ALL SELECT 'truth', CASE status WHEN 'hit' THEN 1 WHEN 'missed' THEN 2 ELSE 3 END, status, NULL, count(*), NULL FROM truth_status GROUP BY status""")
+def s12_report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    given = _inputs(spark, sf)
+    planted = tables.truth(spark, sf).where(F.col("label") == 1)
+    return report.report_rows(_findings(spark, sf), given.days, given.codes, given.people, planted)
+
+
 # ---------------------------------------------------------------- statutory recovery
 
 _TAXONOMY = "taxonomy(scheme, concern, circumstances, basis, consult) AS (VALUES " + ", ".join(
