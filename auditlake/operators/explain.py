@@ -26,9 +26,9 @@ FEATURE_LABELS = {
 
 def feature_label(name: Column) -> Column:
     label = (
-        F.when(F.startswith(name, F.lit("pct_")), F.concat(F.lit("over-use of code "), F.substring(name, 5, 1000)))
+        F.when(F.startswith(name, F.lit("pct_")), F.concat(F.lit("large share of code "), F.substring(name, 5, 1000)))
         .when(name == "spec_other", F.lit("specialty outside the model's list"))
-        .when(F.startswith(name, F.lit("spec_")), F.concat(F.lit("specialty mix ("), F.substring(name, 6, 1000), F.lit(")")))
+        .when(F.startswith(name, F.lit("spec_")), F.concat(F.lit("membership of specialty "), F.substring(name, 6, 1000)))
         .otherwise(F.replace(name, F.lit("_"), F.lit(" ")))
     )
     for key, text in FEATURE_LABELS.items():

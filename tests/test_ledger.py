@@ -207,7 +207,7 @@ def test_chi_square(spark):
 def test_feature_labels(spark):
     df = spark.createDataFrame([("pct_99213",), ("spec_Surgery",), ("dup_rate",), ("odd_one",)], "f string")
     assert [r[0] for r in df.select(explain.feature_label(F.col("f"))).collect()] == [
-        "over-use of code 99213", "specialty mix (Surgery)", "elevated duplicate claim rate", "odd one"]
+        "large share of code 99213", "membership of specialty Surgery", "elevated duplicate claim rate", "odd one"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
