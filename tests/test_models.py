@@ -1,11 +1,13 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import attribution, ensemble, feedback, isolation_forest, lof, ocsvm, privacy, registry
+from auditlake.operators import attribution, ensemble, feedback, isolation_forest, lof, neighbour_graph, ocsvm, privacy, registry
 from auditlake.params import Params
 from auditlake.session import materialize
 
@@ -47,6 +49,44 @@ def test_pruned_neighbours_equal_all_pairs(points, block_rows):
         assert math.isclose(r.lof, factors[r.provider_id], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("tile_rows", [9, 40, 1000])
+def test_tiles_do_not_change_the_neighbours(points, tile_rows):
+    """Blocks far smaller than a tile, and cells larger than one."""
+    rows = {r.provider_id: r.x for r in points.collect()}
+    near, _ = brute_lof(rows, 6)
+    got = {}
+    for r in lof.nearest_neighbours(points, len(rows), 6, 1, 5, tile_rows).collect():
+        got.setdefault(r.provider_id, []).append((r.place, r.neighbour_id))
+    assert {p: [o for _, o in sorted(n)] for p, n in got.items()} == {p: [o for _, o in n] for p, n in near.items()}
+
+
+def test_cells_share_and_fill_tiles():
+    centres = np.arange(6.0)[:, None]
+    tiles = lof._tiles(centres, np.array([3, 4, 25, 2, 2, 9]), 10)
+    assert tiles == [(0, 1), (0, 1), (1, 3), (4, 1), (4, 1), (5, 1)]
+
+
+def test_the_nearest_rows_are_found_in_slices():
+    """Memory follows the slice, not queries times rows; far and equal rows keep their exact distances and ties."""
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(size=(2000, 8)), 1e7 + rng.normal(size=(1500, 8)) * 1e-3, np.full((500, 8), 3.0)]
+    ids = rng.permutation(len(x))
+    table = pa.table({"provider_id": pa.array(ids), "x": pa.array(list(x), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = neighbour_graph.closest(table, table, 5).to_pandas()
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert len(got) == 5 * len(x)
+    place = np.argsort(ids)
+    by_id = x[place]
+    for one in (ids[0], ids[1999], ids[2000], ids[3499], ids[3500], ids[-1]):
+        d = np.sqrt(((by_id - by_id[one]) ** 2).sum(axis=1))
+        want = sorted((v, i) for i, v in enumerate(d) if i != one)[:5]
+        mine = got[got.provider_id == one]
+        assert mine.neighbour_id.tolist() == [i for _, i in want]
+        assert np.allclose(mine.distance, [v for v, _ in want], rtol=1e-12)
+
+
 def top(df, column, n):
     return {r.provider_id for r in df.orderBy(column).limit(n).collect()}
 
