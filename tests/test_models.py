@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -180,6 +182,45 @@ def test_shapley_equals_enumeration():
         assert got == pytest.approx([((f0 - none) + (both - f1)) / 2, ((f1 - none) + (both - f0)) / 2])
 
 
+def subsets_shapley(tree, row):
+    """Each leaf as a product game, by enumeration of all subsets."""
+    out = np.zeros(len(row))
+    for value, path in attribution.leaf_rules(tree):
+        parts = [(float(lo < row[f] <= hi), share) for f, lo, hi, share in path]
+        n = len(parts)
+        for i in range(n):
+            others = [j for j in range(n) if j != i]
+            for size in range(n):
+                weight = math.factorial(size) * math.factorial(n - 1 - size) / math.factorial(n)
+                for known in itertools.combinations(others, size):
+                    product = math.prod(parts[j][0] if j in known else parts[j][1] for j in others)
+                    out[path[i][0]] += weight * value * (parts[i][0] - parts[i][1]) * product
+    return out
+
+
+@pytest.mark.parametrize("rows", [3, 1500])
+def test_shapley_of_grown_trees(rows):
+    """Looked-up patterns, rows taken one by one where patterns outnumber them, and several lots of rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 9))
+    tree = {k: np.asarray(v) for k, v in isolation_forest._grow(x[:200], rng, 9).items()}
+    assert max(len(path) for _, path in attribution.leaf_rules(tree)) >= 7
+    got = attribution.shapley(tree, x[:rows])
+    for i in (0, rows // 2, rows - 1):
+        assert got[i] == pytest.approx(subsets_shapley(tree, x[i]), rel=1e-9, abs=1e-12)
+
+
+def test_shapley_costs_a_row_few_steps():
+    """Work on rows is a look-up per leaf and feature, not a polynomial per pair of features."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4096, 37))
+    tree = {k: np.asarray(v) for k, v in isolation_forest._grow(x[:256], rng, 8).items()}
+    polynomials = sum(len(path) ** 2 for _, path in attribution.leaf_rules(tree))
+    begun = time.process_time()
+    attribution.shapley(tree, x)
+    assert time.process_time() - begun < polynomials * len(x) * 3e-8
+
+
 def test_consensus_votes(spark):
     rows = [(f"P{i}", -float(i == 9) * 5 - i / 100, -float(i == 9) * 3 - i / 100, 1.0 if i else -1.0) for i in range(10)]
     raw = materialize(spark.createDataFrame(rows, "provider_id string, if_raw double, lof_raw double, ocsvm_raw double"))
