@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from verification import model_queries, score_queries
+from auditlake.operators import rollups
+from verification import batch_queries, model_queries, score_queries, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,39 @@ def test_attributions_cover_the_worklist(spark, monkeypatch):
     monkeypatch.setattr(score_queries, "k10_worklist", lambda *a: vectors.where("provider_id in (1, 4)"))
     model_queries.x3_feature_attributions(spark, SF)
     assert ids(seen[0]) == [1, 4]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_joined_once(spark):
+    """What reads the claims several times reads one kept table, with the rows of the join."""
+    shared, given = batch_queries._shared(spark, SF), batch_queries._inputs(spark, SF)
+    for claims in (shared.claims, given.claims, score_queries._mart(spark, SF).claims):
+        assert "Join" not in plan(claims)
+        assert set(claims.inputFiles()) == set(shared.claims.inputFiles())
+    joined = tables.claims(spark, SF)
+    kept = batch_queries._claims(spark, SF)
+    assert kept.schema.names == joined.schema.names
+    assert kept.exceptAll(joined).count() == joined.exceptAll(kept).count() == 0
+
+
+def test_kept_claims_hold_providers_together(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = tables.stored_claims(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    places = kept.select("provider_id", F.input_file_name().alias("file")).distinct()
+    assert len(kept.inputFiles()) > 1
+    assert places.count() == kept.select("provider_id").distinct().count()
+
+
+def test_repeated_keys_are_looked_up_without_shuffling_claims(spark):
+    """The few repeated keys are a kept table of known size."""
+    rows = [(i, "p", i // 2 if i < 4 else i, 1.0 * i) for i in range(20)]
+    claims = spark.createDataFrame(rows, "claim_id long, provider_id string, patient_id long, amount_billed double")
+    found = rollups.duplicate_events(claims, ("provider_id", "patient_id"))
+    assert sorted((r.patient_id, r.n, r.unit_billed) for r in found.collect()) == [(0, 2, 0.0), (1, 2, 2.0)]
+    assert "having" not in plan(found).lower() and "parquet" in plan(found)
