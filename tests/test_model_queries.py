@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from auditlake.operators import rollups
+from auditlake import session
+from auditlake.operators import features, rollups
 from verification import batch_queries, model_queries, score_queries, tables
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,41 @@ def test_repeated_keys_are_looked_up_without_shuffling_claims(spark):
     found = rollups.duplicate_events(claims, ("provider_id", "patient_id"))
     assert sorted((r.patient_id, r.n, r.unit_billed) for r in found.collect()) == [(0, 2, 0.0), (1, 2, 2.0)]
     assert "having" not in plan(found).lower() and "parquet" in plan(found)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_claims_in_buckets_are_grouped_without_a_shuffle(spark):
+    claims, days = tables.stored_claims(spark, SF), batch_queries._shared(spark, SF).days
+    grouped = [
+        rollups.provider_day(claims), rollups.provider_code(claims), rollups.provider_dim(claims), rollups.patients_per_provider(claims),
+        features.duplicate_group_counts(claims), claims.groupBy(*tables.PARAMS.evidence_duplicate_keys).count(),
+        rollups.provider_totals(days), rollups.provider_month(days), batch_queries._inputs(spark, SF).days.groupBy("provider_id").count(),
+    ]
+    for df in grouped:
+        assert "Exchange" not in executed(df)
+
+
+def test_buckets_grow_in_number(spark):
+    assert session.bucket_count(spark, 0) == spark.sparkContext.defaultParallelism
+    assert session.bucket_count(spark, 400 * session.BUCKET_ROWS + 1) == 401
+
+
+def test_buckets_keep_all_rows(spark):
+    rows = [(i % 3 or None, float(i % 5)) for i in range(40)]
+    given = spark.createDataFrame(rows, "provider_id long, x double")
+    kept = session.stored_by(given, "kept", "provider_id", 3)
+    assert kept.schema.names == given.schema.names
+    assert kept.exceptAll(given).count() == given.exceptAll(kept).count() == 0
+
+
+def test_a_provider_with_very_many_claims_is_not_left_to_one_task(spark, monkeypatch):
+    assert tables.claim_buckets(spark, SF) > 0
+    monkeypatch.setattr(tables, "PROVIDER_ROWS", 10)
+    assert tables.claim_buckets.__wrapped__(spark, SF) == 0
+    monkeypatch.setattr(tables, "claim_buckets", lambda *a: 0)
+    kept, joined = tables.stored_claims(spark, SF), tables.claims(spark, SF)
+    assert kept.exceptAll(joined).count() == joined.exceptAll(kept).count() == 0
+    assert "Exchange" in executed(rollups.provider_day(kept))
