@@ -7,19 +7,23 @@ import heapq
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distinct pieces that a task remembers; more only means that some are merged again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 #: Longest piece that is remembered, in characters.
 REMEMBERED_LENGTH = 256
+#: Bytes of text that a round trip takes at once.
+SLICE_BYTES = 1 << 21
 _LONG, _NONE = 64, 1 << 30
 
 
@@ -83,8 +87,8 @@ class Pieces:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.known = ranks, {}
-        split = [(a, b, r) for token, r in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
-        pairs = np.array(split, np.int64).reshape(-1, 3)
+        split = ((a, b, r) for token, r in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None)
+        pairs = np.fromiter(chain.from_iterable(split), np.int64).reshape(-1, 3)
         keys = pairs[:, 0] << 20 | pairs[:, 1]
         order = np.argsort(keys)
         self.keys, self.merged = np.r_[keys[order], np.int64(1) << 62], np.r_[pairs[order, 2], _NONE].astype(np.int32)
@@ -205,9 +209,7 @@ class Codec:
 
         @F.arrow_udf("array<int>")
         def encoded(column: pa.Array) -> pa.Array:
-            parts = list(_pieces(ranks).encode(_each(column), _split(pattern)))
-            ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            return _encoded(ranks, pattern, column)
 
         return encoded(text)
 
@@ -227,11 +229,47 @@ class Codec:
 
         @F.arrow_udf("binary")
         def decoded(column: pa.Array) -> pa.Array:
-            tokens = _tokens(ranks)
-            return pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in _lists(column)], pa.binary())
+            return _decoded(ranks, column)
 
         return decoded(ids)
 
+    def round_trip(self, docs: DataFrame) -> DataFrame:
+        """``(doc_id, ids, decoded)`` per row of ``docs (doc_id, text)``: :meth:`encode` and :meth:`decode` in one pass.
+
+        Each text is encoded once, and a task holds the ids and bytes of a slice of its batch (:data:`SLICE_BYTES`), not of all of it.
+        """
+        ranks, pattern = self.ranks, self.pattern
+
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _slices(batch):
+                    ids = _encoded(ranks, pattern, part["text"])
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], ids, _decoded(ranks, ids)], names=["doc_id", "ids", "decoded"])
+
+        rows = docs.select("doc_id", "text")
+        schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+        return rows.mapInArrow(coded, schema)
+
+
+def _encoded(ranks: Broadcast, pattern: str, column: pa.Array) -> pa.Array:
+    parts = list(_pieces(ranks).encode(_each(column), _split(pattern)))
+    ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _decoded(ranks: Broadcast, column: pa.Array) -> pa.Array:
+    tokens = _tokens(ranks)
+    return pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in _lists(column)], pa.binary())
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut where another :data:`SLICE_BYTES` of text are full; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), len(batch)]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
 
 def _each(column: pa.Array) -> Iterator[str | None]:
     for at in range(0, len(column), 500):
@@ -248,9 +286,7 @@ def digests(docs: DataFrame, codec: Codec) -> DataFrame:
 
     Null and empty texts have no ids: both digests are those of the empty string. Repeated rows give repeated rows.
     """
-    coded = docs.select("doc_id", codec.encode("text").alias("ids"))
-    coded = coded.withColumn("decoded", codec.decode("ids"))
-    return coded.select(
+    return codec.round_trip(docs).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

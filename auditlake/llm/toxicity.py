@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -229,12 +228,14 @@ def score(model: Model, text: Column | str) -> Column:
     bias, w, v, terms, settings = model.bias, model.weights, model.factors, model.terms, model.settings
     memo: list[_Terms] = []
 
-    @F.pandas_udf("double")
-    def scored(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
         if not memo:
             memo.append(_Terms(settings, terms))
-        raw = [_raw(bias, w, v, np.fromiter(x, np.int64, len(x))) if (x := memo[0].of(t)) else bias for t in column]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30))))
+        # few texts at once as Python strings: the batch itself holds them all already
+        some = (t for at in range(0, len(column), 500) for t in column.slice(at, 500).to_pylist())
+        raw = [_raw(bias, w, v, np.fromiter(x, np.int64, len(x))) if (x := memo[0].of(t)) else bias for t in some]
+        return pa.array(1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30))), pa.float64())
 
     return scored(text)
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditlake.llm import bpe, lengths
@@ -42,6 +43,23 @@ def test_merges_agree_at_every_length(ranks, theirs):
             assert ids == bpe.merge(text.encode(), ranks) == theirs._encode_single_piece(text.encode())
 
 
+def test_round_trip_encodes_each_text_once_and_in_slices(spark, ranks, theirs, monkeypatch):
+    codec = bpe.Codec(spark, ranks, public_tokenizers.PATTERN)
+    texts = ["", None, "one", "two words", "x" * 40, None, "漢 é"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id int, text string, more int")
+    got = {r.doc_id: r for r in codec.round_trip(docs).collect()}
+    assert {i: r.ids for i, r in got.items()} == {i: theirs.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert all(bytes(got[i].decoded) == (t or "").encode() for i, t in enumerate(texts))
+    # one Python step that encodes, not one that encodes for the ids and again for the bytes
+    plan = bpe.digests(docs, codec)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [part["doc_id"].to_pylist() for part in bpe._slices(batch)]
+    assert sum(parts, []) == list(range(7)) and max(sum(len((texts[i] or "").encode()) for i in part[1:]) for part in parts) <= 10
+    assert list(bpe._slices(batch.slice(0, 0))) == []
+
+
 def test_digests_of_odd_rows(spark, ranks):
     codec, empty = bpe.Codec(spark, ranks, public_tokenizers.PATTERN), hashlib.sha256(b"").hexdigest()
     got = bpe.digests(odd_documents(spark), codec).collect()
