@@ -1,12 +1,14 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import lof
-from auditlake.operators.neighbour_graph import GraphSettings, buckets, neighbour_graph
+from auditlake.operators.neighbour_graph import GraphSettings, buckets, closest, neighbour_graph
 from auditlake.session import materialize
 from verification import model_queries
 
@@ -91,3 +93,17 @@ def test_recall_on_the_model_matrix(spark):
     a = lof.local_outlier_factor(vectors, n, k, exact=True).withColumnRenamed("lof", "a")
     b = lof.local_outlier_factor(vectors, n, k, graph=GraphSettings(bucket_rows=64)).withColumnRenamed("lof", "b")
     assert a.join(b, "provider_id").agg(F.corr("a", "b")).first()[0] == pytest.approx(1, abs=0.02)
+
+
+def test_rows_that_meet_in_a_task_take_little_memory():
+    """Also where all points are one: then every pair may be among the nearest."""
+    n, k = 4096, 5
+    for x in (np.random.default_rng(3).normal(size=(n, 6)), np.ones((n, 6))):
+        rows = pa.table({"provider_id": pa.array(range(n), pa.int64()), "x": pa.array(list(x), pa.list_(pa.float64()))})
+        tracemalloc.start()
+        got = closest(rows.slice(0, 500), rows, k)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.num_rows == 500 * k and peak < 32e6
+    ids = got["neighbour_id"].to_numpy().reshape(-1, k)
+    assert ids[0].tolist() == [1, 2, 3, 4, 5] and ids[9].tolist() == [0, 1, 2, 3, 4]
